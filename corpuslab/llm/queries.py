@@ -1,7 +1,10 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
 from .bpe import op7_bpe_digest
+from .decontaminate import ORACLE as OP4_SQL
+from .decontaminate import op4_decontaminate
+from .secrets import op10_secret_scan
 from .sharding import op1_shard_shuffle
 
-QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op7_bpe_digest": op7_bpe_digest}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op4_decontaminate": op4_decontaminate, "op7_bpe_digest": op7_bpe_digest, "op10_secret_scan": op10_secret_scan}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL}
