@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import heapq
 import json
@@ -26,6 +28,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """Many small lists, none in a cycle: the collector would go through all of them again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 class WordBpe:
     """A tokenizer file of kind BPE with word ends, normaliser NFC, white space, lower case, and no decoder.
 
@@ -33,7 +45,7 @@ class WordBpe:
     applies the merges in ascending rank. Words already met are kept, up to ``keep`` of them at a time.
     """
 
-    def __init__(self, source: str, keep: int = 300_000) -> None:
+    def __init__(self, source: str, keep: int = 500_000) -> None:
         file = json.loads(source)
         model, kinds = file["model"], [x["type"] for x in (file["normalizer"] or {}).get("normalizers", [])]
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or file["decoder"] or file["post_processor"] or model["continuing_subword_prefix"]:
@@ -50,14 +62,19 @@ class WordBpe:
         self.end: str = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
         names = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
+        spelt = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
+        self.name_bytes = np.frombuffer(b"".join(spelt), np.uint8)
+        self.name_size = np.array([len(x) for x in spelt])
+        self.name_at = np.cumsum(self.name_size) - self.name_size
         split = next(x for x in file["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.chunks = regex.compile(f"[^{SPACE}]+")
         self.of_byte = np.array([self.ids.get(x, -1) for x in byte_letters()], np.int64)
         self.of_last_byte = np.array([self.ids.get(x + self.end, -1) for x in byte_letters()], np.int64)
-        self.keep, self.known, self.of_word = keep, {}, {}
+        self.more_space = regex.compile("[\x1c-\x1f]")
+        self.keep: int = keep
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, chunk: str) -> list[str | int]:
         """The words of a run without white space, and the ids of special tokens in it."""
@@ -73,7 +90,9 @@ class WordBpe:
     def _words(self, part: str) -> list[str]:
         if part.isascii():
             return self.words.findall(part.lower())
-        return self.words.findall("".join(c.lower() for c in unicodedata.normalize("NFC", part)))
+        whole = unicodedata.normalize("NFC", part)
+        # Letter by letter: alone, a capital sigma has one lower-case form; it is the only letter that looks around.
+        return self.words.findall("".join(c.lower() for c in whole) if "Σ" in whole else whole.lower())
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 where no merge takes them."""
@@ -149,34 +168,42 @@ class WordBpe:
     def learn(self, chunks: Iterable[str]) -> None:
         """Make the ids of all chunks known."""
         wanted = set(chunks)
-        if len(self.known) + len(wanted - self.known.keys()) > self.keep:
+        missing = wanted.difference(self.known)
+        if len(self.known) + len(missing) > self.keep:
             self.known.clear()
-            self.of_word.clear()
-        new = {c: self.pieces(c) for c in wanted - self.known.keys()}
-        words = list({w for ps in new.values() for w in ps if isinstance(w, str)} - self.of_word.keys())
+            missing = wanted
+        new = {c: self.pieces(c) for c in missing}
+        words = list({w for ps in new.values() for w in ps if isinstance(w, str)})
         ids, ends = self.merge(words)
-        flat, listed, at = ids.tobytes(), ids.tolist(), 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            self.of_word[w] = flat[4 * at : 4 * end], b" ".join([self.names[i] for i in listed[at:end]])
-            at = end
+        flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        of = {w: flat[a:z] for w, a, z in zip(words, cuts, cuts[1:], strict=False)}
         for c, ps in new.items():
-            if len(ps) == 1 and isinstance(ps[0], str):
-                self.known[c] = self.of_word[ps[0]]
-            else:
-                found = [(p.to_bytes(4, "little"), self.names[p]) if isinstance(p, int) else self.of_word[p] for p in ps]
-                self.known[c] = b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[0]])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text, its ids as little-endian unsigned 32-bit integers, and their decoding in UTF-8."""
-        cut = [self.chunks.findall(t) for t in texts]
-        self.learn(c for cs in cut for c in cs)
-        for cs in cut:
-            found = [self.known[c] for c in cs]
-            yield b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[0]])
-
-    def decode(self, ids: bytes) -> bytes:
-        """The text of ids, as the library decodes without a decoder: tokens joined by a space."""
-        return b" ".join(self.names[i] for i in memoryview(ids).cast("I"))
+            self.known[c] = of[ps[0]] if len(ps) == 1 and isinstance(ps[0], str) else b"".join([p.to_bytes(4, "little") if isinstance(p, int) else of[p] for p in ps])
+
+    def cut(self, text: str) -> list[str]:
+        """The runs without white space. str.split takes four separators more, so it serves for texts without them."""
+        return self.chunks.findall(text) if self.more_space.search(text) else text.split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        cut = [self.cut(t) for t in texts]
+        with no_cycles():
+            self.learn(c for cs in cut for c in cs)
+        get = self.known.__getitem__
+        return [b"".join(map(get, cs)) for cs in cut]
+
+    def decode(self, coded: list[bytes]) -> list[bytes]:
+        """The text of each sequence of ids as the library gives it without a decoder: tokens joined by a space."""
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        size = self.name_size[ids]
+        ends = np.cumsum(size)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.name_at[ids] - (ends - size), size)
+        text, at, out = self.name_bytes[take].tobytes(), 0, []
+        for end in np.cumsum([len(c) // 4 for c in coded]).tolist():
+            stop = int(ends[end - 1]) if end else 0
+            out.append(text[at : stop - (stop > at)])  # without the last token's space
+            at = stop
+        return out
 
 
 _OPEN: dict[str, WordBpe] = {}
@@ -206,9 +233,10 @@ def encode_texts(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = opened(source.value)
-        for batch in slices(batches, text):
-            found = list(bpe.encode([t or "" for t in batch.column(text).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.binary()), pa.array([x[1].decode() for x in found], pa.string())], names=[*own, "ids", "decoded"])
+        for batch in slices(batches, text, 4 << 20):
+            ids = bpe.encode([t or "" for t in batch.column(text).to_pylist()])
+            decoded = pa.array(bpe.decode(ids), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), decoded], names=[*own, "ids", "decoded"])
 
     return kept.mapInArrow(work, schema)
 
