@@ -3,8 +3,10 @@
 from .bpe import op7_bpe_digest
 from .decontaminate import ORACLE as OP4_SQL
 from .decontaminate import op4_decontaminate
+from .quality import ORACLE as OP6_SQL
+from .quality import op6_quality_rules
 from .secrets import op10_secret_scan
 from .sharding import op1_shard_shuffle
 
-QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op4_decontaminate": op4_decontaminate, "op7_bpe_digest": op7_bpe_digest, "op10_secret_scan": op10_secret_scan}
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL}
+QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op4_decontaminate": op4_decontaminate, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op10_secret_scan": op10_secret_scan}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_quality_rules": OP6_SQL}
