@@ -7,6 +7,8 @@ from .quality import ORACLE as OP6_SQL
 from .quality import op6_quality_rules
 from .secrets import op10_secret_scan
 from .sharding import op1_shard_shuffle
+from .urls import ORACLE as OP5_SQL
+from .urls import op5_url_filter
 
-QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op4_decontaminate": op4_decontaminate, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op10_secret_scan": op10_secret_scan}
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_quality_rules": OP6_SQL}
+QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op10_secret_scan": op10_secret_scan}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_quality_rules": OP6_SQL}
