@@ -3,6 +3,7 @@
 from .bpe import op7_bpe_digest
 from .decontaminate import ORACLE as OP4_SQL
 from .decontaminate import op4_decontaminate
+from .html import op2_extract_main_text
 from .quality import ORACLE as OP6_SQL
 from .quality import op6_quality_rules
 from .secrets import op10_secret_scan
@@ -10,5 +11,5 @@ from .sharding import op1_shard_shuffle
 from .urls import ORACLE as OP5_SQL
 from .urls import op5_url_filter
 
-QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op2_extract_main_text": op2_extract_main_text, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op10_secret_scan": op10_secret_scan}
 ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_quality_rules": OP6_SQL}
