@@ -4,6 +4,7 @@ from .bpe import op7_bpe_digest
 from .decontaminate import ORACLE as OP4_SQL
 from .decontaminate import op4_decontaminate
 from .html import op2_extract_main_text
+from .jaccard import op9_jaccard_join
 from .lm import op3_lm_score
 from .quality import ORACLE as OP6_SQL
 from .quality import op6_quality_rules
@@ -12,5 +13,5 @@ from .sharding import op1_shard_shuffle
 from .urls import ORACLE as OP5_SQL
 from .urls import op5_url_filter
 
-QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op2_extract_main_text": op2_extract_main_text, "op3_lm_score": op3_lm_score, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op10_secret_scan": op10_secret_scan}
+QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op2_extract_main_text": op2_extract_main_text, "op3_lm_score": op3_lm_score, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op9_jaccard_join": op9_jaccard_join, "op10_secret_scan": op10_secret_scan}
 ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_quality_rules": OP6_SQL}
