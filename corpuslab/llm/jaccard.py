@@ -19,6 +19,8 @@ from .common import as_bytes, slices, table, written
 GROWTH = 1.6
 #: Signatures that a task sorts at a time, and bytes of text in one slice of a large block.
 SIGNATURES, SLICE = 1_000_000, 16 << 20
+#: Lower share of the hash space whose shingles tell which texts of a large block can have links.
+PROBED = 0.3
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -29,19 +31,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    """64-bit numbers of words, forgotten when they are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = n = xxhash.xxh64_intdigest(word)
-        return n
-
-
-_WORDS = _Words()
-
-
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """For each text its distinct shingles of ``width`` words as sorted 64-bit numbers; fewer words make one shingle."""
     flat: list[bytes] = []
@@ -50,7 +39,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         words = t.lower().split()
         flat += words
         sizes.append(len(words))
-    ids = np.fromiter(map(_WORDS.__getitem__, flat), np.uint64, len(flat))
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
     rolled = np.zeros(max(0, len(ids) - width + 1), np.uint64)
     for k in range(width):
         rolled += mixed(ids[k : len(ids) - width + 1 + k] + ODD[4]) * (ODD[k % 5] + np.uint64(2 * k))
@@ -127,13 +116,25 @@ def candidate_edges(texts: DataFrame, width: int, percent: int, shingles: int) -
     partitions = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles * 0.4 / SIGNATURES))
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 32 << 20):
-            nodes = batch.column("node").to_numpy()
-            sets = [signatures(s, percent) for s in shingle_sets(as_bytes(batch.column("text")), width)]
-            keys, least, a, b = _first_of_each(np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(nodes, [len(s) for s in sets]))
-            yield _rows(keys.view(np.int64), least)
+        keys, nodes = [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found, least, a, b = _first_of_each(np.concatenate(keys), np.concatenate(nodes))
+            keys.clear()
+            nodes.clear()
+            yield _rows(found.view(np.int64), least)
             yield _rows(None, a, b)
 
+        for batch in slices(batches, "text", 4 << 20):
+            batch = _first_rows(batch)
+            sets = [signatures(s, percent) for s in shingle_sets(as_bytes(batch.column("text")), width)]
+            keys.append(np.concatenate([*sets, np.empty(0, np.uint64)]))
+            nodes.append(np.repeat(batch.column("node").to_numpy(), [len(s) for s in sets]))
+            if sum(map(len, keys)) > SIGNATURES:
+                yield from out()
+        if keys:
+            yield from out()
+
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column("signature"), b.column("a").to_numpy(), b.column("b")) for b in batches]
         if not held:
@@ -150,6 +151,69 @@ def candidate_edges(texts: DataFrame, width: int, percent: int, shingles: int) -
     return dealt.mapInArrow(across, "a long, b long").distinct()
 
 
+def _first_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The first row of each text of a batch, so that copies do not meet by thousands."""
+    nodes = batch.column("node").to_pylist()
+    first = {n: i for i, n in reversed([*enumerate(nodes)])}
+    return batch if len(first) == len(nodes) else batch.take(pa.array(sorted(first.values()), pa.int64()))
+
+
+def can_be_linked(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node): the texts whose links the counts of shared shingles leave possible.
+
+    A linked text shares all but (100 - percent) % of its shingles with one other, so of the lower part of the hash
+    space too it misses no more than that. Shingles that two texts of a task share are settled there, and leave it
+    once; the others are counted after a shuffle.
+    """
+    top = np.uint64(int(PROBED * 2.0**64))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            batch = _first_rows(batch)
+            sets = shingle_sets(as_bytes(batch.column("text")), width)
+            low = [s[: np.searchsorted(s, top)] for s in sets]
+            nodes = batch.column("node").to_numpy()
+            sizes = np.array([len(x) for x in low], np.int64)
+            every = np.concatenate([*low, np.empty(0, np.uint64)])
+            found, back, counts = np.unique(every, return_inverse=True, return_counts=True)
+            settled = counts[back] > 1
+            here = np.bincount(np.repeat(np.arange(len(low)), sizes)[settled], minlength=len(low))
+            allowed = np.array([len(s) * (100 - percent) // 100 for s in sets], np.int64)
+            needed = sizes - allowed - here  # still to be found elsewhere
+            yield _rows(None, nodes, needed)
+            yield _rows(found[counts > 1].view(np.int64), np.zeros(int((counts > 1).sum()), np.int64))  # no b: some texts
+            yield _rows(every[~settled].view(np.int64), np.repeat(nodes, sizes)[~settled], np.ones(int((~settled).sum()), np.int64))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, real = [], [], []
+        for b in batches:
+            counted = b.column("signature").is_null().to_numpy(zero_copy_only=False)
+            if counted.any():
+                kept = b.filter(pa.array(counted))
+                yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b"), pa.array(np.zeros(kept.num_rows, np.int64))], names=["node", "needed", "got"])
+            b = b.filter(pa.array(~counted))
+            keys.append(b.column("signature").to_numpy())
+            nodes.append(b.column("a").to_numpy())
+            real.append(b.column("b").is_valid().to_numpy(zero_copy_only=False))
+        if keys:
+            key, node, own = np.concatenate(keys), np.concatenate(nodes), np.concatenate(real)
+            order = np.lexsort((node, ~own, key))
+            key, node, own = key[order], node[order], own[order]
+            _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+            # A text that came in several batches is there as often; only other texts' rows count for it.
+            fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | ~own[1:])
+            others = np.bincount(back, weights=fresh, minlength=len(counts))
+            hit = node[own & fresh & (others[back] > 1)]
+            hit, got = np.unique(hit, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.nulls(len(hit), pa.int64()), pa.array(got.astype(np.int64))], names=["node", "needed", "got"])
+
+    rows = texts.select("node", "text").mapInArrow(probe, "signature long, a long, b long")
+    dealt = rows.repartition(F.coalesce("signature", F.xxhash64("a")))
+    # A text that came in several batches may be counted more than once, which leaves it possible.
+    sums = dealt.mapInArrow(across, "node long, needed long, got long").groupBy("node").agg(F.min("needed").alias("needed"), F.sum("got").alias("got"))
+    return sums.where(F.col("needed") <= F.col("got")).select("node")
+
+
 def _rows(signature: np.ndarray | None, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
     none = pa.nulls(len(a), pa.int64())
     return pa.RecordBatch.from_arrays([none if signature is None else pa.array(signature), pa.array(a), none if b is None else pa.array(b)], names=["signature", "a", "b"])
@@ -311,7 +375,7 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, text: s
     schema = f"row {rows.schema['row'].dataType.simpleString()}, key binary, bytes long, n_shingles long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             texts = as_bytes(batch.column("text"))
             sizes = [len(s) for s in shingle_sets(texts, width)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())], names=["row", "key", "bytes", "n_shingles"])
@@ -324,13 +388,25 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, text: s
             keys = batch.column("key").to_pylist()
             yield batch.take(pa.array(sorted({k: i for i, k in reversed([*enumerate(keys)])}.values()), pa.int64()))
 
-    texts = rows.select("key", "text").mapInArrow(once, "key binary, text string").select(node, "key", "text")
+    texts = rows.select(node, "key", "text")
     total = counted.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    roots = components(candidate_edges(texts, width, percent, total))
-    sizes = counted.select(node, "key", "bytes").distinct().join(roots, "node").groupBy("root").agg(F.ceil(F.sum("bytes") / slice_bytes).cast("int").alias("parts"))
-    blocks = written(roots.join(sizes, "root"), "blocks")
-    few = blocks.count() <= 200_000  # some 10 MB; more are joined by a shuffle
-    members = texts.join(F.broadcast(blocks) if few else blocks, "node")
+
+    def of(nodes: DataFrame) -> DataFrame:
+        """The texts of some nodes, which go to every task while they are few (some 10 MB)."""
+        return texts.join(F.broadcast(nodes) if nodes.count() <= 200_000 else nodes, "node")
+
+    def blocks_of(some: DataFrame) -> DataFrame:
+        roots = components(candidate_edges(some, width, percent, total))
+        sizes = counted.select(node, "key", "bytes").distinct().join(roots, "node").groupBy("root").agg(F.ceil(F.sum("bytes") / slice_bytes).cast("int").alias("parts"))
+        return written(roots.join(sizes, "root"), "blocks")
+
+    blocks = blocks_of(texts)
+    large = blocks.where(F.col("parts") > 1).select("node")
+    if large.limit(1).count():
+        # Passages that many texts share may hang whole blocks together; texts that cannot be linked leave them.
+        possible = written(can_be_linked(of(large), width, percent), "possible")
+        blocks = blocks.where(F.col("parts") == 1).unionByName(blocks_of(of(possible)))
+    members = of(blocks).select("key", "text", "root", "parts").mapInArrow(once, "key binary, text string, root long, parts int")
     mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     members = members.select("root", "key", "text", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     members = members.select("root", "key", "text", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
