@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators import aggregates, generate, ml, select, stats, vectors
+from corpuslab.operators import aggregates, generate, guards, ml, select, stats, vectors
 from corpuslab.sources import readers, sinks
 from corpuslab.streaming.resume import run_items, windowed_counts
 
@@ -127,3 +128,23 @@ def test_stream_resumes(spark, tmp_path):
     assert got.count() == got.select("layer", "alpha").distinct().count() == 4
     events = spark.createDataFrame([("2024-01-01 10:10:00", "a"), ("2024-01-01 10:50:00", "a"), ("2024-01-01 11:00:00", "b")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in windowed_counts(events, "ts", "k").collect()) == [1, 2]
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([(1, "asian people"), (2, "xyz"), (3, None)], "id int, g string")
+    kept, left = guards.mapped_groups(df, "g")
+    assert [r["id"] for r in kept.collect()] == [1] and [r["g"] for r in left.collect()] == [None, "xyz"]
+    assert guards.only_known(df.where("id = 2"), "g", ["xyz"]).count() == 1
+    with pytest.raises(Exception, match="unexpected g: null"):
+        guards.only_known(df, "g", ["xyz", "asian people"]).collect()
+    texts = spark.createDataFrame([("we met John Smith today",), ("The End",), (None,)], "t string")
+    assert [r[0] for r in texts.select(guards.names_person(F.col("t"))).collect()] == [True, False, False]
+    assert [r[0] for r in texts.select(guards.names_person(F.col("t"), lambda x: "End" in x)).collect()] == [False, True, False]
+    table = spark.createDataFrame([("cats", "cat"), ("saw", "see"), ("saw", "saw")], "word string, lemma string")
+    rows = spark.createDataFrame([(1, ["cats", "saw"]), (2, [])], "id int, t array<string>")
+    assert {r["id"]: r["forms"] for r in guards.lemmas(rows, "id", "t", table).collect()} == {1: ["cat", "cats", "saw", "see"], 2: []}
+    marks = spark.createDataFrame([("a", [[0, 0, 0, 0], [0, 1, 0, 1]]), ("a", [[0, 0]]), ("a", None)], "k string, r array<array<int>>")
+    assert [tuple(r) for r in guards.rationale_medians(marks, "r", "k").collect()] == [("a", 1, 0.5, 3.0)]
+    kinds = spark.createDataFrame([("exclusion / x",), ("",), (None,)], "k string")
+    assert [r[0] for r in kinds.select(guards.type_rule(F.col("k"), {"EXCLUSION": "rule"}, "default")).collect()] == ["rule", "default", "default"]
+    assert guards.by_length(texts, "t").count() == 3
