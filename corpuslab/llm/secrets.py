@@ -345,3 +345,27 @@ def _digest(df: DataFrame) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole document: counts and digest of the base kinds, and all spans. Null text: none."""
     return _digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _oracle() -> str:
+    """Places are the lengths of what is between the matches and of the matches before."""
+    parts = []
+    for k, (kind, pattern, fewest, value) in enumerate(RULES):
+        quoted = pattern.replace("'", "''")
+        ends = "regexp_extract(m[i], '[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)"
+        parts.append(
+            f"SELECT doc_id, {k} AS k, '{kind}' AS kind, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n FROM "
+            f"(SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS m, string_split_regex(t, '{quoted}') AS s FROM d)) WHERE length(m[i]) >= {fewest}" + (f" AND length({ends}) >= {value}" if value else "")
+        )
+    joined = "coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k){0}, '')"
+    base = " FILTER (WHERE k < 3)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, kind, k, CAST(a AS BIGINT) AS a, CAST(n AS BIGINT) AS n FROM f)
+SELECT doc_id, count(kind) FILTER (WHERE kind = 'assign') AS n_assign, count(kind) FILTER (WHERE kind = 'access') AS n_access, count(kind) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256({joined.format(base)}) AS base_sha256, {joined.format("")} AS spans
+FROM d LEFT JOIN g USING (doc_id) GROUP BY doc_id
+"""
+
+
+ORACLE = _oracle()

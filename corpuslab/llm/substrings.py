@@ -309,3 +309,18 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", F.unhex(F.md5(whole)).alias("key"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("whole_sha"))
     found = rows.join(stripped, "key", "left")
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("size", F.col("n_bytes"))).cast("long").alias("n_removed"), F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
+r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
+q AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM r),
+k AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM q),
+m AS (SELECT doc_id, k, min(p) AS a, max(p) + 400 AS z FROM k GROUP BY 1, 2),
+x AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM m UNION ALL SELECT doc_id, max(z), NULL FROM m GROUP BY 1),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, n) - s)), '' ORDER BY s) AS kh FROM x JOIN d USING (doc_id) GROUP BY 1),
+g AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kh, h))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
