@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: workers live on, and what one stage freed is missing for the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows, cut so that ``column`` takes about ``most`` bytes a batch (one row may be longer)."""
     for batch in batches:
@@ -54,8 +62,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 24 << 20)
         step = max(1, batch.num_rows * most // max(size, 1))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        _give_back()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def bucketed(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """``df`` as a table in the warehouse, dealt by ``key``: it is shuffled once, however often it is joined on ``key``.
+
+    The table is dropped when the driver ends.
+    """
+    spark = df.sparkSession
+    name = f"corpuslab_{uuid.uuid4().hex}"
+    df.repartition(partitions, key).write.bucketBy(partitions, key).sortBy(key).saveAsTable(name)
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    atexit.register(drop)
+    return spark.table(name)

@@ -9,6 +9,7 @@ Burrows-Wheeler transform) and the common prefixes of neighbours.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, table, written
+from .common import as_bytes, bucketed, slices, table, written
 from .jaccard import mixed
 
 #: Bytes of an anchor; a power of two.
@@ -26,6 +27,8 @@ GRAM = 64
 SORTED, CROWD = 16_384, 8_192
 #: Longer texts are searched for anchors in segments of so many bytes.
 SEGMENT = 1 << 23
+#: Bytes of text in one bucket of the table of texts.
+BUCKET = 128 << 20
 #: Hash bits compared to choose an anchor; the others hold the place.
 PLACE = np.uint64((1 << 24) - 1)
 FACTORS = mixed(np.arange(1000, 1000 + GRAM, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
@@ -135,13 +138,15 @@ def _once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[int]]:
 
 
 def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
-    """(key, text) without copies within a batch."""
-    return _keyed(df, text).mapInArrow(lambda batches: (_once(b)[0] for b in batches), "key binary, text string")
+    """(key, text) without copies within a batch, dealt by key: texts are joined twice but shuffled once."""
+    once = _keyed(df, text).mapInArrow(lambda batches: (_once(b)[0] for b in batches), "key binary, text string")
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
+    return bucketed(once, "key", max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET)))
 
 
-def repeated_spans(df: DataFrame, length: int = 400, text: str = "text", crowd: int = CROWD) -> DataFrame:
+def repeated_spans(df: DataFrame, texts: DataFrame, length: int = 400, text: str = "text", crowd: int = CROWD) -> DataFrame:
     """(key, spans): for each text that has any, by its md5, the byte ranges covered by strings of ``length`` bytes that
-    also start anywhere else; ranges as array of (a, z), z exclusive, not merged.
+    also start anywhere else; ranges as array of (a, z), z exclusive, not merged. ``texts`` holds the texts by key.
 
     1. Texts are cut into pieces by anchor, each with a hash. Equal pieces are counted: a piece that occurs twice is
        repeated as a whole, and stands for all its copies from here on.
@@ -164,10 +169,9 @@ def repeated_spans(df: DataFrame, length: int = 400, text: str = "text", crowd:
     found = written(_keyed(df, text).mapInArrow(cut, "key binary, times long, pieces array<struct<gram:long,hash:long,place:long,a:long,z:long>>"), "pieces").where(F.size("pieces") > 0)
     each = found.select("key", "times", F.inline("pieces"))
     counted = written(each.groupBy("gram", "hash").agg(F.sum("times").alias("n"), F.min(F.struct("key", "place", "a", "z")).alias("one")), "piece-counts")
-    several = counted.groupBy("gram").agg(F.count("*").alias("different")).where(F.col("different") > 1)
-    mixed_ = counted.join(several.select("gram"), "gram").select("one.key", F.struct("gram", "hash", "n", "one.place", "one.a", "one.z").alias("piece"))
-    wanted = mixed_.groupBy("key").agg(F.collect_list("piece").alias("wanted"))
-    fetched = _distinct_texts(df, text).join(wanted, "key")
+    several = written(counted.groupBy("gram").agg(F.count("*").alias("different")).where(F.col("different") > 1), "several-pieces")
+    crowds = several.where(F.col("different") > crowd).select("gram")
+    n_crowds = crowds.count()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
@@ -177,11 +181,19 @@ def repeated_spans(df: DataFrame, length: int = 400, text: str = "text", crowd:
             kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["g", "gram", "hash", "n", "low", "high", "data"])
 
-    crowded = several.where(F.col("different") > crowd).limit(1).count() > 0
-    rows = fetched.mapInArrow(fetch, "g long, gram long, hash long, n long, low int, high int, data binary").withColumn("start", F.col("low"))
+    def of(grams: DataFrame) -> DataFrame:
+        """The pieces of some anchors, with their bytes."""
+        chosen = counted.join(grams, "gram").select("one.key", F.struct("gram", "hash", "n", "one.place", "one.a", "one.z").alias("piece"))
+        wanted = chosen.groupBy("key").agg(F.collect_list("piece").alias("wanted"))
+        found = texts.join(wanted.hint("merge"), "key").mapInArrow(fetch, "g long, gram long, hash long, n long, low int, high int, data binary")
+        return found.withColumn("start", F.col("low"))
+
+    # Joins are by sorting at every size: a plan that broadcasts while tables are small tells nothing of larger ones.
+    rows = of(several.where(F.col("different") <= crowd).select("gram").hint("merge"))
     alike = None
-    if crowded:
-        rows, alike = _deal_out(written(rows.dropDuplicates(["gram", "hash"]), "crowd-pieces"), length, crowd)
+    if n_crowds:  # few: each has over ``crowd`` pieces
+        dealt, alike = _deal_out(written(of(F.broadcast(crowds) if n_crowds <= 100_000 else crowds).dropDuplicates(["gram", "hash"]), "crowd-pieces"), length, crowd)
+        rows = rows.unionByName(dealt)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -210,7 +222,7 @@ def repeated_spans(df: DataFrame, length: int = 400, text: str = "text", crowd:
         by_sort = by_sort.unionByName(alike)
     whole = counted.where(F.col("n") > 1).select("gram", "hash", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("one.z") - F.col("one.a")).alias("z"))).alias("spans"))
     decided = by_sort.unionByName(whole)
-    back = each.join(decided, ["gram", "hash"]).select("key", F.col("a").alias("at"), F.explode("spans").alias("s"))
+    back = each.join(decided.hint("merge"), ["gram", "hash"]).select("key", F.col("a").alias("at"), F.explode("spans").alias("s"))
     spans = back.select("key", F.struct((F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.z") + length).alias("z")).alias("span")).distinct()
     return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
 
@@ -271,7 +283,8 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def _stripped(df: DataFrame, length: int, text: str, crowd: int) -> DataFrame:
     """(key, left, cuts) of the texts that lose bytes; a text that came in several batches comes as often."""
-    spans = repeated_spans(df, length, text, crowd)
+    texts = _distinct_texts(df, text)
+    spans = repeated_spans(df, texts, length, text, crowd)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
@@ -282,7 +295,7 @@ def _stripped(df: DataFrame, length: int, text: str, crowd: int) -> DataFrame:
                 out.append((left, len(cuts)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], names=["key", "left", "cuts"])
 
-    return _distinct_texts(df, text).join(spans, "key").mapInArrow(strip, "key binary, left binary, cuts long")
+    return texts.join(spans.hint("merge"), "key").mapInArrow(strip, "key binary, left binary, cuts long")
 
 
 def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -307,7 +320,7 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = _stripped(docs, 400, "text", CROWD).select("key", F.octet_length("left").alias("size"), F.sha2("left", 256).alias("sha"), "cuts").distinct()
     whole = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.unhex(F.md5(whole)).alias("key"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("whole_sha"))
-    found = rows.join(stripped, "key", "left")
+    found = rows.join(stripped.hint("merge"), "key", "left")
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("size", F.col("n_bytes"))).cast("long").alias("n_removed"), F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))
 
 
