@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +24,9 @@ def stored(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="corpuslab-"))
+            local = tempfile.mkdtemp(prefix="corpuslab-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            _LOCAL.append(f"file://{local}")
         folder = _LOCAL[0]
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
