@@ -32,17 +32,22 @@ def order_key(row_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", row_id.cast("string"), F.lit(str(seed))))
 
 
-def sample_per_group(df: DataFrame, groups: Sequence[str], row_id: str, n: int, seed: int = 42) -> DataFrame:
-    """Up to ``n`` rows of each group, all of short groups.
+def first_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: Column | int, row_id: str, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group.
 
     A group may be a third of all rows: each of some salts of a group ranks its own rows and passes on ``n`` at most,
     so that the last ranking sees salts * n rows of a group, not all of them.
     """
-    keyed = df.withColumn("__key", order_key(F.col(row_id), seed)).withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(64)))
-    order = [F.col("__key"), F.col(row_id)]
+    out = df.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)))
     for keys in ([*groups, "__salt"], list(groups)):
-        keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n)
-    return keyed.drop("__key", "__salt", "__n")
+        out = out.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n)
+    return out.drop("__salt", "__n")
+
+
+def sample_per_group(df: DataFrame, groups: Sequence[str], row_id: str, n: int, seed: int = 42) -> DataFrame:
+    """Up to ``n`` rows of each group, all of short groups."""
+    keyed = df.withColumn("__key", order_key(F.col(row_id), seed))
+    return first_per_group(keyed, groups, [F.col("__key"), F.col(row_id)], n, row_id).drop("__key")
 
 
 def priority_cap(df: DataFrame, row_id: str, target: str, priority: Column, caps: Sequence[tuple[str, int]], seed: int = 42) -> DataFrame:
@@ -52,18 +57,27 @@ def priority_cap(df: DataFrame, row_id: str, target: str, priority: Column, caps
     """
     cap = F.create_map(*[F.lit(x) for kv in caps for x in kv])
     place = F.create_map(*[F.lit(x) for i, (t, _) in enumerate(caps) for x in (t, i)])
-    ranked = df.where(F.col(target).isin(*[t for t, _ in caps])).withColumn("__p", priority).withColumn("__n", F.row_number().over(Window.partitionBy(target).orderBy("__p", order_key(F.col(row_id), seed), row_id)))
-    taken = ranked.where(F.col("__n") <= F.element_at(cap, F.col(target))).withColumn("__at", F.element_at(place, F.col(target)))
-    first = taken.withColumn("__n", F.row_number().over(Window.partitionBy(row_id).orderBy("__at"))).where(F.col("__n") == 1)
+    known = df.where(F.col(target).isin(*[t for t, _ in caps])).withColumn("__p", priority)
+    taken = first_per_group(known, [target], [F.col("__p"), order_key(F.col(row_id), seed), F.col(row_id)], F.element_at(cap, F.col(target)), row_id)
+    first = taken.withColumn("__at", F.element_at(place, F.col(target))).withColumn("__n", F.row_number().over(Window.partitionBy(row_id).orderBy("__at"))).where(F.col("__n") == 1)
     return first.drop("__p", "__n", "__at")
 
 
 def split(df: DataFrame, strata: Sequence[str], row_id: str, test_share: float, seed: int = 42) -> DataFrame:
-    """``df`` with ``part``: test for round(share * n) rows of each stratum, else train."""
-    n = df.groupBy(*strata).agg(F.count("*").alias("__all"))
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(order_key(F.col(row_id), seed), row_id))
-    joined = df.withColumn("__n", rank).join(n, list(strata))
-    return joined.withColumn("part", F.when(F.col("__n") <= F.round(F.col("__all") * test_share), "test").otherwise("train")).drop("__n", "__all")
+    """``df`` with ``part``: test for round(share * n) rows of each stratum, else train.
+
+    Rows are ranked by md5 within the 4,096 beginnings of the md5, whose counts are added up: no task ranks a stratum.
+    """
+    keyed = df.withColumn("__key", order_key(F.col(row_id), seed)).withColumn("__bin", F.substring("__key", 1, 3))
+    counts = keyed.groupBy(*strata, "__bin").agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*strata).orderBy("__bin")
+    bins = counts.withColumn("__before", F.sum("__c").over(upto) - F.col("__c")).withColumn("__all", F.sum("__c").over(Window.partitionBy(*strata))).drop("__c")
+    ranked = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(*strata, "__bin").orderBy("__key", row_id)))
+    same = F.lit(True)
+    for c in (*strata, "__bin"):
+        same = same & ranked[c].eqNullSafe(bins[c])
+    joined = ranked.join(bins, same, "left").select(*[ranked[c] for c in [*df.columns, "__n"]], "__before", "__all")
+    return joined.withColumn("part", F.when(F.col("__before") + F.col("__n") <= F.round(F.col("__all") * test_share), "test").otherwise("train")).drop("__n", "__before", "__all")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

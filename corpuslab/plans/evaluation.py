@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import stats as D
 from ..operators import vectors as V
+from ..operators.select import first_per_group
 from .tables import DOCS, POSTS, docs, posts, stored, table
 
 QUERIES, ORACLE = {}, {}
@@ -284,13 +285,10 @@ def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT category, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, len, doc_id) AS i FROM s) WHERE i <= 3""")
 def taxonomy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V16, T3."""
-    from pyspark.sql import Window
-
     found = F.when(F.col("category") == "success_fn_recovery_e1", F.when(F.col("b1") == 0, 3).otherwise(0) + F.col("e2")).otherwise(0)
     s = categorised(spark, sf_dir).withColumn("len", F.length("low"))
     s = s.withColumn("score", F.when(F.col("len") <= 800, 3).otherwise(0) + F.when(F.col("len") <= 100, 2).otherwise(0) + F.when(F.col("subtype") == "implicit_hate", 4).otherwise(1) + found)
-    w = Window.partitionBy("category").orderBy(F.desc("score"), "len", "doc_id")
-    return s.withColumn("i", F.row_number().over(w)).where("i <= 3").select("category", "doc_id", "score")
+    return first_per_group(s, ["category"], [F.desc("score"), F.col("len"), F.col("doc_id")], 3, "doc_id").select("category", "doc_id", "score")
 
 
 @query(f"WITH {PRED}, c AS (SELECT source, {_counts_sql('b0')} FROM e GROUP BY 1), c2 AS (SELECT source, {_counts_sql('e1')} FROM e GROUP BY 1), j AS (SELECT source, ({_F1} + {_F0}) / 2 AS f FROM c), k AS (SELECT source, ({_F1} + {_F0}) / 2 AS g FROM c2) SELECT source, round(f, 6) AS first, round(g, 6) AS second, CASE WHEN round(f, 6) > round(g, 6) THEN 'first' WHEN round(f, 6) < round(g, 6) THEN 'second' ELSE 'tie' END AS winner FROM j JOIN k USING (source)")

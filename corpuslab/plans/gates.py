@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import EMOTIONS, GENERIC_PHRASES, NEGATIVE, PRESERVED, REFUSALS, VALENCE, VIOLENCE_PATTERNS
@@ -27,13 +27,13 @@ def query(sql: str | None):  # noqa: ANN201
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, original, output): a document and the next one of its source. Sources are ranked within, as they are the
-    groups of the pairing; a source's ids and texts go through one window that spills."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("original"))
-    return d.withColumn("output", F.lead("original").over(Window.partitionBy("source").orderBy("doc_id"))).where("output IS NOT NULL").drop("source")
+    """(doc_id, original, output): a document and the one with the next id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("original").alias("output"))
+    return d.join(after, "doc_id")
 
 
-PAIRS = """q AS (SELECT doc_id, text AS original, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS output FROM documents),
+PAIRS = """q AS (SELECT a.doc_id, a.text AS original, b.text AS output FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
 g AS (SELECT doc_id, original, output, lower(output) AS low, list_distinct(regexp_extract_all(lower(original), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(output), '[a-z]+')) AS b FROM q WHERE output IS NOT NULL)"""
 
 
