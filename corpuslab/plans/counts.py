@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import agreement, classify
-from ..functions.lexicons import CATEGORIES, EMOTIONS, INSULTS, NEGATIVE, PRONOUNS, STOPWORDS, TARGETS
+from ..functions.lexicons import CATEGORIES, EMOTIONS, INSULTS, NEGATIVE, PRONOUNS, STOPWORDS
 from ..operators import aggregates as A
 from .tables import DOCS, POSTS, docs, posts, sql_any, sql_list, table
 from .text import _FRAMES
@@ -241,6 +241,3 @@ def volume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 over a large table: the filter reaches the scan, two columns of keys are summed in parts."""
     d = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     return d.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"))
-
-
-assert TARGETS

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import EMOTIONS, GENERIC_PHRASES, NEGATIVE, PRESERVED, REFUSALS, VALENCE, VIOLENCE_PATTERNS
-from ..functions.parse import letter_set, tokens
+from ..functions.lexicons import EMOTIONS, GENERIC_PHRASES, PRESERVED, REFUSALS, VALENCE, VIOLENCE_PATTERNS
+from ..functions.parse import letter_set
 from ..functions.sentiment import compound
 from ..operators import gates as G
-from .tables import DOCS, docs, sql_list, table
+from .tables import DOCS, docs, table
 
 QUERIES, ORACLE = {}, {}
 NEGATIVE_WORDS = tuple(dict.fromkeys(w for k in ("anger", "disgust") for w in EMOTIONS[k]))
@@ -118,6 +118,3 @@ s AS (SELECT doc_id, sum(CASE WHEN turned THEN v * -0.74 ELSE v END) AS x FROM w
 def sentiment_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X20, G5."""
     return docs(spark, sf_dir).select("doc_id", F.round(compound(F.col("t")), 6).alias("compound"))
-
-
-assert NEGATIVE and tokens and sql_list
