@@ -13,6 +13,10 @@ from corpuslab.llm.quality import judge
 from corpuslab.llm.secrets import redact
 
 
+#: Bytes of a batch that goes to a Python worker; documents are long, and stages follow each other in one session.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return judge(docs).where("kept").select(docs.columns)
@@ -23,6 +27,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with one id and text, the first by the other columns. Documents without words link with nothing and stay.
     """
+    spark.conf.set(*BATCH)
     keyed = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit(""))))
     found = jaccard_components(keyed.select("doc_id", "text", "__key"), 5, 80, keep=["doc_id", "__key"])
     first = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "__key")).alias("f"))
@@ -40,16 +45,19 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of any 10-word window of the benchmark; those hit in over half of their words go."""
+    spark.conf.set(*BATCH)
     return _counted(remove_spans(docs, table(spark, sf_dir, "benchmark"))).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret masked."""
+    spark.conf.set(*BATCH)
     return _counted(redact(docs)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: little-endian unsigned 32-bit integers."""
+    spark.conf.set(*BATCH)
     import public_tokenizers
 
     found = encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))

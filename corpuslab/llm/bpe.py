@@ -45,7 +45,7 @@ class WordBpe:
     applies the merges in ascending rank. Words already met are kept, up to ``keep`` of them at a time.
     """
 
-    def __init__(self, source: str, keep: int = 500_000) -> None:
+    def __init__(self, source: str, keep: int = 200_000) -> None:
         file = json.loads(source)
         model, kinds = file["model"], [x["type"] for x in (file["normalizer"] or {}).get("normalizers", [])]
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or file["decoder"] or file["post_processor"] or model["continuing_subword_prefix"]:
@@ -233,10 +233,11 @@ def encode_texts(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = opened(source.value)
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 1 << 20):
             ids = bpe.encode([t or "" for t in batch.column(text).to_pylist()])
             decoded = pa.array(bpe.decode(ids), pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), decoded], names=[*own, "ids", "decoded"])
+        bpe.known.clear()  # the worker lives on and other stages need its memory
 
     return kept.mapInArrow(work, schema)
 

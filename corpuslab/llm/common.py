@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if "dir" not in _LOCAL:
-            _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
+            folder = tempfile.mkdtemp(prefix="corpuslab-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL["dir"] = f"file://{folder}"
         found = _LOCAL["dir"]
     return found.rstrip("/")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, slices, table, written
@@ -152,7 +152,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """The items that have words, in blocks of bounded size. They are read one by one; only equal blocks' worth stays here.
+    """The items that have words, in blocks of bounded size. They are read one by one.
 
     All blocks together take what the benchmark takes, which is small against any corpus; each automaton is bounded.
     """

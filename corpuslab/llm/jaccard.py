@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, slices, table, written
@@ -18,7 +18,9 @@ from .common import as_bytes, slices, table, written
 #: Size classes of sets grow by this factor. It is over 1 / 0.85, so linked sets are in one class or the next.
 GROWTH = 1.6
 #: Signatures that a task sorts at a time, and bytes of text in one slice of a large block.
-SIGNATURES, SLICE = 1_000_000, 16 << 20
+SIGNATURES, SLICE = 1_000_000, 8 << 20
+#: Bytes of text whose words are held at a time.
+TOGETHER = 1 << 20
 #: Lower share of the hash space whose shingles tell which texts of a large block can have links.
 PROBED = 0.3
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -32,7 +34,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """For each text its distinct shingles of ``width`` words as sorted 64-bit numbers; fewer words make one shingle."""
+    """For each text its distinct shingles of ``width`` words as sorted 64-bit numbers; fewer words make one shingle.
+
+    Words are lists of small objects, many times their text's size: some texts are taken at a time.
+    """
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > TOGETHER:
+            out += _shingle_sets(held, width)
+            held, size = [], 0
+    return out + _shingle_sets(held, width)
+
+
+def _shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     flat: list[bytes] = []
     sizes = []
     for t in texts:
@@ -204,8 +222,10 @@ def can_be_linked(texts: DataFrame, width: int, percent: int) -> DataFrame:
             fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | ~own[1:])
             others = np.bincount(back, weights=fresh, minlength=len(counts))
             hit = node[own & fresh & (others[back] > 1)]
-            hit, got = np.unique(hit, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.nulls(len(hit), pa.int64()), pa.array(got.astype(np.int64))], names=["node", "needed", "got"])
+            # A row for each shingle found: as many as the input has, however many tasks; they are summed before the shuffle.
+            for at in range(0, len(hit), 200_000):
+                part = hit[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.int64()), pa.array(np.ones(len(part), np.int64))], names=["node", "needed", "got"])
 
     rows = texts.select("node", "text").mapInArrow(probe, "signature long, a long, b long")
     dealt = rows.repartition(F.coalesce("signature", F.xxhash64("a")))
@@ -214,6 +234,31 @@ def can_be_linked(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return sums.where(F.col("needed") <= F.col("got")).select("node")
 
 
+def rare_edges(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): stars that join all texts (``node``) of which any share one of their rarest shingles.
+
+    Ordered by how many texts hold them, the first n - ceil(t * n) + 1 shingles of two linked sets have one in common.
+    Shingles that one text holds come first and join nothing; those that very many hold come last, so that passages
+    that many texts share hang nothing together. ``texts`` has each text once.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            sets = shingle_sets(as_bytes(batch.column("text")), width)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            every = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes))], names=["element", "node", "n"])
+
+    rows = texts.select("node", "text").mapInArrow(elements, "element long, node long, n long")
+    shared = rows.groupBy("element").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    own = Window.partitionBy("node")
+    ranked = rows.join(shared, "element").withColumn("place", F.row_number().over(own.orderBy("df", "element"))).withColumn("c", F.count("*").over(own))
+    first = ranked.where(F.col("place") <= F.col("c") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).select("element", "node")
+    first = written(first, "rare-shingles")
+    least = first.groupBy("element").agg(F.min("node").alias("a"))
+    return first.join(least, "element").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+
+
 def _rows(signature: np.ndarray | None, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
     none = pa.nulls(len(a), pa.int64())
     return pa.RecordBatch.from_arrays([none if signature is None else pa.array(signature), pa.array(a), none if b is None else pa.array(b)], names=["signature", "a", "b"])
@@ -395,17 +440,19 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, text: s
         """The texts of some nodes, which go to every task while they are few (some 10 MB)."""
         return texts.join(F.broadcast(nodes) if nodes.count() <= 200_000 else nodes, "node")
 
-    def blocks_of(some: DataFrame) -> DataFrame:
-        roots = components(candidate_edges(some, width, percent, total))
+    def blocks_of(edges: DataFrame) -> DataFrame:
+        roots = components(edges)
         sizes = counted.select(node, "key", "bytes").distinct().join(roots, "node").groupBy("root").agg(F.ceil(F.sum("bytes") / slice_bytes).cast("int").alias("parts"))
         return written(roots.join(sizes, "root"), "blocks")
 
-    blocks = blocks_of(texts)
+    blocks = blocks_of(candidate_edges(texts, width, percent, total))
     large = blocks.where(F.col("parts") > 1).select("node")
     if large.limit(1).count():
-        # Passages that many texts share may hang whole blocks together; texts that cannot be linked leave them.
+        # Passages that many texts share may hang whole blocks together. Texts that cannot be linked leave them; the
+        # others are joined anew by their rarest shingles.
         possible = written(can_be_linked(of(large), width, percent), "possible")
-        blocks = blocks.where(F.col("parts") == 1).unionByName(blocks_of(of(possible)))
+        once_each = written(of(possible).dropDuplicates(["key"]), "possible-texts")
+        blocks = blocks.where(F.col("parts") == 1).unionByName(blocks_of(rare_edges(once_each, width, percent)))
     members = of(blocks).select("key", "text", "root", "parts").mapInArrow(once, "key binary, text string, root long, parts int")
     mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     members = members.select("root", "key", "text", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))

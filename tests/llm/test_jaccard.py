@@ -4,7 +4,6 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corpuslab.llm.jaccard import components, jaccard_components, linked, merge, op9_jaccard_join, shingle_sets, signatures
 
@@ -119,4 +118,19 @@ def test_query(spark):
     want = brute(sets, 85)
     got = sorted(op9_jaccard_join(spark, sf_dir).collect())
     assert [tuple(r) for r in got] == [(i, len(s), docs[w][0]) for (i, _), s, w in zip(docs, sets, want, strict=True)]
-    assert F is not None and len(set(want)) < len(want)
+    assert len(set(want)) < len(want)
+
+
+def test_large_blocks_lose_no_links(spark):
+    """Texts that share passages: what leaves a block has no link, and rare shingles join all that have."""
+    from corpuslab.llm.jaccard import can_be_linked, rare_edges
+
+    texts = sorted(set(made(random.Random(6), 300)))
+    sets = [shingles(t, 5) for t in texts]
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "node long, text string").repartition(6)
+    left = {r["node"] for r in can_be_linked(df.unionByName(df.limit(50)), 5, 80).collect()}
+    assert {k for e in links for k in e} <= left < set(range(len(texts)))
+    edges = [(r["a"], r["b"]) for r in rare_edges(df, 5, 80).collect()]
+    root = least(len(texts), edges)
+    assert links and all(root[i] == root[j] for i, j in links)
