@@ -161,6 +161,59 @@ def slots(page: Page, keys: list[str]) -> list[int]:
     return out
 
 
+def nested(pages: list[Page], keys: list[str]) -> list[list[int]]:
+    """For each token of each page the number of its innermost slot.
+
+    What lies in one slot of the frame is looked at anew: keys that end lines and occur once there on enough pages cut it
+    into the slots of an inner class; if there are none, one that comes again and again cuts it into records, which then
+    count as pages of their own. So it goes on while at least three stretches are alike.
+    """
+    out = [slots(p, keys) for p in pages]
+    todo: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for i, of in enumerate(out):
+        at = 0
+        for k in range(1, len(of) + 1):
+            if k == len(of) or of[k] != of[at]:
+                todo[of[at]].append((i, at, k))
+                at = k
+    groups, last = list(todo.values()), len(keys)
+    while groups:
+        spans = groups.pop()
+        if len(spans) < 3:
+            continue
+        parts = []
+        for i, low, high in spans:
+            part = Page()
+            for k in range(low, high):
+                t = pages[i].tokens[k]
+                if t.breaks and not t.aside:
+                    part.place[t.key].append(k)
+            parts.append(part)
+        inner = frame(parts)
+        number = {k: n for n, k in enumerate(inner, 1)}
+        if not inner:
+            support = Counter(k for p in parts for k in p.place)
+            again = [k for k, n in support.items() if n >= SUPPORT * len(parts) and sum(len(p.place[k]) for p in parts if k in p.place) > n]
+            if not again:
+                continue
+            number = {min(again, key=lambda k: (-support[k], min(p.place[k][0] for p in parts if k in p.place), k)): 1}
+        cut: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for i, low, high in spans:
+            at, now = low, 0
+            for k in range(low, high):
+                n = number.get(pages[i].tokens[k].key, 0)
+                if n and (n > now or not inner):
+                    cut[now].append((i, at, k))
+                    at, now = k + 1, n
+            cut[now].append((i, at, high))
+        for group in cut.values():
+            last += 1
+            for i, low, high in group:
+                out[i][low:high] = [last] * (high - low)
+            groups.append([x for x in group if x[2] > x[1]])
+    return out
+
+
 def clean(raw: str) -> str:
     return SPACE.sub(" ", references.unescape(raw.replace("\0", " "))).strip()
 
@@ -193,29 +246,48 @@ def blocks(page: Page, within: list[int]) -> list[Block]:
 def extract(sources: list[str]) -> list[str]:
     """The main text of each page of a block.
 
-    The template's slots are what lies between the keys of its frame. Lines that most pages have in the same slot are
-    the template's own, and a slot that is mostly links is a menu; neither is the article's. A slot inside an article
-    or a main part is taken before all others, and whole: there a line that comes again on a host is still text.
+    The template's slots are what lies between the keys of its classes. Lines that most pages have in the same slot are
+    the template's own, and a slot that is mostly links is a menu; neither is the article's, inside an article or a
+    main part as elsewhere. Those tags are a hint on top: of the lines left, those inside them are taken if they hold
+    most of the text that pages of the same layout have left; if not, as with a teaser, all lines left are.
     """
     pages = [tokenise(s) for s in sources]
-    keys = frame(pages)
-    lines = [blocks(p, slots(p, keys)) for p in pages]
-    seen = Counter(x for ls in lines for x in {(b.slot, b.text) for b in ls})
-    constant = {x for x, n in seen.items() if len(pages) >= 3 and n >= CONSTANT * len(pages)}
+    lines = [blocks(p, within) for p, within in zip(pages, nested(pages, frame(pages)), strict=True)]
+    seen = Counter(x for ls in lines for x in {(b.slot, b.text, bool(_tagged(b))) for b in ls})
+    # Inside a tagged part a line that just two of three pages share is still text.
+    constant = {x for x, n in seen.items() if len(pages) >= 3 and n >= max(CONSTANT * len(pages), 3 * x[2])}
     chars: Counter[int] = Counter()
     linked: Counter[int] = Counter()
+    rows: Counter[int] = Counter()
     for b in (b for ls in lines for b in ls):
         chars[b.slot] += len(b.text)
         linked[b.slot] += len(b.text) * b.linked
+        rows[b.slot] += 1
     menus = {s for s, n in chars.items() if linked[s] > LINKED * n}
-    return [_main(ls, constant, menus) for ls in lines]
-
-
-def _main(lines: list[Block], constant: set[tuple[int, str]], menus: set[int]) -> str:
-    for wanted in ("article", "main"):
-        if found := [b.text for b in lines if any(x.split(".")[0] == wanted for x in b.path)]:
+    held = Counter(s for ls in lines for s in {b.slot for b in ls})
+    # Inside a tagged part one linked line is a headline; a menu has several, on pages enough to tell.
+    lists = {s for s in menus if len(pages) >= 3 and rows[s] >= 2 * held[s]}
+    left = [[b for b in ls if (b.slot, b.text, bool(_tagged(b))) not in constant and b.slot not in (lists if _tagged(b) else menus)] for ls in lines]
+    inside: Counter[tuple] = Counter()
+    whole: Counter[tuple] = Counter()
+    layouts = [tuple(sorted({x for b in ls if (x := _tagged(b))})) for ls in lines]
+    for layout, ls in zip(layouts, left, strict=True):
+        inside[layout] += sum(len(b.text) for b in ls if _tagged(b))
+        whole[layout] += sum(len(b.text) for b in ls)
+    return [_main(ls, 2 * inside[x] >= whole[x]) for x, ls in zip(layouts, left, strict=True)]
+
+
+def _tagged(line: Block) -> tuple[str, ...]:
+    """The containers down to the outermost article or main part around a line; none if there is none."""
+    return next((line.path[: k + 1] for k, x in enumerate(line.path) if x.split(".")[0] in ("article", "main")), ())
+
+
+def _main(left: list[Block], by_tags: bool) -> str:
+    for wanted in ("article", "main") if by_tags else ():
+        found = [b.text for b in left if any(x.split(".")[0] == wanted for x in b.path)]
+        if found and 2 * sum(map(len, found)) >= sum(len(b.text) for b in left if _tagged(b)):
             return "\n".join(found)
-    return "\n".join(b.text for b in lines if (b.slot, b.text) not in constant and b.slot not in menus)
+    return "\n".join(b.text for b in left if not by_tags or _tagged(b) or not any(map(_tagged, left)))
 
 
 def extract_main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", block: int = BLOCK) -> DataFrame:

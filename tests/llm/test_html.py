@@ -55,3 +55,29 @@ def test_edges(spark):
     got = extract_main_text(df)
     assert got.columns == ["page_id", "url", "text", "n_chars"] and extract_main_text(df.limit(0)).count() == 0
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got.collect()) == [(0, 0), (1, 0), (2, 1), (2, 1), (3, 499_999)]
+
+
+def long(k):
+    return " ".join(f"word{k}x{j}" for j in range(40))
+
+
+def test_template_decides_inside_articles():
+    """A notice and a menu without a telling class go; the headline, though a link, stays, and so does what varies."""
+    pages = [
+        f"<body><article><h1><a href=/{k}>Title {k}</a></h1><div class=x1>Our site is made by many hands.</div><p>{long(k)}</p>"
+        f"<ul><li><a href=/a{k}>More {k}</a></li><li><a href=/b{k}>Other {k}</a></li></ul></article></body>"
+        for k in range(6)
+    ]
+    assert extract(pages) == [f"Title {k}\n{long(k)}" for k in range(6)]
+
+
+def test_text_outside_a_teaser_article():
+    pages = [f"<body><div class=site>Name of it</div><div class=c1><p>{long(k)}</p></div><article class=t><p>Teaser {k}</p></article></body>" for k in range(6)]
+    assert all(long(k) in t and "Name of it" not in t for k, t in enumerate(extract(pages)))
+
+
+def test_records_are_an_inner_class():
+    """A line of every record, on pages with unlike numbers of records, goes; what records hold otherwise stays."""
+    pages = ["<body><main>" + "".join(f"<section class=r><h2>Part {k} {j}</h2><p>{long(k * 9 + j)}</p><p>Back to top</p></section>" for j in range(2 + k % 3)) + "</main></body>" for k in range(6)]
+    want = ["\n".join(f"Part {k} {j}\n{long(k * 9 + j)}" for j in range(2 + k % 3)) for k in range(6)]
+    assert extract(pages) == want
