@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections import Counter, defaultdict
@@ -250,8 +251,26 @@ def extract(sources: list[str]) -> list[str]:
     the template's own, and a slot that is mostly links is a menu; neither is the article's, inside an article or a
     main part as elsewhere. Those tags are a hint on top: of the lines left, those inside them are taken if they hold
     most of the text that pages of the same layout have left; if not, as with a teaser, all lines left are.
+
+    Copies, which say nothing of what is a host's, count as one page: pages with the same tags and the same text outside
+    containers that are not the article's, whatever their links and asides.
     """
-    pages = [tokenise(s) for s in sources]
+    read = [tokenise(s) for s in sources]
+    alike = [signature(p) for p in read]
+    distinct = dict(zip(reversed(alike), reversed(read), strict=True))
+    texts = dict(zip(distinct, _extract(list(distinct.values())), strict=True))
+    return [texts[x] for x in alike]
+
+
+def signature(page: Page) -> bytes:
+    """The same for copies of a page."""
+    found = hashlib.md5(usedforsecurity=False)
+    for t in page.tokens:
+        found.update(f"{t.key}\0{'' if t.aside else t.text}\0{t.linked:d}\0".encode("utf-8", "surrogatepass"))
+    return found.digest()
+
+
+def _extract(pages: list[Page]) -> list[str]:
     lines = [blocks(p, within) for p, within in zip(pages, nested(pages, frame(pages)), strict=True)]
     seen = Counter(x for ls in lines for x in {(b.slot, b.text, bool(_tagged(b))) for b in ls})
     # Inside a tagged part a line that just two of three pages share is still text.
@@ -316,13 +335,20 @@ def extract_main_text(df: DataFrame, page_id: str = "page_id", url: str = "url",
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         sources = pdf["html"].fillna("").tolist()
-        # By their content, so that the result does not hang on how the rows came.
-        order = sorted(range(len(sources)), key=sources.__getitem__)
-        texts = [""] * len(sources)
-        for at in range(0, len(order), 2 * block):  # repeated rows share a hash and so a block; it is cut all the same
-            part = order[at : at + 2 * block]
-            for i, t in zip(part, extract([sources[i] for i in part]), strict=True):
-                texts[i] = t
+        # By their content, so that the result does not hang on how the rows came; repeated rows share a hash and so a
+        # part, where copies are left out before it is cut.
+        found = dict.fromkeys(sorted(set(sources)))
+        groups: dict[bytes | str, list[str]] = defaultdict(list)
+        for source in found:
+            groups[signature(tokenise(source)) if len(found) > 2 * block else source].append(source)
+        first = [g[0] for g in groups.values()]
+        for at in range(0, len(first), 2 * block):
+            part = first[at : at + 2 * block]
+            for source, t in zip(part, extract(part), strict=True):
+                found[source] = t
+        for g in groups.values():
+            found |= dict.fromkeys(g, found[g[0]])
+        texts = [found[source] for source in sources]
         return pd.DataFrame({"row": pdf["row"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     found = keyed.groupBy("name", "part").applyInPandas(work, result)

@@ -81,3 +81,16 @@ def test_records_are_an_inner_class():
     pages = ["<body><main>" + "".join(f"<section class=r><h2>Part {k} {j}</h2><p>{long(k * 9 + j)}</p><p>Back to top</p></section>" for j in range(2 + k % 3)) + "</main></body>" for k in range(6)]
     want = ["\n".join(f"Part {k} {j}\n{long(k * 9 + j)}" for j in range(2 + k % 3)) for k in range(6)]
     assert extract(pages) == want
+
+
+def test_copies_count_as_one_page(spark):
+    """Mirrored pages and repeated rows of an article without a tag keep its text, and the template goes all the same."""
+    page = lambda k, link="": f"<body><div class=x>Name of the site</div><div class=c><p><a href='/?utm={link}'>By hand</a> {long(k)}</p><p>line {k}</p></div></body>"
+    article = f"By hand {long(0)}\nline 0"
+    for n in (3, 200):
+        assert all(article in t for t in extract([page(0, j) for j in range(n)]))
+        mixed = extract([page(0, j) for j in range(n)] + [page(k) for k in range(1, 6)])
+        assert mixed == [article] * n + [f"By hand {long(k)}\nline {k}" for k in range(1, 6)]
+        rows = [(1, "http://a.test/1", page(0, j % 150)) for j in range(n)] + [(1, "http://a.test/1", page(k)) for k in range(1, 6)]
+        got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert sorted(r["text"] for r in got) == sorted(mixed)
