@@ -103,9 +103,10 @@ def refusal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, max(CASE WHEN turn = 0 THEN md5(text) END) AS turn_0, max(CASE WHEN turn = 1 THEN md5(text) END) AS turn_1, max(CASE WHEN turn = 2 THEN md5(text) END) AS turn_2 FROM conversations GROUP BY 1")
 def turns_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as columns, over a given list."""
+    """Turns as columns, all that occur."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("h"))
-    return c.groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == k, F.col("h"))).alias(f"turn_{k}") for k in range(3)])
+    turns = sorted((r[0] for r in c.select("turn").distinct().collect()), key=lambda k: (k is None, k))  # a handful
+    return c.groupBy("conv_id").agg(*[F.max(F.when(F.col("turn").eqNullSafe(F.lit(k)), F.col("h"))).alias(f"turn_{'null' if k is None else k}") for k in turns])
 
 
 _VAL = "CASE " + " ".join(f"WHEN x = '{k}' THEN {v}" for k, v in VALENCE.items()) + " ELSE 0.0 END"
