@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpuslab.plans import gates
+from corpuslab.plans import evaluation, gates
 
 DIR = "/root/testdata/sf0.001"
 
@@ -23,3 +23,10 @@ def test_all_turns_are_columns(spark, con):
     got = gates.turns_pivot(spark, DIR)
     assert got.columns == ["conv_id", *(f"turn_{k}" for (k,) in con.sql("SELECT DISTINCT turn FROM conversations ORDER BY 1").fetchall())]
     assert {(r["conv_id"], int(c[5:]), r[c]) for r in got.collect() for c in got.columns[1:] if r[c] is not None} == want
+
+
+def test_spearman_over_all_rows(spark, con):
+    want = con.sql(evaluation.ORACLE["spearman"].replace(" WHERE l_orderkey % 5 = 0", "")).fetchall()[0]
+    got = evaluation.spearman(spark, DIR).first()
+    assert got["n"] == want[0] == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    assert got["rho"] == pytest.approx(want[1], abs=1e-6)
