@@ -36,10 +36,13 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT doc_id, '[''' || replace(substr(text, 1, 40), ' ', ''' ''') || ''' "don''t"]' AS repr FROM documents WHERE strpos(substr(text, 1, 40), '"') = 0 AND strpos(substr(text, 1, 40), '''') = 0)
 SELECT doc_id, CAST(len(regexp_extract_all(repr, '''([^'']*)''|"([^"]*)"')) AS INTEGER) AS n_items, 'don''t' AS last_item, CAST(len(regexp_extract_all(repr, '''([^'']+)''')) AS INTEGER) AS n_single FROM r""")
 def token_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1, P2, P3 over token lists written as text."""
-    head = F.substring("text", 1, 40)
-    d = table(spark, sf_dir, "documents").where(~head.contains('"') & ~head.contains("'"))
-    r = d.select("doc_id", F.concat(F.lit("['"), F.replace(head, F.lit(" "), F.lit("' '")), F.lit("' \"don't\"]")).alias("repr"))
+    """P1, P2, P3 over token lists written as text: all tokens, in double quotes where one holds an apostrophe."""
+    single, double = (F.lit(x) for x in "'\"")
+    quoted = lambda t: (
+        F.when(~t.contains("'"), F.concat(single, t, single)).when(~t.contains('"'), F.concat(double, t, double)).otherwise(F.concat(single, F.replace(t, single, F.lit("\\'")), single))
+    )
+    written = F.transform(F.coalesce(F.split("text", " "), F.array().cast("array<string>")), quoted)
+    r = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(F.concat(written, F.array(F.lit('"don\'t"'))), " "), F.lit("]")).alias("repr"))
     items = parse.quoted_items(F.col("repr"))
     return r.select("doc_id", F.size(items).alias("n_items"), F.element_at(items, -1).alias("last_item"), parse.single_quoted_count(F.col("repr")).alias("n_single"))
 

@@ -1,11 +1,12 @@
 """Queries over all of their input, against SQL without cuts or brute force."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
-from corpuslab.plans import evaluation, gates
+from corpuslab.plans import evaluation, gates, text
 
 DIR = "/root/testdata/sf0.001"
 
@@ -30,3 +31,17 @@ def test_spearman_over_all_rows(spark, con):
     got = evaluation.spearman(spark, DIR).first()
     assert got["n"] == want[0] == con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
     assert got["rho"] == pytest.approx(want[1], abs=1e-6)
+
+
+def test_token_lists_are_whole(spark, con, tmp_path):
+    """All tokens of all documents, also with quotes of either kind and without text."""
+    rows = con.sql("SELECT doc_id, text FROM documents").fetchall() + [(-1, "it's a \"b\" c"), (-2, ""), (-3, None), (-4, "x " * 100 + "can't")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in text.token_list_parse(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        words = [] if t is None else t.split(" ")
+        assert not any("'" in w and '"' in w for w in words)
+        assert got[k]["n_items"] == len(words) + 1 and got[k]["last_item"] == "don't"
+        written = " ".join(f'"{w}"' if "'" in w else f"'{w}'" for w in [*words, "don't"])
+        assert got[k]["n_single"] == len(re.findall("'([^']+)'", written))
