@@ -83,7 +83,7 @@ def _macro_of(cells: str) -> str:
 w AS (SELECT *, {_POIS} AS w FROM r), dd AS (SELECT r, {_macro_of('e1')} - {_macro_of('b0')} AS d FROM w GROUP BY 1) SELECT round(quantile_cont(d, 0.025), 4) AS lo, round(quantile_cont(d, 0.5), 4) AS med, round(quantile_cont(d, 0.975), 4) AS hi FROM dd""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D18."""
-    return D.bootstrap_delta(predictions(spark, sf_dir), "doc_id", F.col("y"), F.col("b0"), F.col("e1"), 200)
+    return D.bootstrap_delta(predictions(spark, sf_dir), "doc_id", F.col("y"), F.col("b0"), F.col("e1"), 2000)
 
 
 @query(f"""WITH {PRED}, c AS (SELECT CAST(count(*) FILTER (WHERE e1 = 1 AND lang = 'en') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE e1 = 0 AND lang = 'en') AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE e1 = 1 AND lang <> 'en') AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE e1 = 0 AND lang <> 'en') AS DOUBLE) AS d FROM e)
@@ -132,7 +132,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D9."""
     from ..operators.ml import tf_idf
 
-    return tf_idf(docs(spark, sf_dir), "doc_id", F.col("t"), 200, 5, 0.8).withColumn("weight", F.round("weight", 6))
+    return tf_idf(docs(spark, sf_dir), "doc_id", F.col("t"), 5000, 5, 0.8).withColumn("weight", F.round("weight", 6))
 
 
 @query("WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders) SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS z FROM orders, s")

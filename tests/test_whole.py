@@ -45,3 +45,15 @@ def test_token_lists_are_whole(spark, con, tmp_path):
         assert got[k]["n_items"] == len(words) + 1 and got[k]["last_item"] == "don't"
         written = " ".join(f'"{w}"' if "'" in w else f"'{w}'" for w in [*words, "don't"])
         assert got[k]["n_single"] == len(re.findall("'([^']+)'", written))
+
+
+def test_term_weights_of_five_thousand_terms(spark, con):
+    want = con.sql(evaluation.ORACLE["tfidf_weights"].replace("LIMIT 200)", "LIMIT 5000)")).fetchall()
+    got = evaluation.tfidf_weights(spark, DIR).collect()
+    assert len({r["token"] for r in got}) == len({t for _, t, _ in want}) > 200
+    assert {(r["doc_id"], r["token"]): r["weight"] for r in got} == {(d, t): pytest.approx(w, abs=2e-6) for d, t, w in want}
+
+
+def test_bootstrap_of_two_thousand_replicates(spark, con):
+    want = con.sql(evaluation.ORACLE["bootstrap_ci"].replace("range(1, 201)", "range(1, 2001)")).fetchall()[0]
+    assert tuple(evaluation.bootstrap_ci(spark, DIR).first()) == pytest.approx(want, abs=1e-4)
