@@ -11,15 +11,30 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Rows of a key from which a join does not deal them to one task, and the most keys that can be so.
+HUB, HUBS = 1_000, 50_000
+#: Texts that a task remembers, by their md5, to hand on copies once.
+REMEMBERED = 100_000
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors see; where it is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir, which driver and executors see.
+
+    Where it is unset, a temporary folder serves a local master (tests); on a cluster, where executors would write to
+    their own disks, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "dir" not in _LOCAL:
             folder = tempfile.mkdtemp(prefix="corpuslab-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -44,7 +59,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._corpuslab_path = path
+    return found
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_corpuslab_path", None):
+            _remove(df.sparkSession, path)
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has each ``key`` once, so that a key of very many rows is no single task's.
+
+    Keys of more than HUB rows, and of so many that HUBS of them would hold all rows, are joined where their rows
+    are: what ``one`` has of them is broadcast, at most HUBS of its rows. All others are dealt by key. Null keys are in
+    no hub; an inner join drops them, a left join spreads them. ``rows`` is read three times: give a written table.
+    """
+    total = rows.count()
+    hubs = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > max(HUB, total // HUBS)).select(key)
+    few = F.broadcast(hubs)
+    many = rows.join(few, key, "left_semi").join(F.broadcast(one.join(few, key, "left_semi")), key, how)
+    rest = rows.where(F.col(key).isNotNull()).join(few, key, "left_anti").join(one.hint("merge"), key, how)
+    found = many.unionByName(rest)
+    if how == "left":
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in one.schema if f.name != key]
+        found = found.unionByName(rows.where(F.col(key).isNull()).select(key, *[c for c in rows.columns if c != key], *empty))
+    return found
+
+
+def few_copies(rows: DataFrame, key: str, other: list[Column]) -> DataFrame:
+    """``rows`` (a ``key`` for each text), with ``again``: 1 where copies elsewhere are left out in favour of the row.
+
+    Of a text that more than HUB rows have (and so many that at most HUBS texts can) one row stays, by the least hash
+    of ``other`` columns; rows that are alike in them too stay. So no text moves by millions to meet its copies.
+    """
+    own = F.xxhash64(*other) if other else F.lit(0).cast("long")
+    hashed = rows.withColumn("own", own)
+    total = rows.count()
+    hot = written(hashed.groupBy(key).agg(F.count("*").alias("rows"), F.min("own").alias("least")).where(F.col("rows") > max(HUB, total // HUBS)).select(key, "least"), "hot-keys")
+    found = hashed.join(F.broadcast(hot), key, "left").where(F.col("least").isNull() | (F.col("own") == F.col("least")))
+    return found.withColumn("again", F.when(F.col("least").isNull(), 0).otherwise(1)).drop("own", "least")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +136,8 @@ def bucketed(df: DataFrame, key: str, partitions: int) -> DataFrame:
     The table is dropped when the driver ends.
     """
     spark = df.sparkSession
+    if not _is_local(spark) and not spark.sparkContext.getConf().get("spark.sql.warehouse.dir"):
+        raise RuntimeError("set spark.sql.warehouse.dir to a folder that the driver and all executors share")
     name = f"corpuslab_{uuid.uuid4().hex}"
     df.repartition(partitions, key).write.bucketBy(partitions, key).sortBy(key).saveAsTable(name)
 

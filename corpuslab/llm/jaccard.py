@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, table, written
+from .common import as_bytes, few_copies, forget, join_one, slices, table, written
 
 #: Size classes of sets grow by this factor. It is over 1 / 0.85, so linked sets are in one class or the next.
 GROWTH = 1.6
@@ -21,6 +21,8 @@ GROWTH = 1.6
 SIGNATURES, SLICE = 1_000_000, 8 << 20
 #: Bytes of text whose words are held at a time.
 TOGETHER = 1 << 20
+#: Orders in which neighbours are compared before a search.
+NEIGHBOURS = 8
 #: Lower share of the hash space whose shingles tell which texts of a large block can have links.
 PROBED = 0.3
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -268,20 +270,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of edges (a, b): the least node that each reaches, for all nodes with an edge.
 
     Alternating large and small stars: each round hangs every node's neighbours on the least of them, by sums and
-    joins on nodes, so that a node with very many neighbours is summed in parts and split in the join. Rounds are
-    written; their number grows as the logarithm of the size.
+    joins on nodes, so that a node with very many neighbours is summed in parts and joined where its edges are. Rounds
+    are written, and dropped when the next one is; their number grows as the logarithm of the size.
     """
     edges = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("w").alias("v"))
+        large = join_one(both, least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("w").alias("v"))
         large = written(large.where(F.col("u") != F.col("v")).distinct(), "large-stars")
+        forget(edges)
         least = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = large.join(least, "u")
+        small = join_one(large, least, "u")
         small = small.select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(least.select("u", F.col("w").alias("v")))
         edges = written(small.where(F.col("u") != F.col("v")).distinct(), "small-stars")
+        forget(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -313,13 +317,10 @@ def merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
     """Set numbers that stand in at least ``least`` of the sorted lists, with how often: a heap of the lists' heads.
 
     When fewer than ``least`` heads are left the merge ends; heads that cannot reach ``least`` are skipped to the next
-    that can. Many entries are merged by one sort, which yields the same.
+    that can.
     """
     if len(lists) < least:
         return []
-    if sum(map(len, lists)) > 3000:
-        found, counts = np.unique(np.concatenate(lists), return_counts=True)
-        return [*zip(found[counts >= least].tolist(), counts[counts >= least].tolist(), strict=True)]
     heads = [(int(x[0]), k, 0) for k, x in enumerate(lists)]
     heapq.heapify(heads)
     out = []
@@ -344,17 +345,25 @@ def merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
     return out
 
 
-def search(index: Index, elements: np.ndarray, percent: int, skip) -> Iterator[int]:  # noqa: ANN001
+def search(index: Index, elements: np.ndarray, percent: int, skip, before: int | None = None) -> Iterator[int]:  # noqa: ANN001
     """DivideSkip: numbers of the index's sets that are linked with ``elements``, but those that ``skip`` tells to.
 
-    Sets from percent of the query's size to its size over percent can be linked; the smallest of them needs the least
-    overlap T. As many of the longest lists as pays are set aside; the short ones are merged with what is left of T,
-    and the candidates looked up in the long ones by binary search, until T cannot be reached any more.
+    Sets are numbered by size. Those from percent of the query's size to its size over percent can be linked, and only
+    their parts of the lists (and those ``before`` a number) are read; the smallest of them needs the least overlap T.
+    As many of the longest lists as pays are set aside; the short ones are merged with what is left of T, and the
+    candidates looked up in the long ones by binary search, until T cannot be reached any more.
     """
     n = len(elements)
     low, high = -(-n * percent // 100), n * 100 // percent
-    needed = -(-percent * (n + low) // (100 + percent))
+    first, last = np.searchsorted(index.sizes, [low, high + 1]).tolist()
+    last = last if before is None else min(last, before)
+    if first >= last:
+        return
+    needed = -(-percent * (n + int(index.sizes[first])) // (100 + percent))
     lists = index.lists(elements)
+    if len(lists) < needed:
+        return
+    lists = [x for x in (y[np.searchsorted(y, first) : np.searchsorted(y, last)] for y in lists) if len(x)]
     if len(lists) < needed:
         return
     lists.sort(key=len)
@@ -362,9 +371,9 @@ def search(index: Index, elements: np.ndarray, percent: int, skip) -> Iterator[i
     aside = min(needed - 1, len(lists), int(needed / (0.0085 * math.log2(longest + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     for doc, count in merge(short, needed - aside):
-        size = int(index.sizes[doc])
-        if not low <= size <= high or skip(doc):
+        if skip(doc):
             continue
+        size = int(index.sizes[doc])
         want = -(-percent * (n + size) // (100 + percent))
         for k, x in enumerate(long):
             if count + len(long) - k < want:
@@ -375,30 +384,75 @@ def search(index: Index, elements: np.ndarray, percent: int, skip) -> Iterator[i
             yield doc
 
 
-def linked(sets: list[np.ndarray], percent: int, left: list[bool] | None = None) -> list[int]:
-    """For each set the least number of its component, numbers as given. With ``left``, only links across are looked for.
+class Groups:
+    """Sets that links join, by their least numbers."""
 
-    Sets that are already in one component are not compared any more.
-    """
-    order = sorted((k for k in range(len(sets)) if len(sets[k])), key=lambda k: (len(sets[k]), k))
-    root = list(range(len(sets)))
+    def __init__(self, n: int) -> None:
+        self.root = list(range(n))
 
-    def find(k: int) -> int:
+    def find(self, k: int) -> int:
+        root = self.root
         while root[k] != k:
             root[k] = root[root[k]]
             k = root[k]
         return k
 
-    def join(a: int, b: int) -> None:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+
 
+def _neighbours_joined(sets: list[np.ndarray], percent: int, groups: Groups) -> None:
+    """Join sets that are linked and neighbours when ordered by their first element from some place on.
+
+    Families of sets that are alike are mostly joined so, at little cost; the search then needs to look for links
+    between groups only.
+    """
+    order = [k for k in range(len(sets)) if len(sets[k])]
+    for part in range(NEIGHBOURS):
+        start = np.uint64(part * (2.0**64 / NEIGHBOURS))
+        at = {k: int(np.searchsorted(sets[k], start)) for k in order}
+        key = {k: int(sets[k][i]) if i < len(sets[k]) else -1 for k, i in at.items()}
+        ranked = sorted(order, key=lambda k: (key[k], len(sets[k]), k))
+        for a, b in zip(ranked, ranked[1:], strict=False):
+            if key[a] != key[b] or groups.find(a) == groups.find(b):
+                continue
+            x, y = sets[a], sets[b]
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            both = np.concatenate([x, y])
+            both.sort()
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                groups.join(a, b)
+
+
+def linked(sets: list[np.ndarray], percent: int, left: list[bool] | None = None) -> list[int]:
+    """For each set the least number of its component, numbers as given. With ``left``, only links across are looked for.
+
+    Neighbours are joined first. Of two groups it is enough that the sets of one look for links with the other, so the
+    sets of the largest group are looked up by all others and look for nothing themselves (with ``left``: for sets
+    outside it only). Sets that are already in one group are not compared any more.
+    """
+    order = sorted((k for k in range(len(sets)) if len(sets[k])), key=lambda k: (len(sets[k]), k))
+    groups = Groups(len(sets))
+    _neighbours_joined(sets, percent, groups)
+    weight: dict[int, int] = {}
+    for k in order:
+        weight[groups.find(k)] = weight.get(groups.find(k), 0) + len(sets[k])
+    most = max(weight, key=lambda k: (weight[k], -k), default=-1)
+    held = {k: groups.find(k) == most for k in order}
     inside = [k for k in order if left is None or left[k]]
-    index = Index([sets[k] for k in inside], 2 if left is None else 1)
+    known, rest = [k for k in inside if held[k]], [k for k in inside if not held[k]]
+    by_known, by_rest = Index([sets[k] for k in known], 1), Index([sets[k] for k in rest], 1)
+    place = {k: i for i, k in enumerate(rest)}
     for k in order if left is None else [k for k in order if not left[k]]:
-        for doc in search(index, sets[k], percent, lambda d, k=k: find(inside[d]) == find(k)):
-            join(inside[doc], k)
-    return [find(k) for k in range(len(sets))]
+        if held[k] and left is None:
+            continue
+        for numbers, index, before in ((rest, by_rest, place.get(k)), *([] if held[k] else [(known, by_known, None)])):
+            for doc in search(index, sets[k], percent, lambda d, k=k, numbers=numbers: groups.find(numbers[d]) == groups.find(k), before):
+                groups.join(numbers[doc], k)
+    return [groups.find(k) for k in range(len(sets))]
 
 
 def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", keep: list[str] | None = None, slice_bytes: int = SLICE) -> DataFrame:
@@ -433,7 +487,9 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, text: s
             keys = batch.column("key").to_pylist()
             yield batch.take(pa.array(sorted({k: i for i, k in reversed([*enumerate(keys)])}.values()), pa.int64()))
 
-    texts = rows.select(node, "key", "text")
+    plain = [F.col(f"row.`{f.name}`") for f in rows.schema["row"].dataType if "map<" not in f.dataType.simpleString()]
+    by = F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+    texts = few_copies(rows.select(node, "key", "text", by.alias("by")), "key", [F.col("by")]).select("node", "key", "text")
     total = counted.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
 
     def of(nodes: DataFrame) -> DataFrame:
@@ -441,9 +497,11 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, text: s
         return texts.join(F.broadcast(nodes) if nodes.count() <= 200_000 else nodes, "node")
 
     def blocks_of(edges: DataFrame) -> DataFrame:
-        roots = components(edges)
+        roots = written(components(edges), "roots")
         sizes = counted.select(node, "key", "bytes").distinct().join(roots, "node").groupBy("root").agg(F.ceil(F.sum("bytes") / slice_bytes).cast("int").alias("parts"))
-        return written(roots.join(sizes, "root"), "blocks")
+        found = written(join_one(roots, sizes, "root"), "blocks")
+        forget(roots)
+        return found
 
     blocks = blocks_of(candidate_edges(texts, width, percent, total))
     large = blocks.where(F.col("parts") > 1).select("node")
@@ -470,14 +528,14 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, text: s
     stars = members.groupBy("root", "one", "two").applyInPandas(block, "a binary, b binary")
     found = components(stars).select(F.col("node").alias("key"), F.col("root").alias("component"))
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "key"))
-    return counted.join(found, "key", "left").select("row.*", "n_shingles", component.alias("component"))
+    return join_one(counted, written(found, "components"), "key", "left").select("row.*", "n_shingles", component.alias("component"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with 4-word shingles at 0.85. A document without words is its own component."""
-    found = jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, keep=["doc_id"])
+    found = written(jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, keep=["doc_id"]), "linked")
     least = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = found.join(least, "component", "left")
+    joined = join_one(found, least, "component", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

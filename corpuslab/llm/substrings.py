@@ -4,7 +4,8 @@ A string of ``length`` bytes has an anchor: the leftmost of its k-grams with the
 anchors at equal places, so texts are cut into pieces, each the strings of one anchor, and only pieces with one anchor
 are compared. They are put side by side at their anchors and sorted column by column from the right: each round
 inserts one symbol per piece and updates the order of all suffixes (whose symbols before are the collection's
-Burrows-Wheeler transform) and the common prefixes of neighbours.
+Burrows-Wheeler transform) and the common prefixes of neighbours. Common prefixes tell strings of any length apart, so
+one sort finds those of ``length`` bytes, which are removed, and those of ``passage`` bytes, which are counted.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bucketed, slices, table, written
+from .common import REMEMBERED, as_bytes, bucketed, few_copies, forget, join_one, slices, table, written
 from .jaccard import mixed
 
 #: Bytes of an anchor; a power of two.
 GRAM = 64
 #: Pieces that a task sorts at a time, and pieces of one anchor beyond which they are dealt out further.
-SORTED, CROWD = 16_384, 8_192
+SORTED, CROWD = 16_384, 2_048
+#: Bytes of a repeated passage that is counted though it is too short to be removed: most of over 50 words have more.
+PASSAGE = 256
 #: Longer texts are searched for anchors in segments of so many bytes.
 SEGMENT = 1 << 23
 #: Bytes of text in one bucket of the table of texts.
@@ -69,8 +72,8 @@ def pieces(text: bytes, length: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def sort_columns(data: list[bytes], groups: np.ndarray, start: np.ndarray, length: int, low: np.ndarray, high: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Which starts of each piece begin a string of ``length`` bytes that another piece of its group has as well.
+def sort_columns(data: list[bytes], groups: np.ndarray, start: np.ndarray, lengths: list[int], low: np.ndarray, high: np.ndarray) -> list[list[list[tuple[int, int]]]]:
+    """For each of ``lengths``, which starts of each piece begin a string of so many bytes that another piece of its group has too.
 
     ``start``: the column of a piece's first byte; pieces are in order of their groups. Returns ranges of columns
     (first, last) between ``low`` and ``high``.
@@ -88,7 +91,8 @@ def sort_columns(data: list[bytes], groups: np.ndarray, start: np.ndarray, lengt
         symbols[start[k] - first : ends[k] - first, k] += 1
     order = np.arange(m)
     common = np.zeros(m, np.int32)
-    found = np.zeros((width, m), bool)
+    found = [np.zeros((width, m), bool) for _ in lengths]
+    longest = max(lengths)
     key = groups.astype(np.int64) * 257
     for c in range(width - 1, -1, -1):
         column = symbols[c][order]
@@ -104,14 +108,21 @@ def sort_columns(data: list[bytes], groups: np.ndarray, start: np.ndarray, lengt
             bounds = np.column_stack([u[far] + 1, np.minimum(v[far] + 1, m)]).ravel()
             least[far] = np.minimum.reduceat(np.append(common, np.int32(1 << 30)), bounds)[::2]
         common = np.zeros(m, np.int32)
-        common[at] = np.minimum(least + 1, length)
+        common[at] = np.minimum(least + 1, longest)
         order = order[new]
-        full = common >= length
-        if full.any():
-            full[:-1] |= full[1:]
-            found[c, order[full]] = True
+        for n, hit in zip(lengths, found, strict=True):
+            full = common >= n
+            if full.any():
+                full[:-1] |= full[1:]
+                hit[c, order[full]] = True
     columns = np.arange(width)[:, None] + first
-    found &= (columns >= low) & (columns <= high)
+    inside = (columns >= low) & (columns <= high)
+    return [_runs(hit & inside, first) for hit in found]
+
+
+def _runs(found: np.ndarray, first: int) -> list[list[tuple[int, int]]]:
+    """The ranges of rows (first, last), numbered from ``first``, in which each column is true."""
+    m = found.shape[1]
     out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
     edge = np.diff(np.vstack([np.zeros(m, np.int8), found.astype(np.int8), np.zeros(m, np.int8)]), axis=0).T
     for k in np.flatnonzero(found.any(axis=0)).tolist():
@@ -119,56 +130,75 @@ def sort_columns(data: list[bytes], groups: np.ndarray, start: np.ndarray, lengt
     return out
 
 
-SPANS = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
-PIECE = pa.struct([("gram", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()), ("a", pa.int64()), ("z", pa.int64())])
+SPANS = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64()), ("n", pa.int64())]))
+PIECE = pa.struct([("gram", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()), ("a", pa.int64()), ("z", pa.int64()), ("end", pa.int64())])
+RANGES = "gram long, hash long, spans array<struct<a:long,z:long,n:long>>"
 
 
 def _keyed(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).select(F.unhex(F.md5("text")).alias("key"), "text")
+    """(key, text, again): texts by their md5, without the copies of those that very many rows have."""
+    other = [F.col(f"`{f.name}`") for f in df.schema if f.name != text and "map<" not in f.dataType.simpleString()]
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    own = F.xxhash64(*other).alias("by") if other else F.lit(0).cast("long").alias("by")
+    rows = df.select(whole.alias("text"), own).select(F.unhex(F.md5("text")).alias("key"), "text", "by")
+    return few_copies(rows, "key", [F.col("by")]).drop("by")
 
 
 def _once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[int]]:
     """The texts of a batch without copies, and how often each is there: copies do not meet by thousands."""
     first: dict[bytes, int] = {}
     times: dict[bytes, int] = {}
-    for i, k in enumerate(batch.column("key").to_pylist()):
+    for i, (k, again) in enumerate(zip(batch.column("key").to_pylist(), batch.column("again").to_pylist(), strict=True)):
         first.setdefault(k, i)
-        times[k] = times.get(k, 0) + 1
+        times[k] = times.get(k, 0) + 1 + again
     return batch.take(pa.array(list(first.values()), pa.int64())), [times[k] for k in first]
 
 
-def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
-    """(key, text) without copies within a batch, dealt by key: texts are joined twice but shuffled once."""
-    once = _keyed(df, text).mapInArrow(lambda batches: (_once(b)[0] for b in batches), "key binary, text string")
-    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
-    return bucketed(once, "key", max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET)))
-
-
-def repeated_spans(df: DataFrame, texts: DataFrame, length: int = 400, text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """(key, spans): for each text that has any, by its md5, the byte ranges covered by strings of ``length`` bytes that
-    also start anywhere else; ranges as array of (a, z), z exclusive, not merged. ``texts`` holds the texts by key.
+def _distinct_texts(keyed: DataFrame, size: int) -> DataFrame:
+    """(key, text) without copies within a task, dealt by key: texts are joined twice but shuffled once."""
 
-    1. Texts are cut into pieces by anchor, each with a hash. Equal pieces are counted: a piece that occurs twice is
-       repeated as a whole, and stands for all its copies from here on.
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
+        for batch in batches:
+            batch, _ = _once(batch)
+            keys = batch.column("key").to_pylist()
+            new = [i for i, k in enumerate(keys) if k not in met]
+            if len(met) < REMEMBERED:
+                met.update(keys)
+            if new:
+                yield batch.select(["key", "text"]).take(pa.array(new, pa.int64()))
+
+    found = keyed.mapInArrow(once, "key binary, text string")
+    return bucketed(found, "key", max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET)))
+
+
+def repeated_spans(keyed: DataFrame, texts: DataFrame, length: int = 400, passage: int = PASSAGE, crowd: int = CROWD) -> DataFrame:
+    """(key, spans): for each text that has any, by its md5, the byte ranges covered by strings of ``length`` bytes, and
+    those by strings of ``passage`` bytes (fewer or as many), that also start anywhere else; as array of (a, z, n), z
+    exclusive, n the strings' bytes, not merged. ``keyed`` has (key, text, again) of all rows, ``texts`` each text by key.
+
+    1. Texts are cut into pieces by the anchors of strings of ``passage`` bytes; each piece goes on until the last of
+       its strings would have ``length`` bytes, or to the text's end. Equal pieces are counted: a piece that occurs
+       twice is repeated as a whole, and stands for all its copies from here on.
     2. Anchors with several different pieces are left; the bytes of one of each are fetched by a join.
     3. Pieces of an anchor are sorted column-wise in blocks of bounded size. Where an anchor has over ``crowd``
        different pieces, its starts are halved and dealt by a hash of the bytes that all strings of a half share, until
        no group is a crowd or its strings are equal; what is alone drops out.
     4. Ranges go back to all places of their pieces.
     """
-    if length < GRAM:
-        raise ValueError(f"strings are of {GRAM} bytes at least")
+    if passage < GRAM:
+        raise ValueError(f"strings have {GRAM} bytes at least")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, times in map(_once, slices(batches, "text", 8 << 20)):
             out = []
             for t in as_bytes(batch.column("text")):
-                out.append([{"gram": h, "hash": xxhash.xxh3_64_intdigest(t[a : z + length], p - a) - (1 << 63), "place": p, "a": a, "z": z} for h, p, a, z in pieces(t, length)])
+                out.append([{"gram": h, "hash": xxhash.xxh3_64_intdigest(t[a : z + length], (p - a) << 32 | (z - a)) - (1 << 63), "place": p, "a": a, "z": z, "end": min(z + length, len(t))} for h, p, a, z in pieces(t, passage)])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(times, pa.int64()), pa.array(out, pa.list_(PIECE))], names=["key", "times", "pieces"])
 
-    found = written(_keyed(df, text).mapInArrow(cut, "key binary, times long, pieces array<struct<gram:long,hash:long,place:long,a:long,z:long>>"), "pieces").where(F.size("pieces") > 0)
+    found = written(keyed.mapInArrow(cut, "key binary, times long, pieces array<struct<gram:long,hash:long,place:long,a:long,z:long,end:long>>"), "pieces").where(F.size("pieces") > 0)
     each = found.select("key", "times", F.inline("pieces"))
-    counted = written(each.groupBy("gram", "hash").agg(F.sum("times").alias("n"), F.min(F.struct("key", "place", "a", "z")).alias("one")), "piece-counts")
+    counted = written(each.groupBy("gram", "hash").agg(F.sum("times").alias("n"), F.min(F.struct("key", "place", "a", "z", "end")).alias("one")), "piece-counts")
     several = written(counted.groupBy("gram").agg(F.count("*").alias("different")).where(F.col("different") > 1), "several-pieces")
     crowds = several.where(F.col("different") > crowd).select("gram")
     n_crowds = crowds.count()
@@ -177,13 +207,13 @@ def repeated_spans(df: DataFrame, texts: DataFrame, length: int = 400, text: str
         for batch in slices(batches, "text", 8 << 20):
             rows: list[tuple] = []
             for t, ws in zip(as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-                rows += [(w["gram"], w["gram"], w["hash"], w["n"], w["a"] - w["place"], w["z"] - w["place"], t[w["a"] : w["z"] + length]) for w in ws]
+                rows += [(w["gram"], w["gram"], w["hash"], w["n"], w["a"] - w["place"], w["z"] - w["place"], t[w["a"] : w["end"]]) for w in ws]
             kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["g", "gram", "hash", "n", "low", "high", "data"])
 
     def of(grams: DataFrame) -> DataFrame:
         """The pieces of some anchors, with their bytes."""
-        chosen = counted.join(grams, "gram").select("one.key", F.struct("gram", "hash", "n", "one.place", "one.a", "one.z").alias("piece"))
+        chosen = counted.join(grams, "gram").select("one.key", F.struct("gram", "hash", "n", "one.place", "one.a", "one.z", "one.end").alias("piece"))
         wanted = chosen.groupBy("key").agg(F.collect_list("piece").alias("wanted"))
         found = texts.join(wanted.hint("merge"), "key").mapInArrow(fetch, "g long, gram long, hash long, n long, low int, high int, data binary")
         return found.withColumn("start", F.col("low"))
@@ -192,7 +222,7 @@ def repeated_spans(df: DataFrame, texts: DataFrame, length: int = 400, text: str
     rows = of(several.where(F.col("different") <= crowd).select("gram").hint("merge"))
     alike = None
     if n_crowds:  # few: each has over ``crowd`` pieces
-        dealt, alike = _deal_out(written(of(F.broadcast(crowds) if n_crowds <= 100_000 else crowds).dropDuplicates(["gram", "hash"]), "crowd-pieces"), length, crowd)
+        dealt, alike = _deal_out(written(of(F.broadcast(crowds) if n_crowds <= 100_000 else crowds).dropDuplicates(["gram", "hash"]), "crowd-pieces"), length, passage, crowd)
         rows = rows.unionByName(dealt)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +236,7 @@ def repeated_spans(df: DataFrame, texts: DataFrame, length: int = 400, text: str
             head = whole.slice(0, len(g) - keep)
             held = whole.slice(len(g) - keep).to_batches() if keep else []
             if len(head):
-                yield _sorted_block(head, length)
+                yield _sorted_block(head, [length, passage])
 
         for batch in batches:
             for at in range(0, batch.num_rows, SORTED):
@@ -216,49 +246,60 @@ def repeated_spans(df: DataFrame, texts: DataFrame, length: int = 400, text: str
         if held:
             yield from done(True)
 
-    ranges = "gram long, hash long, spans array<struct<a:long,z:long>>"
-    by_sort = rows.repartition("g").sortWithinPartitions("g", "gram", "hash").mapInArrow(sort, ranges)
+    by_sort = rows.repartition("g").sortWithinPartitions("g", "gram", "hash").mapInArrow(sort, RANGES)
     if alike is not None:
         by_sort = by_sort.unionByName(alike)
-    whole = counted.where(F.col("n") > 1).select("gram", "hash", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("one.z") - F.col("one.a")).alias("z"))).alias("spans"))
+    longer = F.when(F.col("one.end") - F.col("one.a") >= length, _span(F.lit(0), F.col("one.end") - F.col("one.a") - length, length))
+    whole = counted.where(F.col("n") > 1).select("gram", "hash", F.array_compact(F.array(longer, _span(F.lit(0), F.col("one.z") - F.col("one.a"), passage))).alias("spans"))
     decided = by_sort.unionByName(whole)
     back = each.join(decided.hint("merge"), ["gram", "hash"]).select("key", F.col("a").alias("at"), F.explode("spans").alias("s"))
-    spans = back.select("key", F.struct((F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.z") + length).alias("z")).alias("span")).distinct()
+    spans = back.select("key", _span(F.col("at") + F.col("s.a"), F.col("at") + F.col("s.z") + F.col("s.n"), F.col("s.n")).alias("span")).distinct()
     return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
 
 
-def _sorted_block(block: pa.Table, length: int) -> pa.RecordBatch:
+def _span(a: Column, z: Column, n: Column | int) -> Column:
+    return F.struct(a.cast("long").alias("a"), z.cast("long").alias("z"), (F.lit(n) if isinstance(n, int) else n).cast("long").alias("n"))
+
+
+def _sorted_block(block: pa.Table, lengths: list[int]) -> pa.RecordBatch:
     """Ranges of the pieces that occur once, as starts from the piece's first byte."""
     frame = {n: block[n].to_numpy() for n in ("g", "gram", "hash", "n", "low", "high", "start")}
     distinct = np.append(True, (frame["g"][1:] != frame["g"][:-1]) | (frame["gram"][1:] != frame["gram"][:-1]) | (frame["hash"][1:] != frame["hash"][:-1]))
-    at = np.flatnonzero(distinct)  # a text that came in several batches was fetched as often
+    at = np.flatnonzero(distinct)  # a text that came from several tasks was fetched as often
     data = block["data"].take(pa.array(at)).to_pylist()
     frame = {n: x[at] for n, x in frame.items()}
     groups = np.cumsum(np.append(False, frame["g"][1:] != frame["g"][:-1]))
-    found = sort_columns(data, groups, frame["start"], length, frame["low"], frame["high"])
-    kept = [k for k, f in enumerate(found) if f and frame["n"][k] == 1]
-    spans = [[{"a": a - int(frame["start"][k]), "z": z - int(frame["start"][k])} for a, z in found[k]] for k in kept]
+    found = sort_columns(data, groups, frame["start"], lengths, frame["low"], frame["high"])
+    kept = [k for k in range(len(data)) if frame["n"][k] == 1 and any(f[k] for f in found)]
+    spans = [[{"a": a - int(frame["start"][k]), "z": z - int(frame["start"][k]), "n": n} for n, f in zip(lengths, found, strict=True) for a, z in f[k]] for k in kept]
     return pa.RecordBatch.from_arrays([pa.array(frame["gram"][kept]), pa.array(frame["hash"][kept]), pa.array(spans, SPANS)], names=["gram", "hash", "spans"])
 
 
-def _deal_out(rows: DataFrame, length: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def _deal_out(rows: DataFrame, length: int, passage: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Rows whose groups have at most ``crowd`` pieces, and the ranges of single starts at which crowds are equal.
 
     A group's strings start between its least and its greatest start. All those of the lower half hold the bytes from
     the middle to the end of the first, all those of the upper half those from the last start to the end of the middle.
+    Where all strings of ``passage`` bytes are equal at one start, those of ``length`` bytes are counted by their md5.
     """
     ready, alike = None, None
-    bound = rows.withColumn("least", F.lit(-(length - GRAM))).withColumn("most", F.lit(0))
+    bound = rows.withColumn("least", F.lit(-(passage - GRAM))).withColumn("most", F.lit(0))
     while True:
         size = bound.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        sized = bound.join(size, "g")
+        sized = join_one(bound, size, "g")
         small = written(sized.where(F.col("size") <= crowd).select(rows.columns), "crowd-ready")
         ready = small if ready is None else ready.unionByName(small)
         large = written(sized.where(F.col("size") > crowd).drop("size"), "crowd-left")
-        single = large.where((F.col("least") == F.col("most")) & (F.col("n") == 1))
-        offset = (F.col("least") - F.col("start")).cast("long")
-        equal = single.select("gram", "hash", F.array(F.struct(offset.alias("a"), offset.alias("z"))).alias("spans"))
-        alike = equal if alike is None else alike.unionByName(equal)
+        forget(bound)
+        at = F.col("least") - F.col("start")
+        equal = large.where(F.col("least") == F.col("most")).select("gram", "hash", "n", at.alias("at"), F.col("least").alias("place"), F.substring("data", at + 1, F.lit(length)).alias("data"))
+        own = equal.where("n = 1").select("gram", "hash", F.array(_span(F.col("at"), F.col("at"), passage)).alias("spans"))
+        long = written(equal.where(F.octet_length("data") == length).select("gram", "hash", "n", "at", F.unhex(F.md5(F.concat(F.encode(F.concat_ws(":", "gram", "place"), "utf-8"), "data"))).alias("sum")), "crowd-long")
+        again = long.groupBy("sum").agg(F.count("*").alias("pieces")).where(F.col("pieces") > 1)
+        longer = join_one(long, again, "sum").where("n = 1").select("gram", "hash", F.array(_span(F.col("at"), F.col("at"), length)).alias("spans"))
+        both = written(own.unionByName(longer), "crowd-alike")
+        alike = both if alike is None else alike.unionByName(both)
+        forget(long)
         left = large.where(F.col("least") < F.col("most"))
         if left.limit(1).count() == 0:
             return ready, alike
@@ -267,13 +308,15 @@ def _deal_out(rows: DataFrame, length: int, crowd: int) -> tuple[DataFrame, Data
         upper = left.select(*rows.columns, (middle + 1).alias("least"), "most")
         halves = lower.unionByName(upper)
         halves = halves.withColumn("low", F.greatest("low", "least")).withColumn("high", F.least("high", "most")).where(F.col("low") <= F.col("high"))
-        shared = F.substring("data", F.col("most") - F.col("start") + 1, F.col("least") + length - F.col("most"))
-        bound = halves.withColumn("g", F.xxhash64("gram", "least", "most", shared))
+        shared = F.substring("data", F.col("most") - F.col("start") + 1, F.col("least") + passage - F.col("most"))
+        bound = written(halves.withColumn("g", F.xxhash64("gram", "least", "most", shared)), "crowd-halves")
+        forget(large)
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
+def merged(spans: list[dict], least: int) -> list[tuple[int, int]]:
+    """The ranges of strings of ``least`` bytes or more, without overlaps."""
     out: list[list[int]] = []
-    for a, z in sorted((s["a"], s["z"]) for s in spans):
+    for a, z in sorted((s["a"], s["z"]) for s in spans if s["n"] >= least):
         if out and a <= out[-1][1]:
             out[-1][1] = max(z, out[-1][1])
         else:
@@ -281,50 +324,61 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def _stripped(df: DataFrame, length: int, text: str, crowd: int) -> DataFrame:
-    """(key, left, cuts) of the texts that lose bytes; a text that came in several batches comes as often."""
-    texts = _distinct_texts(df, text)
-    spans = repeated_spans(df, texts, length, text, crowd)
+def _stripped(df: DataFrame, length: int, text: str, passage: int, crowd: int) -> DataFrame:
+    """(key, left, cuts, repeated) of the texts that have repeats; a text that came from several tasks comes as often."""
+    passage = min(passage, length)
+    keyed = _keyed(df, text)
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
+    texts = _distinct_texts(keyed, size)
+    spans = repeated_spans(keyed, texts, length, passage, crowd)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             out = []
             for t, s in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                cuts = merged(s)
+                cuts = merged(s, length)
                 left = b"".join([t[a:z] for a, z in zip([0, *(z for _, z in cuts)], [*(a for a, _ in cuts), len(t)], strict=True)])
-                out.append((left, len(cuts)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], names=["key", "left", "cuts"])
+                out.append((left, len(cuts), sum(z - a for a, z in merged(s, passage))))
+            kinds = [pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["key", "left", "cuts", "repeated"])
 
-    return texts.join(spans.hint("merge"), "key").mapInArrow(strip, "key binary, left binary, cuts long")
+    return texts.join(spans.hint("merge"), "key").mapInArrow(strip, "key binary, left binary, cuts long, repeated long")
 
 
-def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """``df`` with kept (binary: the bytes left), n_removed and n_spans (long).
+def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", passage: int = PASSAGE, crowd: int = CROWD) -> DataFrame:
+    """``df`` with kept (binary: the bytes left), n_removed, n_spans and n_repeated (long).
 
     Texts are taken as UTF-8. Every byte covered by a string of ``length`` bytes that starts anywhere else too, in any
-    text or the same, is removed; overlaps count, and strings are judged on the input. Null is an empty text. Copies
-    are judged once and found by their md5, so one text may be a third of all rows. No rows give no rows. Input
-    columns of these names are replaced.
+    text or the same, is removed; overlaps count, and strings are judged on the input. Those covered by such strings of
+    ``passage`` bytes (``length`` at most) are counted in n_repeated and stay, unless they are removed. Null is an empty text. Copies are
+    judged once and found by their md5, so one text may be a third of all rows. No rows give no rows. Input columns of
+    these names are replaced.
     """
-    own = [c for c in df.columns if c not in ("kept", "n_removed", "n_spans")]
+    made = ["kept", "n_removed", "n_spans", "n_repeated"]
+    own = [c for c in df.columns if c not in made]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.unhex(F.md5(whole)).alias("key"), whole.cast("binary").alias("whole"))
     kept = F.coalesce("left", "whole")
-    found = rows.join(_stripped(df, length, text, crowd).dropDuplicates(["key"]), "key", "left")
-    return found.select("row.*", kept.alias("kept"), (F.octet_length("whole") - F.octet_length(kept)).cast("long").alias("n_removed"), F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"))
+    found = join_one(rows, _stripped(df, length, text, passage, crowd).dropDuplicates(["key"]), "key", "left")
+    return found.select("row.*", kept.alias("kept"), (F.octet_length("whole") - F.octet_length(kept)).cast("long").alias("n_removed"), F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("repeated", F.lit(0)).cast("long").alias("n_repeated"))
 
 
 def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document. Digests are made where the texts are, so that they need not meet the rows."""
+    """What is left of every document. Digests are made where the texts are, so that they need not meet the rows.
+
+    n_repeated, beyond the contract: bytes in strings of PASSAGE bytes that start elsewhere too, so that repeated
+    passages of some 50 words show, which are not long enough to be removed.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stripped = _stripped(docs, 400, "text", CROWD).select("key", F.octet_length("left").alias("size"), F.sha2("left", 256).alias("sha"), "cuts").distinct()
+    stripped = written(_stripped(docs, 400, "text", PASSAGE, CROWD).select("key", F.octet_length("left").alias("size"), F.sha2("left", 256).alias("sha"), "cuts", "repeated").distinct(), "stripped")
     whole = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.unhex(F.md5(whole)).alias("key"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole.cast("binary"), 256).alias("whole_sha"))
-    found = rows.join(stripped.hint("merge"), "key", "left")
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("size", F.col("n_bytes"))).cast("long").alias("n_removed"), F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))
+    found = join_one(written(rows, "digests"), stripped, "key", "left")
+    left = F.coalesce("size", F.col("n_bytes"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - left).cast("long").alias("n_removed"), F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"), F.coalesce("repeated", F.lit(0)).cast("long").alias("n_repeated"))
 
 
-ORACLE = """
+ORACLE = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS p FROM d WHERE n >= 400)),
 r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
@@ -333,7 +387,12 @@ k AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 400 THEN 1 ELSE 0 END
 m AS (SELECT doc_id, k, min(p) AS a, max(p) + 400 AS z FROM k GROUP BY 1, 2),
 x AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM m UNION ALL SELECT doc_id, max(z), NULL FROM m GROUP BY 1),
 t AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, n) - s)), '' ORDER BY s) AS kh FROM x JOIN d USING (doc_id) GROUP BY 1),
-g AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans FROM m GROUP BY 1)
-SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kh, h))) AS kept_sha256
-FROM d LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)
+g AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans FROM m GROUP BY 1),
+w2 AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, {2 * PASSAGE})) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {PASSAGE - 1})) AS p FROM d WHERE n >= {PASSAGE})),
+r2 AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM w2) WHERE c > 1),
+q2 AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM r2),
+g2 AS (SELECT doc_id, sum(CASE WHEN q IS NULL THEN {PASSAGE} ELSE least(p - q, {PASSAGE}) END) AS held FROM q2 GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kh, h))) AS kept_sha256,
+    CAST(coalesce(held, 0) AS BIGINT) AS n_repeated
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN g2 USING (doc_id)
 """

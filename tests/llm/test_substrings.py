@@ -4,11 +4,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpuslab.llm.substrings import op8_remove_repeats, pieces, remove_repeats, sliding_min
+from corpuslab.llm import common
+from corpuslab.llm.substrings import PASSAGE, _keyed, op8_remove_repeats, pieces, remove_repeats, sliding_min
 
 
-def brute(texts, length):
+def brute(texts, length, passage):
+    passages = Counter(t[i : i + passage] for t in texts for i in range(len(t) - passage + 1))
     counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
     for t in texts:
@@ -17,7 +20,11 @@ def brute(texts, length):
             if counts[t[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((bytes(c for c, g in zip(t, gone, strict=True) if not g), sum(gone), spans))
+        held = bytearray(len(t))
+        for i in range(len(t) - passage + 1):
+            if passages[t[i : i + passage]] > 1:
+                held[i : i + passage] = b"\1" * passage
+        out.append((bytes(c for c, g in zip(t, gone, strict=True) if not g), sum(gone), spans, sum(held)))
     return out
 
 
@@ -50,18 +57,53 @@ def made(rng):
     return texts + [head + word(40) for _ in range(40)]
 
 
-@pytest.mark.parametrize("crowd", [8192, 3])
-def test_made_texts(spark, crowd):
+@pytest.mark.parametrize(("crowd", "passage"), [(8192, 100), (8192, 70), (3, 64), (3, 80), (3, 100)])
+def test_made_texts(spark, crowd, passage):
     for seed in (1, 2):
         texts = made(random.Random(seed))
         df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(4)
-        want = brute([(t or "").encode() for t in texts], 100)
-        got = remove_repeats(df, 100, crowd=crowd)
-        assert got.columns == ["doc_id", "text", "kept", "n_removed", "n_spans"]
+        want = brute([(t or "").encode() for t in texts], 100, passage)
+        got = remove_repeats(df, 100, passage=passage, crowd=crowd)
+        assert got.columns == ["doc_id", "text", "kept", "n_removed", "n_spans", "n_repeated"]
         rows = got.collect()
         assert len(rows) == len(texts)
         for r in rows:
-            assert (bytes(r["kept"]), r["n_removed"], r["n_spans"]) == want[r["doc_id"]], r["doc_id"]
+            assert (bytes(r["kept"]), r["n_removed"], r["n_spans"], r["n_repeated"]) == want[r["doc_id"]], r["doc_id"]
+
+
+def planted(rng):
+    """Texts of their own, three of which hold a passage of 380 bytes, three one of 900; the first is there 70 times."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    short, long = prose(200)[:380], prose(300)[:900]
+    texts = [prose(300) for _ in range(40)]
+    for k in (3, 4, 5):
+        texts[k] = texts[k][:500] + short + texts[k][500:]
+    for k in (6, 7, 8):
+        texts[k] = texts[k][:500] + long + texts[k][500:]
+    return [texts[0]] * 70 + texts[1:]
+
+
+def test_passages_under_and_over_the_length(spark):
+    texts = planted(random.Random(5))
+    got = {r["i"]: r for r in remove_repeats(spark.createDataFrame([*enumerate(texts)], "i long, text string").repartition(70)).collect()}
+    for i, t in enumerate(texts):
+        k = max(0, i - 69)  # as planted
+        n = len(t) if k == 0 else 900 if k in (6, 7, 8) else 380 if k in (3, 4, 5) else 0
+        near = range(n, n + 9)  # what follows or precedes may agree by chance
+        assert got[i]["n_repeated"] in near and got[i]["n_removed"] in (near if n >= 400 else (0,)), k
+
+
+def test_a_text_in_very_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 20)
+    texts = planted(random.Random(6))
+    df = spark.createDataFrame([(k % 50, t) for k, t in enumerate(texts)], "i long, text string").repartition(60)
+    want = sorted((k % 50, len(b), g, s, h) for k, (t, (b, g, s, h)) in enumerate(zip(texts, brute([t.encode() for t in texts], 400, PASSAGE), strict=True)))
+    got = remove_repeats(df).select("i", F.octet_length("kept"), "n_removed", "n_spans", "n_repeated")
+    assert sorted(map(tuple, got.collect())) == want
+    keyed = _keyed(df, "text")
+    assert keyed.where("again = 1").count() <= 3 < 70  # alike in all columns
+    assert keyed.select("key").distinct().count() == len(set(texts))
 
 
 def test_edges(spark, edge_docs):
@@ -74,8 +116,8 @@ def test_edges(spark, edge_docs):
 def test_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs = sorted((r["doc_id"], r["text"].encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
-    want = brute([t for _, t in docs], 400)
+    want = brute([t for _, t in docs], 400, PASSAGE)
     got = sorted(op8_remove_repeats(spark, sf_dir).collect())
-    for (i, t), (left, gone, spans), r in zip(docs, want, got, strict=True):
-        assert tuple(r) == (i, len(t), gone, spans, hashlib.sha256(left).hexdigest())
+    for (i, t), (left, gone, spans, held), r in zip(docs, want, got, strict=True):
+        assert tuple(r) == (i, len(t), gone, spans, hashlib.sha256(left).hexdigest(), held)
     assert sum(w[1] for w in want) > 0
