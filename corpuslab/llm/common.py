@@ -104,6 +104,20 @@ def few_copies(rows: DataFrame, key: str, other: list[Column]) -> DataFrame:
     return found.withColumn("again", F.when(F.col("least").isNull(), 0).otherwise(1)).drop("own", "least")
 
 
+def once_each(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """One row for each ``key`` that ``wanted`` (each key once) has, of rows that are alike where their keys are.
+
+    Keys of very many rows are looked up and reduced where their rows are; the others are dealt by key once.
+    ``rows`` is read three times: give a written table.
+    """
+    total = rows.count()
+    hubs = rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > max(HUB, total // HUBS)).select(key)
+    few = F.broadcast(hubs)
+    many = rows.join(F.broadcast(wanted.join(few, key, "left_semi").select(key)), key, "left_semi").dropDuplicates([key])
+    rest = rows.join(few, key, "left_anti").join(wanted.select(key).hint("merge"), key, "left_semi").dropDuplicates([key])
+    return many.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
