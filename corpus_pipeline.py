@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm.bpe import encode_texts
-from corpuslab.llm.common import table, written
+from corpuslab.llm.common import forget, once_each, table, written
 from corpuslab.llm.decontaminate import remove_spans
 from corpuslab.llm.jaccard import jaccard_components
 from corpuslab.llm.quality import judge
@@ -25,18 +25,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 5-word shingles at 0.8 join: the one with the least id, then text.
 
-    Of rows with one id and text, the first by the other columns. Documents without words link with nothing and stay.
+    Of rows with one id and text, one by a checksum of the other columns. Documents without words link with nothing and stay.
     """
     spark.conf.set(*BATCH)
     keyed = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit(""))))
     found = jaccard_components(keyed.select("doc_id", "text", "__key"), 5, 80, keep=["doc_id", "__key"])
-    first = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "__key")).alias("f"))
-    first = first.select(F.col("f.doc_id").alias("__id"), F.col("f.__key").alias("__first"))
+    first = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "__key")).alias("f")).select("f.*")
     some = F.coalesce("text", F.lit("")).rlike("[^\\x20\\t-\\r]")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = keyed.where(some).join(first, F.col("__key").eqNullSafe(F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__key", "doc_id").orderBy(*rest))).where("__n = 1")
-    return once.select(docs.columns).unionByName(docs.where(~some))
+    rest = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    rows = keyed.withColumn("__rest", F.xxhash64(F.lit(0), *rest))
+    # Of rows with one id and text, the one with the least checksum of the other columns.
+    least = rows.where(some).groupBy("doc_id", "__key").agg(F.min("__rest").alias("__rest"))
+    wanted = least.join(first.hint("merge"), least["__key"].eqNullSafe(first["__key"]) & least["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    digest = F.md5(F.concat_ws(":", "__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "__rest"))
+    kept = once_each(rows.where(some).withColumn("__row", digest), written(wanted.select(digest.alias("__row")), "kept-rows"), "__row")
+    return kept.select(docs.columns).unionByName(docs.where(~some))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -71,9 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, "stage")
+    """All stages in order, each written; a stage's table goes when the next one's is there. Leaves the session as it was."""
+    before = spark.conf.get(BATCH[0], None)
+    docs, last = table(spark, sf_dir, "documents"), None
+    try:
+        for _, stage in STAGES:
+            docs, last = written(stage(spark, docs, sf_dir), "stage"), docs
+            forget(last)
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH[0])
+        else:
+            spark.conf.set(BATCH[0], before)
     return docs
