@@ -100,8 +100,10 @@ def few_copies(rows: DataFrame, key: str, other: list[Column]) -> DataFrame:
     hashed = rows.withColumn("own", own)
     total = rows.count()
     hot = written(hashed.groupBy(key).agg(F.count("*").alias("rows"), F.min("own").alias("least")).where(F.col("rows") > max(HUB, total // HUBS)).select(key, "least"), "hot-keys")
-    found = hashed.join(F.broadcast(hot), key, "left").where(F.col("least").isNull() | (F.col("own") == F.col("least")))
-    return found.withColumn("again", F.when(F.col("least").isNull(), 0).otherwise(1)).drop("own", "least")
+    if hot.limit(1).count() == 0:
+        return rows.withColumn("again", F.lit(0))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").withColumn("again", F.lit(0))
+    return rest.unionByName(hashed.join(F.broadcast(hot), key).where(F.col("own") == F.col("least")).drop("own", "least").withColumn("again", F.lit(1)))
 
 
 def once_each(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

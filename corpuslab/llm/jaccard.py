@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -321,27 +322,30 @@ def merge(lists: list[np.ndarray], least: int) -> list[tuple[int, int]]:
     """
     if len(lists) < least:
         return []
-    heads = [(int(x[0]), k, 0) for k, x in enumerate(lists)]
+    flat = [x.tolist() for x in lists]
+    heads = [(x[0], k, 0) for k, x in enumerate(flat)]
     heapq.heapify(heads)
+    pop, push = heapq.heappop, heapq.heappush
     out = []
     while len(heads) >= least:
         doc = heads[0][0]
         popped = []
         while heads and heads[0][0] == doc:
-            popped.append(heapq.heappop(heads))
+            popped.append(pop(heads))
         if len(popped) >= least:
             out.append((doc, len(popped)))
             target = doc + 1
         else:  # take more heads, up to one less than needed; what the next head lies before cannot reach it
             while heads and len(popped) < least - 1:
-                popped.append(heapq.heappop(heads))
+                popped.append(pop(heads))
             if not heads:
                 break
             target = heads[0][0]
         for _, k, at in popped:
-            at += int(np.searchsorted(lists[k][at:], target))
-            if at < len(lists[k]):
-                heapq.heappush(heads, (int(lists[k][at]), k, at))
+            x = flat[k]
+            at = bisect_left(x, target, at)
+            if at < len(x):
+                push(heads, (x[at], k, at))
     return out
 
 
@@ -370,18 +374,20 @@ def search(index: Index, elements: np.ndarray, percent: int, skip, before: int |
     longest = len(lists[-1])
     aside = min(needed - 1, len(lists), int(needed / (0.0085 * math.log2(longest + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    for doc, count in merge(short, needed - aside):
-        if skip(doc):
-            continue
-        size = int(index.sizes[doc])
-        want = -(-percent * (n + size) // (100 + percent))
-        for k, x in enumerate(long):
-            if count + len(long) - k < want:
-                break
-            at = int(np.searchsorted(x, doc))
-            count += at < len(x) and int(x[at]) == doc
-        if count >= want and 100 * count >= percent * (n + size - count):
-            yield doc
+    found = [(d, c) for d, c in merge(short, needed - aside) if not skip(d)]
+    docs, counts = np.array([d for d, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+    sizes = index.sizes[docs]
+    want = -(-percent * (n + sizes) // (100 + percent))
+    for k, x in enumerate(long):  # all candidates are looked up in a list at once
+        held = counts + len(long) - k >= want
+        if not held.all():
+            docs, counts, sizes, want = docs[held], counts[held], sizes[held], want[held]
+        if not len(docs):
+            return
+        at = np.searchsorted(x, docs)
+        at[at == len(x)] = 0
+        counts = counts + (x[at] == docs)
+    yield from docs[100 * counts >= percent * (n + sizes - counts)].tolist()
 
 
 class Groups:

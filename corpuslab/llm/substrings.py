@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,38 +145,38 @@ def _keyed(df: DataFrame, text: str) -> DataFrame:
     return few_copies(rows, "key", [F.col("by")]).drop("by")
 
 
-def _once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[int]]:
-    """The texts of a batch without copies, and how often each is there: copies do not meet by thousands."""
-    first: dict[bytes, int] = {}
-    times: dict[bytes, int] = {}
-    for i, (k, again) in enumerate(zip(batch.column("key").to_pylist(), batch.column("again").to_pylist(), strict=True)):
-        first.setdefault(k, i)
-        times[k] = times.get(k, 0) + 1 + again
-    return batch.take(pa.array(list(first.values()), pa.int64())), [times[k] for k in first]
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    """(id, key, text, times): the texts of ``df``, dealt by number, so that they are joined twice but shuffled once.
 
-
-def _distinct_texts(keyed: DataFrame, size: int) -> DataFrame:
-    """(key, text) without copies within a task, dealt by key: texts are joined twice but shuffled once."""
+    Copies in a batch are one row, ``times`` their number; a task hands on a text that comes in further batches once
+    more, which tells that it is repeated. Numbers are fixed, as the table is written.
+    """
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
+        met: dict[bytes, int] = {}
         for batch in batches:
-            batch, _ = _once(batch)
-            keys = batch.column("key").to_pylist()
-            new = [i for i, k in enumerate(keys) if k not in met]
-            if len(met) < REMEMBERED:
-                met.update(keys)
+            first: dict[bytes, int] = {}
+            times: dict[bytes, int] = {}
+            for i, (k, again) in enumerate(zip(batch.column("key").to_pylist(), batch.column("again").to_pylist(), strict=True)):
+                first.setdefault(k, i)
+                times[k] = times.get(k, 0) + 1 + again
+            new = [k for k in first if met.get(k, 0) < 2]
+            for k in new:
+                if k in met or len(met) < REMEMBERED:
+                    met[k] = met.get(k, 0) + 1
             if new:
-                yield batch.select(["key", "text"]).take(pa.array(new, pa.int64()))
+                some = batch.take(pa.array([first[k] for k in new], pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column("key"), some.column("text"), pa.array([times[k] for k in new], pa.int64())], names=["key", "text", "times"])
 
-    found = keyed.mapInArrow(once, "key binary, text string")
-    return bucketed(found, "key", max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET)))
+    found = _keyed(df, text).mapInArrow(once, "key binary, text string, times long").withColumn("id", F.monotonically_increasing_id())
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
+    return bucketed(found, "id", max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET)))
 
 
-def repeated_spans(keyed: DataFrame, texts: DataFrame, length: int = 400, passage: int = PASSAGE, crowd: int = CROWD) -> DataFrame:
-    """(key, spans): for each text that has any, by its md5, the byte ranges covered by strings of ``length`` bytes, and
+def repeated_spans(texts: DataFrame, length: int = 400, passage: int = PASSAGE, crowd: int = CROWD) -> DataFrame:
+    """(id, spans): for each text of ``_texts`` that has any, the byte ranges covered by strings of ``length`` bytes, and
     those by strings of ``passage`` bytes (fewer or as many), that also start anywhere else; as array of (a, z, n), z
-    exclusive, n the strings' bytes, not merged. ``keyed`` has (key, text, again) of all rows, ``texts`` each text by key.
+    exclusive, n the strings' bytes, not merged.
 
     1. Texts are cut into pieces by the anchors of strings of ``passage`` bytes; each piece goes on until the last of
        its strings would have ``length`` bytes, or to the text's end. Equal pieces are counted: a piece that occurs
@@ -190,15 +191,15 @@ def repeated_spans(keyed: DataFrame, texts: DataFrame, length: int = 400, passag
         raise ValueError(f"strings have {GRAM} bytes at least")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, times in map(_once, slices(batches, "text", 8 << 20)):
+        for batch in slices(batches, "text", 8 << 20):
             out = []
             for t in as_bytes(batch.column("text")):
                 out.append([{"gram": h, "hash": xxhash.xxh3_64_intdigest(t[a : z + length], (p - a) << 32 | (z - a)) - (1 << 63), "place": p, "a": a, "z": z, "end": min(z + length, len(t))} for h, p, a, z in pieces(t, passage)])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(times, pa.int64()), pa.array(out, pa.list_(PIECE))], names=["key", "times", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("times"), pa.array(out, pa.list_(PIECE))], names=["id", "times", "pieces"])
 
-    found = written(keyed.mapInArrow(cut, "key binary, times long, pieces array<struct<gram:long,hash:long,place:long,a:long,z:long,end:long>>"), "pieces").where(F.size("pieces") > 0)
-    each = found.select("key", "times", F.inline("pieces"))
-    counted = written(each.groupBy("gram", "hash").agg(F.sum("times").alias("n"), F.min(F.struct("key", "place", "a", "z", "end")).alias("one")), "piece-counts")
+    found = written(texts.select("id", "times", "text").mapInArrow(cut, "id long, times long, pieces array<struct<gram:long,hash:long,place:long,a:long,z:long,end:long>>"), "pieces").where(F.size("pieces") > 0)
+    each = found.select("id", "times", F.inline("pieces"))
+    counted = written(each.groupBy("gram", "hash").agg(F.sum("times").alias("n"), F.min(F.struct("id", "place", "a", "z", "end")).alias("one")), "piece-counts")
     several = written(counted.groupBy("gram").agg(F.count("*").alias("different")).where(F.col("different") > 1), "several-pieces")
     crowds = several.where(F.col("different") > crowd).select("gram")
     n_crowds = crowds.count()
@@ -213,9 +214,9 @@ def repeated_spans(keyed: DataFrame, texts: DataFrame, length: int = 400, passag
 
     def of(grams: DataFrame) -> DataFrame:
         """The pieces of some anchors, with their bytes."""
-        chosen = counted.join(grams, "gram").select("one.key", F.struct("gram", "hash", "n", "one.place", "one.a", "one.z", "one.end").alias("piece"))
-        wanted = chosen.groupBy("key").agg(F.collect_list("piece").alias("wanted"))
-        found = texts.join(wanted.hint("merge"), "key").mapInArrow(fetch, "g long, gram long, hash long, n long, low int, high int, data binary")
+        chosen = counted.join(grams, "gram").select("one.id", F.struct("gram", "hash", "n", "one.place", "one.a", "one.z", "one.end").alias("piece"))
+        wanted = chosen.groupBy("id").agg(F.collect_list("piece").alias("wanted"))
+        found = texts.select("id", "text").join(wanted.hint("merge"), "id").mapInArrow(fetch, "g long, gram long, hash long, n long, low int, high int, data binary")
         return found.withColumn("start", F.col("low"))
 
     # Joins are by sorting at every size: a plan that broadcasts while tables are small tells nothing of larger ones.
@@ -252,9 +253,9 @@ def repeated_spans(keyed: DataFrame, texts: DataFrame, length: int = 400, passag
     longer = F.when(F.col("one.end") - F.col("one.a") >= length, _span(F.lit(0), F.col("one.end") - F.col("one.a") - length, length))
     whole = counted.where(F.col("n") > 1).select("gram", "hash", F.array_compact(F.array(longer, _span(F.lit(0), F.col("one.z") - F.col("one.a"), passage))).alias("spans"))
     decided = by_sort.unionByName(whole)
-    back = each.join(decided.hint("merge"), ["gram", "hash"]).select("key", F.col("a").alias("at"), F.explode("spans").alias("s"))
-    spans = back.select("key", _span(F.col("at") + F.col("s.a"), F.col("at") + F.col("s.z") + F.col("s.n"), F.col("s.n")).alias("span")).distinct()
-    return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
+    back = each.join(decided.hint("merge"), ["gram", "hash"]).select("id", F.col("a").alias("at"), F.explode("spans").alias("s"))
+    spans = back.select("id", _span(F.col("at") + F.col("s.a"), F.col("at") + F.col("s.z") + F.col("s.n"), F.col("s.n")).alias("span")).distinct()
+    return spans.groupBy("id").agg(F.collect_list("span").alias("spans"))
 
 
 def _span(a: Column, z: Column, n: Column | int) -> Column:
@@ -275,34 +276,27 @@ def _sorted_block(block: pa.Table, lengths: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(frame["gram"][kept]), pa.array(frame["hash"][kept]), pa.array(spans, SPANS)], names=["gram", "hash", "spans"])
 
 
-def _deal_out(rows: DataFrame, length: int, passage: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def _deal_out(rows: DataFrame, length: int, passage: int, crowd: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows whose groups have at most ``crowd`` pieces, and the ranges of single starts at which crowds are equal.
 
     A group's strings start between its least and its greatest start. All those of the lower half hold the bytes from
     the middle to the end of the first, all those of the upper half those from the last start to the end of the middle.
     Where all strings of ``passage`` bytes are equal at one start, those of ``length`` bytes are counted by their md5.
     """
-    ready, alike = None, None
+    ready, alike = [], []
     bound = rows.withColumn("least", F.lit(-(passage - GRAM))).withColumn("most", F.lit(0))
+    narrowest = passage - GRAM + 1  # starts of a group, at least
     while True:
-        size = bound.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        sized = join_one(bound, size, "g")
-        small = written(sized.where(F.col("size") <= crowd).select(rows.columns), "crowd-ready")
-        ready = small if ready is None else ready.unionByName(small)
-        large = written(sized.where(F.col("size") > crowd).drop("size"), "crowd-left")
+        crowds = F.broadcast(bound.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("g"))  # at most rows / crowd
+        ready.append(written(bound.join(crowds, "g", "left_anti").select(rows.columns), "crowd-ready"))
+        large = written(bound.join(crowds, "g", "left_semi"), "crowd-left")
         forget(bound)
-        at = F.col("least") - F.col("start")
-        equal = large.where(F.col("least") == F.col("most")).select("gram", "hash", "n", at.alias("at"), F.col("least").alias("place"), F.substring("data", at + 1, F.lit(length)).alias("data"))
-        own = equal.where("n = 1").select("gram", "hash", F.array(_span(F.col("at"), F.col("at"), passage)).alias("spans"))
-        long = written(equal.where(F.octet_length("data") == length).select("gram", "hash", "n", "at", F.unhex(F.md5(F.concat(F.encode(F.concat_ws(":", "gram", "place"), "utf-8"), "data"))).alias("sum")), "crowd-long")
-        again = long.groupBy("sum").agg(F.count("*").alias("pieces")).where(F.col("pieces") > 1)
-        longer = join_one(long, again, "sum").where("n = 1").select("gram", "hash", F.array(_span(F.col("at"), F.col("at"), length)).alias("spans"))
-        both = written(own.unionByName(longer), "crowd-alike")
-        alike = both if alike is None else alike.unionByName(both)
-        forget(long)
+        if narrowest == 1:
+            alike.append(_alike(large.where(F.col("least") == F.col("most")), length, passage))
         left = large.where(F.col("least") < F.col("most"))
         if left.limit(1).count() == 0:
-            return ready, alike
+            forget(large)
+            return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, alike) if alike else None
         middle = F.floor((F.col("least") + F.col("most")) / 2).cast("int")
         lower = left.select(*rows.columns, "least", middle.alias("most"))
         upper = left.select(*rows.columns, (middle + 1).alias("least"), "most")
@@ -311,6 +305,20 @@ def _deal_out(rows: DataFrame, length: int, passage: int, crowd: int) -> tuple[D
         shared = F.substring("data", F.col("most") - F.col("start") + 1, F.col("least") + passage - F.col("most"))
         bound = written(halves.withColumn("g", F.xxhash64("gram", "least", "most", shared)), "crowd-halves")
         forget(large)
+        narrowest = max(1, narrowest // 2)
+
+
+def _alike(rows: DataFrame, length: int, passage: int) -> DataFrame:
+    """Ranges of pieces whose groups have one start and equal strings of ``passage`` bytes at it."""
+    at = F.col("least") - F.col("start")
+    data = F.substring("data", at + 1, F.lit(length))
+    equal = rows.select("gram", "hash", "n", at.alias("at"), F.col("least").alias("place"), data.alias("data"))
+    own = equal.where("n = 1").select("gram", "hash", F.array(_span(F.col("at"), F.col("at"), passage)).alias("spans"))
+    whole = F.concat(F.encode(F.concat_ws(":", "gram", "place"), "utf-8"), F.lit(b":"), F.col("data"))
+    long = written(equal.where(F.octet_length("data") == length).select("gram", "hash", "n", "at", F.unhex(F.md5(whole)).alias("sum")), "crowd-long")
+    again = long.groupBy("sum").agg(F.count("*").alias("pieces")).where(F.col("pieces") > 1)
+    longer = join_one(long, again, "sum").where("n = 1").select("gram", "hash", F.array(_span(F.col("at"), F.col("at"), length)).alias("spans"))
+    return written(own.unionByName(longer), "crowd-alike")
 
 
 def merged(spans: list[dict], least: int) -> list[tuple[int, int]]:
@@ -327,10 +335,8 @@ def merged(spans: list[dict], least: int) -> list[tuple[int, int]]:
 def _stripped(df: DataFrame, length: int, text: str, passage: int, crowd: int) -> DataFrame:
     """(key, left, cuts, repeated) of the texts that have repeats; a text that came from several tasks comes as often."""
     passage = min(passage, length)
-    keyed = _keyed(df, text)
-    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
-    texts = _distinct_texts(keyed, size)
-    spans = repeated_spans(keyed, texts, length, passage, crowd)
+    texts = _texts(df, text)
+    spans = repeated_spans(texts, length, passage, crowd)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
@@ -342,7 +348,7 @@ def _stripped(df: DataFrame, length: int, text: str, passage: int, crowd: int) -
             kinds = [pa.binary(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["key", "left", "cuts", "repeated"])
 
-    return texts.join(spans.hint("merge"), "key").mapInArrow(strip, "key binary, left binary, cuts long, repeated long")
+    return texts.select("id", "key", "text").join(spans.hint("merge"), "id").mapInArrow(strip, "key binary, left binary, cuts long, repeated long")
 
 
 def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", passage: int = PASSAGE, crowd: int = CROWD) -> DataFrame:
