@@ -26,11 +26,13 @@ from .jaccard import mixed
 #: Bytes of an anchor; a power of two.
 GRAM = 64
 #: Pieces that a task sorts at a time, and pieces of one anchor beyond which they are dealt out further.
-SORTED, CROWD = 16_384, 2_048
+SORTED, CROWD = 16_384, 8_192
 #: Bytes of a repeated passage that is counted though it is too short to be removed: most of over 50 words have more.
 PASSAGE = 256
 #: Longer texts are searched for anchors in segments of so many bytes.
 SEGMENT = 1 << 23
+#: The greatest number that a piece's description holds; strings are shorter than half of it.
+NUMBER = (1 << 20) - 1
 #: Bytes of text in one bucket of the table of texts.
 BUCKET = 128 << 20
 #: Hash bits compared to choose an anchor; the others hold the place.
@@ -132,7 +134,7 @@ def _runs(found: np.ndarray, first: int) -> list[list[tuple[int, int]]]:
 
 
 SPANS = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64()), ("n", pa.int64())]))
-PIECE = pa.struct([("gram", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()), ("a", pa.int64()), ("z", pa.int64()), ("end", pa.int64())])
+PIECE = pa.struct([("gram", pa.int64()), ("hash", pa.int64()), ("a", pa.int64()), ("pack", pa.int64())])
 RANGES = "gram long, hash long, spans array<struct<a:long,z:long,n:long>>"
 
 
@@ -187,19 +189,19 @@ def repeated_spans(texts: DataFrame, length: int = 400, passage: int = PASSAGE,
        no group is a crowd or its strings are equal; what is alone drops out.
     4. Ranges go back to all places of their pieces.
     """
-    if passage < GRAM:
-        raise ValueError(f"strings have {GRAM} bytes at least")
+    if not GRAM <= passage <= length <= NUMBER // 2:
+        raise ValueError(f"strings have {GRAM} bytes at least and {NUMBER // 2} at most")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             out = []
             for t in as_bytes(batch.column("text")):
-                out.append([{"gram": h, "hash": xxhash.xxh3_64_intdigest(t[a : z + length], (p - a) << 32 | (z - a)) - (1 << 63), "place": p, "a": a, "z": z, "end": min(z + length, len(t))} for h, p, a, z in pieces(t, passage)])
+                out.append([{"gram": h, "hash": xxhash.xxh3_64_intdigest(t[a : z + length], (p - a) << 32 | (z - a)) - (1 << 63), "a": a, "pack": _pack(p - a, z - a, min(z + length, len(t)) - a)} for h, p, a, z in pieces(t, passage)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("times"), pa.array(out, pa.list_(PIECE))], names=["id", "times", "pieces"])
 
-    found = written(texts.select("id", "times", "text").mapInArrow(cut, "id long, times long, pieces array<struct<gram:long,hash:long,place:long,a:long,z:long,end:long>>"), "pieces").where(F.size("pieces") > 0)
+    found = written(texts.select("id", "times", "text").mapInArrow(cut, "id long, times long, pieces array<struct<gram:long,hash:long,a:long,pack:long>>"), "pieces").where(F.size("pieces") > 0)
     each = found.select("id", "times", F.inline("pieces"))
-    counted = written(each.groupBy("gram", "hash").agg(F.sum("times").alias("n"), F.min(F.struct("id", "place", "a", "z", "end")).alias("one")), "piece-counts")
+    counted = written(each.groupBy("gram", "hash").agg(F.sum("times").alias("n"), F.min(F.struct("id", "a", "pack")).alias("one")), "piece-counts")
     several = written(counted.groupBy("gram").agg(F.count("*").alias("different")).where(F.col("different") > 1), "several-pieces")
     crowds = several.where(F.col("different") > crowd).select("gram")
     n_crowds = crowds.count()
@@ -208,13 +210,15 @@ def repeated_spans(texts: DataFrame, length: int = 400, passage: int = PASSAGE,
         for batch in slices(batches, "text", 8 << 20):
             rows: list[tuple] = []
             for t, ws in zip(as_bytes(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-                rows += [(w["gram"], w["gram"], w["hash"], w["n"], w["a"] - w["place"], w["z"] - w["place"], t[w["a"] : w["end"]]) for w in ws]
+                for w in ws:
+                    place, last, end = _unpack(w["pack"])
+                    rows.append((w["gram"], w["gram"], w["hash"], w["n"], -place, last - place, t[w["a"] : w["a"] + end]))
             kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["g", "gram", "hash", "n", "low", "high", "data"])
 
     def of(grams: DataFrame) -> DataFrame:
         """The pieces of some anchors, with their bytes."""
-        chosen = counted.join(grams, "gram").select("one.id", F.struct("gram", "hash", "n", "one.place", "one.a", "one.z", "one.end").alias("piece"))
+        chosen = counted.join(grams, "gram").select("one.id", F.struct("gram", "hash", "n", "one.a", "one.pack").alias("piece"))
         wanted = chosen.groupBy("id").agg(F.collect_list("piece").alias("wanted"))
         found = texts.select("id", "text").join(wanted.hint("merge"), "id").mapInArrow(fetch, "g long, gram long, hash long, n long, low int, high int, data binary")
         return found.withColumn("start", F.col("low"))
@@ -250,14 +254,25 @@ def repeated_spans(texts: DataFrame, length: int = 400, passage: int = PASSAGE,
     by_sort = rows.repartition("g").sortWithinPartitions("g", "gram", "hash").mapInArrow(sort, RANGES)
     if alike is not None:
         by_sort = by_sort.unionByName(alike)
-    longer = F.when(F.col("one.end") - F.col("one.a") >= length, _span(F.lit(0), F.col("one.end") - F.col("one.a") - length, length))
-    whole = counted.where(F.col("n") > 1).select("gram", "hash", F.array_compact(F.array(longer, _span(F.lit(0), F.col("one.z") - F.col("one.a"), passage))).alias("spans"))
+    last, end = F.shiftright("one.pack", 20).bitwiseAND(NUMBER), F.col("one.pack").bitwiseAND(NUMBER)
+    # The bytes of a piece's strings to remove, if it has any, hold those of its shorter ones.
+    span = F.when(end >= length, _span(F.lit(0), end - length, length)).otherwise(_span(F.lit(0), last, passage))
+    whole = counted.where(F.col("n") > 1).select("gram", "hash", F.array(span).alias("spans"))
     decided = by_sort.unionByName(whole)
     back = each.join(decided.hint("merge"), ["gram", "hash"]).select("id", F.col("a").alias("at"), F.explode("spans").alias("s"))
-    spans = back.select("id", _span(F.col("at") + F.col("s.a"), F.col("at") + F.col("s.z") + F.col("s.n"), F.col("s.n")).alias("span")).distinct()
+    spans = back.select("id", _span(F.col("at") + F.col("s.a"), F.col("at") + F.col("s.z") + F.col("s.n"), F.col("s.n")).alias("span"))
     return spans.groupBy("id").agg(F.collect_list("span").alias("spans"))
 
 
+def _pack(place: int, last: int, end: int) -> int:
+    """A piece's anchor, last start and end, counted from its first byte, in one number."""
+    return place << 40 | last << 20 | end
+
+
+def _unpack(pack: int) -> tuple[int, int, int]:
+    return pack >> 40, pack >> 20 & NUMBER, pack & NUMBER
+
+
 def _span(a: Column, z: Column, n: Column | int) -> Column:
     return F.struct(a.cast("long").alias("a"), z.cast("long").alias("z"), (F.lit(n) if isinstance(n, int) else n).cast("long").alias("n"))
 
