@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicons import ATTACK_TYPES, CATEGORIES, FRAMES, GROUP_MARKERS, INDIVIDUAL_MARKERS, MEDIUM, STRONG, WEAK, Frame
+from .lexicons import (
+    ATTACK_TYPES, CATEGORIES, COMMANDS, EXCLUSION_PHRASES, FIRST_COMMANDS, FIRST_MOCKING, FRAMES, GENERAL_VERBS, GENERAL_WORDS, GROUP_MARKERS, HATE_PHRASES, INDIVIDUAL_MARKERS, MEDIUM, MOCKING_WORDS,
+    NARRATIVE_WORDS, PAST_WORDS, QUANTIFIERS, QUESTION_WORDS, STRONG, WEAK, WISHES, Frame,
+)
 
 
 def words(*terms: str) -> Column:
@@ -53,41 +56,66 @@ def has_conditional(tokens: Column) -> Column:
     return has_any(tokens, ("if", "would", "could", "should", "unless"))
 
 
+#: A word's bound in ASCII; Java's own depends on its version.
+BOUND = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def java(pattern: str) -> str:
+    """A pattern of the tables for Java: bounds in ASCII, lines end at \\n only."""
+    return "(?d)" + pattern.replace(r"\b", BOUND)
+
+
 def frames(tokens: Column, text: Column, table: Sequence[Frame] = FRAMES) -> Column:
     """All matching frames in table order; NONE_DETECTED if none does. ``text`` is lower-case."""
     found = []
     for f in table:
         hit = has_any(tokens, f.words) if f.words else F.lit(False)
         if f.patterns:
-            hit = hit | text.rlike("|".join(f.patterns))
+            hit = hit | text.rlike(java("|".join(f.patterns)))
         found.append(F.when(hit, F.lit(f.name)))
-    listed = F.array_compact(F.array(*found))
-    return F.when(F.size(listed) == 0, F.array(F.lit("NONE_DETECTED"))).otherwise(listed)
+    return _or_none(found)
+
+
+def _or_none(found: Sequence[Column]) -> Column:
+    return bound(F.array_compact(F.array(*found)), lambda x: F.when(F.size(x) == 0, words("NONE_DETECTED")).otherwise(x))
+
+
+def frames_by_sets(tokens: Column, text: Column, table: Sequence[Frame] = FRAMES) -> Column:
+    """The version by sets of tokens: exclusion by phrases within the text, generalisation by a quantifier and a verb anywhere."""
+    rules = {"EXCLUSION": has_phrase(text, EXCLUSION_PHRASES), "GENERALIZATION": has_any(tokens, QUANTIFIERS) & has_any(tokens, GENERAL_VERBS)}
+    return _or_none([F.when(rules[f.name] if f.name in rules else has_any(tokens, f.words), F.lit(f.name)) for f in table])
 
 
 def frame_items(tokens: Column, text: Column, frame: Frame) -> Column:
     """What matched: the frame's tokens, then the first match of each pattern."""
     found = hits(tokens, frame.words) if frame.words else F.array().cast("array<string>")
-    firsts = [F.regexp_extract(text, f"({p})", 1) for p in frame.patterns]
+    firsts = [F.regexp_extract(text, f"({java(p)})", 1) for p in frame.patterns]
     return F.concat(found, F.filter(F.array(*firsts), lambda x: x != "")) if firsts else found
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def speech_acts(tokens: Column, text: Column) -> Column:
     """Every act that a rule finds, in this order; OTHER if none does."""
     n = F.size(tokens)
     follows = F.exists(F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda t: t.isin("are", "is", "was", "were"))
+    first = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
     rules = {
         "DIRECT_ADDRESS": F.array_contains(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), "you"),
-        "GROUP_STATEMENT": has_any(tokens, ("they", "all", "every", "the")) & follows,
-        "IMPERATIVE": has_any(F.slice(tokens, 1, 3), ("go", "get", "stop", "shut", "leave", "ban", "in")),
-        "QUESTION": text.contains("?") | F.coalesce(F.get(tokens, F.lit(0)), F.lit("")).isin("why", "how", "what", "when", "where", "who", "do", "does", "did", "is", "are", "can"),
+        "GROUP_STATEMENT": has_any(tokens, ("they", "all", "every")) & follows,
+        "IMPERATIVE": has_any(F.slice(tokens, 1, 3), COMMANDS),
+        "QUESTION": text.contains("?") | first.isin(*QUESTION_WORDS),
         "WISH_DESIRE": has_any(tokens, ("wish", "hope", "should", "deserve")) | has_phrase(text, ("need to", "want to")),
-        "NARRATIVE": F.size(hits(tokens, ("went", "saw", "told", "said", "found", "was", "from"))) >= 2,
+        "NARRATIVE": F.size(hits(tokens, PAST_WORDS)) >= 2,
         "SHORT_LABEL": n <= 6,
-        "MOCKERY_SARCASM": has_any(tokens, ("lol", "haha", "imagine", "sure", "right", "wow", "oh", "clown")),
+        "MOCKERY_SARCASM": has_any(tokens, MOCKING_WORDS),
+        "HATE_DECLARATION": F.array_contains(tokens, "hate") & has_any(tokens, ("i", "we")),
     }
     listed = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
-    return F.when(F.size(listed) == 0, F.array(F.lit("OTHER"))).otherwise(listed)
+    return bound(listed, lambda x: F.when(F.size(x) == 0, words("OTHER")).otherwise(x))
 
 
 def speech_act(tokens: Column, text: Column) -> Column:
@@ -95,13 +123,14 @@ def speech_act(tokens: Column, text: Column) -> Column:
     n = F.size(tokens)
     return (
         F.when(has_any(tokens, ("you", "your")), "DIRECT_ADDRESS")
-        .when(has_any(F.slice(tokens, 1, 3), ("go", "stop", "shut", "get", "leave", "take")), "IMPERATIVE")
-        .when(has_phrase(text, ("should", "need to", "deserve", "must", "ought", "have to", "better")), "WISH_DESIRE")
-        .when(has_any(tokens, ("lol", "haha", "imagine", "clown")), "MOCKERY_SARCASM")
+        .when(has_any(F.slice(tokens, 1, 3), FIRST_COMMANDS), "IMPERATIVE")
+        .when(has_phrase(text, WISHES), "WISH_DESIRE")
+        .when(has_any(tokens, FIRST_MOCKING), "MOCKERY_SARCASM")
         .when(n <= 6, "SHORT_LABEL")
-        .when(has_any(tokens, ("all", "every", "always", "never", "most", "many", "les")), "GROUP_STATEMENT")
+        .when(has_any(tokens, GENERAL_WORDS), "GROUP_STATEMENT")
         .when(text.contains("?"), "QUESTION")
-        .when(has_any(tokens, ("was", "were", "had", "been", "did")) & (n > 15), "NARRATIVE")
+        .when(has_phrase(text, HATE_PHRASES), "HATE_DECLARATION")
+        .when(has_any(tokens, NARRATIVE_WORDS) & (n > 15), "NARRATIVE")
         .otherwise("UNCLEAR")
     )
 

@@ -62,34 +62,56 @@ VIOLENCE_PATTERNS = (r"beat[a-z]*.{0,40} to death", r"hope .{0,50}die", r"the .{
 
 @dataclass(frozen=True)
 class Frame:
-    """A frame's words (whole tokens) and patterns (in lower-case text)."""
+    """A frame's words (whole tokens) and patterns (in lower-case text; \\b is a word's bound in ASCII)."""
 
     name: str
     words: tuple[str, ...] = ()
     patterns: tuple[str, ...] = ()
 
 
+def _words(text: str) -> tuple[str, ...]:
+    return tuple(text.split())
+
+
+# The canonical frames, in the order that decides the primary one. Words that are slurs are added from a
+# file (sources.readers.frame_terms), as are whole other versions of the table.
 FRAMES = (
-    Frame("DEHUMANIZATION", ("animal", "animals", "vermin", "pest", "pests", "rat", "rats", "parasite", "parasites", "plague", "filth", "scum", "trash")),
-    Frame("THREAT_VIOLENCE", ("kill", "murder", "shoot", "bomb", "burn", "die", "death", "dead")),
-    Frame("EXCLUSION", (), ("go back", "get out", "not welcome", "send back", "kick out", "keep out", "out of")),
-    Frame("CONSPIRACY", ("control", "replace", "invasion", "agenda", "plot", "propaganda", "takeover")),
-    Frame("MORAL_DISGUST", ("disgusting", "disgust", "filthy", "dirty", "immoral", "sick", "vile", "gross", "pathetic")),
-    Frame("INTELLECTUAL_INFERIORITY", ("stupid", "dumb", "idiot", "idiots", "moron", "morons", "brainless", "ignorant", "fool", "fools")),
-    Frame("CRIMINAL_DANGER", ("crime", "criminal", "criminals", "steal", "theft", "illegal", "dangerous", "threat", "violent")),
-    Frame("ECONOMIC_BURDEN", ("welfare", "burden", "lazy", "taxes", "benefits", "worthless", "loser")),
-    Frame("GENERALIZATION", (), ("all .{0,30} are", "every .{0,30} is", "the .{0,30} is")),
+    Frame("DEHUMANIZATION", _words("animal animals monkey monkeys ape apes cockroach cockroaches vermin pest pests rat rats subhuman savage savages parasite parasites infestation infest plague filth scum")),
+    Frame("THREAT_VIOLENCE", _words("kill killed hang gas shoot bomb nuke exterminate execute lynch murder slaughter purge cleanse eradicate eliminate burn stab genocide holocaust die death dead")),
+    Frame("EXCLUSION", (), (r"\bgo back\b", r"\bdon't belong\b", r"\bnot welcome\b", r"\bget out\b", r"\bsend back\b", r"\bdeport\b", r"\bkick out\b", r"\bkeep out\b", r"\bban\b.*\bmuslim\b", r"\bbuild\b.*\bwall\b", r"\billegal alien\b")),
+    Frame("CONSPIRACY", _words("control controls controlling destroy destroying invasion invade replace replacing replacement overthrow infiltrate conspire conspiracy plot scheme agenda globalist puppet brainwash propaganda takeover manipulate")),
+    Frame("MORAL_DISGUST", _words("disgusting disgust filthy dirty unclean impure immoral degenerate degenerates pervert perverted abomination sick sickening vile repulsive revolting sinful unholy gross")),
+    Frame("INTELLECTUAL_INFERIORITY", _words("stupid dumb idiot idiots idiotic moron morons imbecile brainless uneducated illiterate ignorant braindead clueless incompetent dense fool fools mindless")),
+    Frame("SEXUAL_GENDERED", _words("rape raped raping rapist rapists breed breeding molest molested")),
+    Frame("CRIMINAL_DANGER", _words("crime criminal criminals thug thugs gang gangs terrorist terrorists terrorism steal stealing theft thief thieves rob robbery illegal illegals felon pedophile pedophiles predator danger dangerous threat violent violence radical")),
+    Frame("ECONOMIC_BURDEN", _words("welfare leech leeches freeloader freeloaders parasite taxpayer taxpayers burden lazy handout handouts mooch tax taxes benefits")),
+    Frame("RELIGIOUS", _words("jihad jihadi sharia infidel infidels islamist heathen godless blasphemy blasphemous satanic satan antichrist crusade")),
+    Frame("GENERALIZATION", (), (r"\ball\b.{0,30}\bare\b", r"\ball\b.{0,30}\bdo\b", r"\bevery\b.{0,30}\bis\b", r"\bevery\b.{0,30}\bdoes\b")),
 )
-#: Type of an attack by the first list of which the text contains a term.
+# Phrases, and quantifiers and verbs, of the version of the frames that looks at sets of tokens.
+EXCLUSION_PHRASES = ("go back", "get out", "dont belong", "not belong", "not welcome", "our country", "my country", "send them", "send back", "deport", "kick out", "keep out")
+QUANTIFIERS, GENERAL_VERBS = ("all", "every", "always", "never"), ("are", "is", "will", "do", "can", "want", "need", "have")
+# Type of an attack by the first list of which the text contains a term.
 ATTACK_TYPES = (
-    ("THREAT_VIOLENCE", ("kill", "die", "death", "murder")),
-    ("CONSPIRACY", ("control", "replace", "invad")),
-    ("DEHUMANIZATION", ("vermin", "parasite", "animal", "beast")),
-    ("EXCLUSION", ("send back", "go back", "out of our")),
-    ("MORAL_DISGUST", ("immoral", "corrupt", "evil", "disgrace", "disgusting")),
+    ("THREAT_VIOLENCE", ("kill", "die", "death", "stomp", "murder", "rape", "genocide", "exterminate", "eradicate", "annihilate", "gas", "shoot")),
+    ("CONSPIRACY", ("control", "replace", "replacement", "invad", "miscegenation", "white genocide", "great replacement", "globalist")),
+    ("DEHUMANIZATION", ("vermin", "cockroach", "infestation", "parasite", "subhuman", "animal", "ape", "savage", "beast")),
+    ("EXCLUSION", ("send back", "don't belong", "go back", "deport", "out of our")),
+    ("MORAL_DISGUST", ("immoral", "abomination", "sinful", "corrupt", "evil", "disgrace")),
     ("GENERALIZATION", ("all of them", "they always", "every single", "never")),
-    ("DIRECT_INSULT", ("dumb", "stupid", "worthless", "scum", "idiot", "moron", "pathetic", "trash")),
+    ("DIRECT_INSULT", ("dumb", "stupid", "worthless", "scum", "garbage", "idiot", "moron", "pathetic", "trash")),
 )
+# Words of the speech acts that are found all at once, and of those of which the first counts.
+COMMANDS = ("go", "get", "stop", "shut", "kill", "ban", "deport", "remove", "die", "hang", "leave")
+QUESTION_WORDS = ("why", "how", "what", "when", "where", "who", "do", "does", "did", "is", "are", "can")
+PAST_WORDS = ("went", "saw", "told", "said", "found", "heard", "caught", "got", "came", "happened", "tried", "started")
+MOCKING_WORDS = ("lol", "lmao", "haha", "hahaha", "rofl", "imagine", "sure", "right", "wow", "oh")
+FIRST_COMMANDS = ("go", "kill", "deport", "stop", "shut", "get", "leave", "take")
+WISHES = ("should", "need to", "deserve", "must", "ought", "have to", "better")
+FIRST_MOCKING = ("lol", "lmao", "imagine", "lmfao", "haha", "hahaha")
+GENERAL_WORDS = ("all", "every", "always", "never", "most", "many")
+HATE_PHRASES = ("i hate", "we hate", "hate all", "hate these")
+NARRATIVE_WORDS = ("was", "were", "had", "been", "did")
 #: Canonical group by the first list of which a name contains a term.
 GROUPS = (
     ("chinese", ("chinese",)), ("asian", ("asian",)), ("mexican", ("mexican",)), ("latino", ("latino", "latina", "hispanic")), ("muslim", ("muslim", "islam")), ("jewish", ("jewish", "jew")),

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.classify import bound
+
 
 def percent(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.round(F.try_divide(100.0 * part, whole), digits)
@@ -72,18 +74,25 @@ def histogram(df: DataFrame, value: str, bins: Sequence[tuple[int, int | None]],
 def co_occurrence(df: DataFrame, row_id: str, items: Column) -> DataFrame:
     """(a, b, n), symmetric: rows that hold both. Pairs are made within a row's few items, not by a join of rows."""
     few = F.array_sort(F.array_distinct(items))
-    pairs = F.flatten(F.transform(few, lambda x: F.transform(F.filter(few, lambda y: y != x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = bound(few, lambda all_: F.flatten(F.transform(all_, lambda x: F.transform(F.filter(all_, lambda y: y != x), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
     return df.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def least_distance(tokens: Column, first: Sequence[str], second: Sequence[str]) -> Column:
-    """The least distance in tokens between a word of one list and one of the other; null if either is absent."""
+    """The least distance in tokens between a word of one list and one of the other; null if either is absent.
+
+    One pass: the nearest two are neighbours among all words of either list.
+    """
+    one, two = (lambda t: t.isin(*first)), (lambda t: t.isin(*second))
+    kind = lambda t: F.when(one(t) & two(t), 2).when(one(t), 0).when(two(t), 1)
+    places = F.filter(F.transform(tokens, lambda t, i: F.struct(kind(t).alias("kind"), i.alias("i"))), lambda x: x.kind.isNotNull())
 
-    def places(terms: Sequence[str]) -> Column:
-        return F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*terms), i)), lambda i: i.isNotNull())
+    def least(found: Column) -> Column:
+        n = F.greatest(F.size(found) - 1, F.lit(0))
+        gaps = F.zip_with(F.slice(found, 1, n), F.slice(found, 2, n), lambda x, y: F.when(x.kind != y.kind, y.i - x.i))
+        return F.when(F.exists(found, lambda x: x.kind == 2), F.lit(0)).otherwise(F.array_min(gaps))
 
-    a, b = places(first), places(second)
-    return F.array_min(F.transform(a, lambda i: F.array_min(F.transform(b, lambda j: F.abs(i - j)))))
+    return bound(places, least)
 
 
 def feature_lift(df: DataFrame, outcome: Column, features: Mapping[str, Column]) -> DataFrame:
@@ -105,5 +114,9 @@ def rates(df: DataFrame, flags: Mapping[str, Column], *groups: str, least: int =
 def bigrams(tokens: Column, stop: Sequence[str]) -> Column:
     """Neighbours among tokens of more than two letters, if either is no stop word."""
     long = F.filter(tokens, lambda t: F.length(t) > 2)
-    both = F.transform(F.slice(long, 1, F.greatest(F.size(long) - 1, F.lit(0))), lambda t, i: F.struct(t.alias("a"), F.get(long, i + 1).alias("b")))
-    return F.transform(F.filter(both, lambda x: ~(x.a.isin(*stop) & x.b.isin(*stop))), lambda x: F.concat_ws(" ", x.a, x.b))
+
+    def pairs(found: Column) -> Column:
+        n = F.greatest(F.size(found) - 1, F.lit(0))
+        return F.zip_with(F.slice(found, 1, n), F.slice(found, 2, n), lambda x, y: F.when(~(x.isin(*stop) & y.isin(*stop)), F.concat_ws(" ", x, y)))
+
+    return F.array_compact(bound(long, pairs))

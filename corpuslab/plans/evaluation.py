@@ -79,7 +79,7 @@ def _macro_of(cells: str) -> str:
     return f"({f(tp)} + {f(tn)}) / 2"
 
 
-@query(f"""WITH {PRED}, r AS (SELECT y, b0, e1, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || CAST(r AS VARCHAR) || '|42'), 1, 7)) AS BIGINT) / 268435456.0 AS u, r FROM (SELECT *, unnest(range(1, 201)) AS r FROM e)),
+@query(f"""WITH {PRED}, r AS (SELECT y, b0, e1, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || CAST(r AS VARCHAR) || '|42'), 1, 7)) AS BIGINT) / 268435456.0 AS u, r FROM (SELECT *, unnest(range(1, 2001)) AS r FROM e)),
 w AS (SELECT *, {_POIS} AS w FROM r), dd AS (SELECT r, {_macro_of('e1')} - {_macro_of('b0')} AS d FROM w GROUP BY 1) SELECT round(quantile_cont(d, 0.025), 4) AS lo, round(quantile_cont(d, 0.5), 4) AS med, round(quantile_cont(d, 0.975), 4) AS hi FROM dd""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D18."""
@@ -107,7 +107,7 @@ def mannwhitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.mann_whitney(posts(spark, sf_dir).select(F.col("n").alias("v"), "has_cue"), "v", F.col("has_cue") == 1)
 
 
-@query("WITH x AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem WHERE l_orderkey % 5 = 0), k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x) SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM k")
+@query("WITH x AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem), k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x) SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho FROM k")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4."""
     return D.spearman(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b")), "a", "b")
@@ -126,7 +126,7 @@ def ols_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DOCS}, tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS token FROM d) GROUP BY 1, 2), nn AS (SELECT count(*) AS n FROM d), dfs AS (SELECT token, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1),
-top AS (SELECT token, df, n FROM dfs, nn WHERE df >= 5 AND df <= 0.8 * n ORDER BY total DESC, token LIMIT 200), w AS (SELECT doc_id, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN top USING (token))
+top AS (SELECT token, df, n FROM dfs, nn WHERE df >= 5 AND df <= 0.8 * n ORDER BY total DESC, token LIMIT 5000), w AS (SELECT doc_id, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN top USING (token))
 SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D9."""

@@ -101,7 +101,7 @@ def refusal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", G.refusal(F.col("text")).cast("int").alias("refused"), F.array_contains(G.placeholders(F.col("text")), "certain people").cast("int").alias("placeholder"))
 
 
-@query("SELECT conv_id, max(CASE WHEN turn = 0 THEN md5(text) END) AS turn_0, max(CASE WHEN turn = 1 THEN md5(text) END) AS turn_1, max(CASE WHEN turn = 2 THEN md5(text) END) AS turn_2 FROM conversations GROUP BY 1")
+@query("PIVOT (SELECT conv_id, 'turn_' || coalesce(CAST(turn AS VARCHAR), 'null') AS t, md5(text) AS h FROM conversations) ON t USING max(h) GROUP BY conv_id")
 def turns_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as columns, all that occur."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("h"))

@@ -37,8 +37,8 @@ def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D11."""
-    return ml.kmeans(table(spark, sf_dir, "embeddings"), "embedding", (5, 8, 10))
+    """Cost and silhouette for 3 to 15 clusters."""
+    return ml.kmeans(table(spark, sf_dir, "embeddings"), "embedding", tuple(range(3, 16)))
 
 
 def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

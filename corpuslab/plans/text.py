@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse
-from ..functions.lexicons import ATTACK_TYPES, CATEGORIES, DOMAIN_BLACKLIST, DOMAINS, FRAMES, GROUP_MARKERS, INDIVIDUAL_MARKERS, MASKS, MEDIUM, PREFERENCE_TRIGGERS, PREFERRED_DOMAINS, STRONG, WEAK
+from ..functions.lexicons import (
+    ATTACK_TYPES, CATEGORIES, COMMANDS, DOMAIN_BLACKLIST, DOMAINS, EXCLUSION_PHRASES, FIRST_COMMANDS, FIRST_MOCKING, FRAMES, GENERAL_VERBS, GENERAL_WORDS, GROUP_MARKERS, HATE_PHRASES, INDIVIDUAL_MARKERS, MASKS, MEDIUM,
+    MOCKING_WORDS, NARRATIVE_WORDS, PAST_WORDS, PREFERENCE_TRIGGERS, PREFERRED_DOMAINS, QUANTIFIERS, QUESTION_WORDS, STRONG, WEAK, WISHES,
+)
 from ..operators.select import order_key
 from .tables import DOCS, POSTS, docs, posts, sql_any, sql_list, table
 
@@ -33,7 +36,7 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.col("n").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.regexp_count("low", F.lit("[a-z]+")).alias("n_letter_runs"), F.size(parse.letter_set(F.col("text"))).alias("n_letter_set"))
 
 
-@query("""WITH r AS (SELECT doc_id, '[''' || replace(substr(text, 1, 40), ' ', ''' ''') || ''' "don''t"]' AS repr FROM documents WHERE strpos(substr(text, 1, 40), '"') = 0 AND strpos(substr(text, 1, 40), '''') = 0)
+@query("""WITH r AS (SELECT doc_id, '[' || array_to_string(list_concat(list_transform(coalesce(string_split(text, ' '), []), lambda x: CASE WHEN strpos(x, '''') = 0 THEN '''' || x || '''' WHEN strpos(x, '"') = 0 THEN '"' || x || '"' ELSE '''' || replace(x, '''', '\\''') || '''' END), ['"don''t"']), ' ') || ']' AS repr FROM documents)
 SELECT doc_id, CAST(len(regexp_extract_all(repr, '''([^'']*)''|"([^"]*)"')) AS INTEGER) AS n_items, 'don''t' AS last_item, CAST(len(regexp_extract_all(repr, '''([^'']+)''')) AS INTEGER) AS n_single FROM r""")
 def token_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1, P2, P3 over token lists written as text: all tokens, in double quotes where one holds an apostrophe."""
@@ -65,8 +68,12 @@ def lexicon_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[c.alias(f"has_{k}") for k, c in flags.items()], sum(flags.values(), F.lit(0)).alias("n_categories"))
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def _frame_sql(f) -> str:  # noqa: ANN001
-    parts = ([sql_any("t", f.words)] if f.words else []) + ([f"regexp_matches(low, '{'|'.join(f.patterns)}')"] if f.patterns else [])
+    parts = ([sql_any("t", f.words)] if f.words else []) + ([f"regexp_matches(low, {_quoted('|'.join(f.patterns))})"] if f.patterns else [])
     return f"CASE WHEN {' OR '.join(parts)} THEN '{f.name}' END"
 
 
@@ -75,7 +82,7 @@ _FRAMES = f"list_filter([{', '.join(map(_frame_sql, FRAMES))}], lambda x: x IS N
 
 @query(f"WITH {DOCS}, f AS (SELECT doc_id, {_FRAMES} AS f FROM d) SELECT doc_id, CASE WHEN len(f) = 0 THEN 'NONE_DETECTED' ELSE array_to_string(f, '+') END AS frames, CASE WHEN len(f) = 0 THEN 'NONE_DETECTED' ELSE f[1] END AS primary_frame, CAST(greatest(len(f), 1) AS INTEGER) AS n_frames FROM f")
 def framing_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames in table order, and the first."""
+    """All frames in table order, and the first."""
     d = docs(spark, sf_dir).select("doc_id", classify.frames(F.col("t"), F.col("low")).alias("f"))
     return d.select("doc_id", F.array_join("f", "+").alias("frames"), F.element_at("f", 1).alias("primary_frame"), F.size("f").alias("n_frames"))
 
@@ -84,35 +91,52 @@ _FIRST = FRAMES[0]
 _EXCL = FRAMES[2]
 
 
-@query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in _FIRST.words)})), ',') AS word_items, array_to_string(list_filter([{', '.join(f'''regexp_extract(low, '({p})', 1)''' for p in _EXCL.patterns)}], lambda x: x <> ''), ',') AS pattern_items FROM d")
+@query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in _FIRST.words)})), ',') AS word_items, array_to_string(list_filter([{', '.join(f'''regexp_extract(low, {_quoted(f'({p})')}, 1)''' for p in _EXCL.patterns)}], lambda x: x <> ''), ',') AS pattern_items FROM d")
 def framing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What matched."""
     d = docs(spark, sf_dir)
     return d.select("doc_id", F.array_join(classify.frame_items(F.col("t"), F.col("low"), _FIRST), ",").alias("word_items"), F.array_join(classify.frame_items(F.col("t"), F.col("low"), _EXCL), ",").alias("pattern_items"))
 
 
+def _contains(terms) -> str:  # noqa: ANN001
+    return " OR ".join(f"strpos(low, {_quoted(t)}) > 0" for t in terms)
+
+
+_SETS = {"EXCLUSION": _contains(EXCLUSION_PHRASES), "GENERALIZATION": f"{sql_any('t', QUANTIFIERS)} AND {sql_any('t', GENERAL_VERBS)}"}
+
+
+def _set_sql(f) -> str:  # noqa: ANN001
+    return f"CASE WHEN {_SETS.get(f.name) or sql_any('t', f.words)} THEN '{f.name}' END"
+
+
+_BY_SETS = f"list_filter([{', '.join(map(_set_sql, FRAMES))}], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {DOCS}, f AS (SELECT doc_id, {_BY_SETS} AS f FROM d) SELECT doc_id, CASE WHEN len(f) = 0 THEN 'NONE_DETECTED' ELSE array_to_string(f, '+') END AS frames FROM f")
+def framing_by_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases for exclusion, a quantifier and a verb for generalisation."""
+    return docs(spark, sf_dir).select("doc_id", F.array_join(classify.frames_by_sets(F.col("t"), F.col("low")), "+").alias("frames"))
+
+
 @query(f"""WITH {DOCS}, a AS (SELECT doc_id, list_filter([
 CASE WHEN list_contains(t[1:n-1], 'you') THEN 'DIRECT_ADDRESS' END,
-CASE WHEN {sql_any('t', ('they', 'all', 'every', 'the'))} AND {sql_any('t[2:n]', ('are', 'is', 'was', 'were'))} THEN 'GROUP_STATEMENT' END,
-CASE WHEN {sql_any('t[1:3]', ('go', 'get', 'stop', 'shut', 'leave', 'ban', 'in'))} THEN 'IMPERATIVE' END,
-CASE WHEN strpos(low, '?') > 0 OR list_contains({sql_list(('why', 'how', 'what', 'when', 'where', 'who', 'do', 'does', 'did', 'is', 'are', 'can'))}, coalesce(t[1], '')) THEN 'QUESTION' END,
+CASE WHEN {sql_any('t', ('they', 'all', 'every'))} AND {sql_any('t[2:n]', ('are', 'is', 'was', 'were'))} THEN 'GROUP_STATEMENT' END,
+CASE WHEN {sql_any('t[1:3]', COMMANDS)} THEN 'IMPERATIVE' END,
+CASE WHEN strpos(low, '?') > 0 OR list_contains({sql_list(QUESTION_WORDS)}, coalesce(t[1], '')) THEN 'QUESTION' END,
 CASE WHEN {sql_any('t', ('wish', 'hope', 'should', 'deserve'))} OR strpos(low, 'need to') > 0 OR strpos(low, 'want to') > 0 THEN 'WISH_DESIRE' END,
-CASE WHEN len(list_filter(t, lambda x: x IN ('went', 'saw', 'told', 'said', 'found', 'was', 'from'))) >= 2 THEN 'NARRATIVE' END,
+CASE WHEN len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in PAST_WORDS)}))) >= 2 THEN 'NARRATIVE' END,
 CASE WHEN n <= 6 THEN 'SHORT_LABEL' END,
-CASE WHEN {sql_any('t', ('lol', 'haha', 'imagine', 'sure', 'right', 'wow', 'oh', 'clown'))} THEN 'MOCKERY_SARCASM' END], lambda x: x IS NOT NULL) AS a FROM d)
+CASE WHEN {sql_any('t', MOCKING_WORDS)} THEN 'MOCKERY_SARCASM' END,
+CASE WHEN list_contains(t, 'hate') AND {sql_any('t', ('i', 'we'))} THEN 'HATE_DECLARATION' END], lambda x: x IS NOT NULL) AS a FROM d)
 SELECT doc_id, CASE WHEN len(a) = 0 THEN 'OTHER' ELSE array_to_string(a, '+') END AS acts FROM a""")
 def speech_act_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X10."""
     return docs(spark, sf_dir).select("doc_id", F.array_join(classify.speech_acts(F.col("t"), F.col("low")), "+").alias("acts"))
 
 
-def _contains(terms) -> str:  # noqa: ANN001
-    return " OR ".join(f"strpos(low, '{t}') > 0" for t in terms)
-
-
-@query(f"""WITH {DOCS} SELECT doc_id, CASE WHEN {sql_any('t', ('you', 'your'))} THEN 'DIRECT_ADDRESS' WHEN {sql_any('t[1:3]', ('go', 'stop', 'shut', 'get', 'leave', 'take'))} THEN 'IMPERATIVE'
-WHEN {_contains(('should', 'need to', 'deserve', 'must', 'ought', 'have to', 'better'))} THEN 'WISH_DESIRE' WHEN {sql_any('t', ('lol', 'haha', 'imagine', 'clown'))} THEN 'MOCKERY_SARCASM' WHEN n <= 6 THEN 'SHORT_LABEL'
-WHEN {sql_any('t', ('all', 'every', 'always', 'never', 'most', 'many', 'les'))} THEN 'GROUP_STATEMENT' WHEN strpos(low, '?') > 0 THEN 'QUESTION' WHEN {sql_any('t', ('was', 'were', 'had', 'been', 'did'))} AND n > 15 THEN 'NARRATIVE' ELSE 'UNCLEAR' END AS act FROM d""")
+@query(f"""WITH {DOCS} SELECT doc_id, CASE WHEN {sql_any('t', ('you', 'your'))} THEN 'DIRECT_ADDRESS' WHEN {sql_any('t[1:3]', FIRST_COMMANDS)} THEN 'IMPERATIVE'
+WHEN {_contains(WISHES)} THEN 'WISH_DESIRE' WHEN {sql_any('t', FIRST_MOCKING)} THEN 'MOCKERY_SARCASM' WHEN n <= 6 THEN 'SHORT_LABEL'
+WHEN {sql_any('t', GENERAL_WORDS)} THEN 'GROUP_STATEMENT' WHEN strpos(low, '?') > 0 THEN 'QUESTION' WHEN {_contains(HATE_PHRASES)} THEN 'HATE_DECLARATION' WHEN {sql_any('t', NARRATIVE_WORDS)} AND n > 15 THEN 'NARRATIVE' ELSE 'UNCLEAR' END AS act FROM d""")
 def speech_act_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X11."""
     return docs(spark, sf_dir).select("doc_id", classify.speech_act(F.col("t"), F.col("low")).alias("act"))
@@ -149,11 +173,16 @@ def premask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.md5("m").alias("masked_md5"), parse.has_other_tag(F.col("m")).cast("int").alias("other_tag"))
 
 
-@query("""WITH h AS (SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS w FROM documents)
-SELECT doc_id, w AS same_line, w AS next_line, w AS whole, w AS field_value, CASE WHEN w = '' THEN 'None' ELSE '- Kind: individuals' END AS enforced FROM h WHERE w <> ''""")
+#: A reply's sentence: the text's letters, digits and blanks, in one line.
+_SENTENCE = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""WITH h AS (SELECT doc_id, {_SENTENCE} AS w FROM documents)
+SELECT doc_id, w AS same_line, w AS next_line, w AS whole, w AS field_value, '- Kind: individuals' AS enforced FROM h WHERE w <> ''""")
 def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values from replies of several shapes."""
-    h = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "([A-Za-z]+)", 1).alias("w")).where("w <> ''")
+    """Values from replies of several shapes, whole texts being what they say."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", " ")
+    h = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace(plain, " +", " ")).alias("w")).where("w <> ''")
     w = F.col("w")
     return h.select(
         "doc_id", parse.final_sentence(F.concat(F.lit('Note.\n**Final Sentence:** "'), w, F.lit('"\nMore'))).alias("same_line"), parse.final_sentence(F.concat(F.lit("- Final Transformed Sentence:\n\n  '"), w, F.lit("'\n"))).alias("next_line"),
@@ -195,7 +224,7 @@ def domain_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.get(chosen, (at % F.size(chosen)).cast("int")).alias("domain"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, CAST(greatest(1, round_even(CAST(n AS DOUBLE) * CAST(0.85 AS DOUBLE), 0)) AS INTEGER) AS low_budget, CAST(greatest(1, round_even(CAST(n AS DOUBLE) * CAST(1.15 AS DOUBLE), 0)) AS INTEGER) AS high_budget, 'LH_v1_' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 5, '0') AS sequential FROM d")
+@query(f"WITH {DOCS} SELECT doc_id, CAST(greatest(1, round_even(CAST(n AS DOUBLE) * CAST(0.85 AS DOUBLE), 0)) AS INTEGER) AS low_budget, CAST(greatest(1, round_even(CAST(n AS DOUBLE) * CAST(1.15 AS DOUBLE), 0)) AS INTEGER) AS high_budget, 'row_' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 5, '0') AS sequential FROM d")
 def budgets_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P31, X27, X28. Sequential ids need one order of all rows: ids only are ranked, in ranges, and their counts added."""
     from .tables import stored
@@ -207,7 +236,7 @@ def budgets_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranged = stored(d.select("doc_id", low.alias("low_budget"), high.alias("high_budget")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     before = ranged.groupBy("part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ranged.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))).join(F.broadcast(before), "part")
-    return placed.select("doc_id", "low_budget", "high_budget", F.concat(F.lit("LH_v1_"), F.lpad((F.col("before") + F.col("i")).cast("string"), 5, "0")).alias("sequential"))
+    return placed.select("doc_id", "low_budget", "high_budget", F.concat(F.lit("row_"), F.lpad((F.col("before") + F.col("i")).cast("string"), 5, "0")).alias("sequential"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, 'From ' || source || ' (' || coalesce(lang, '') || '): ' || CAST(n AS VARCHAR) || ' words; ' AS line FROM d")

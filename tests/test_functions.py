@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import agreement, classify, parse, sentiment
 from corpuslab.functions.stem import porter, stems
+from corpuslab.operators import aggregates as A
 from corpuslab.operators import gates
 
 
@@ -67,3 +68,39 @@ def test_gates(spark):
     assert values(spark, ["a clown fish", "a clown", "you idiot"], gates.explicit_cues(C)) == [([],), (["clown"],), (["idiot"],)]
     assert values(spark, ["I'm sorry, but", None], gates.refusal(C)) == [(True,), (False,)]
     assert values(spark, ["x"], gates.verdict([("HARD:a", C == "x"), ("SOFT:b", C == "x"), ("SOFT:c", C == "y")]), gates.verdict([("HARD:a", C == "y")])) == [("HARD:a | SOFT:b", "PASS")]
+
+
+def test_frames_as_written(spark):
+    """Words are whole tokens and patterns keep to words' bounds; the order of the table decides the first frame."""
+    want = {
+        "small carpets are nice": ["NONE_DETECTED"],
+        "all of them are nice": ["GENERALIZATION"],
+        "every cat is a rat": ["DEHUMANIZATION", "GENERALIZATION"],
+        "allow that they do": ["NONE_DETECTED"],
+        "they don't belong, deport": ["EXCLUSION"],
+        "the deportation office": ["NONE_DETECTED"],
+        "sharia threat": ["CRIMINAL_DANGER", "RELIGIOUS"],
+        "breeding plot": ["CONSPIRACY", "SEXUAL_GENDERED"],
+        "all " + "x" * 40 + " are": ["NONE_DETECTED"],
+    }
+    df = spark.createDataFrame([(t,) for t in want], "low string")
+    got = {r["low"]: r["f"] for r in df.select("low", classify.frames(parse.tokens(F.col("low")), F.col("low")).alias("f")).collect()}
+    assert got == want
+    sets = {r["low"]: r["f"] for r in df.select("low", classify.frames_by_sets(parse.tokens(F.col("low")), F.col("low")).alias("f")).collect()}
+    assert sets["every cat is a rat"] == ["DEHUMANIZATION", "GENERALIZATION"] and sets["the deportation office"] == ["EXCLUSION"] and sets["allow that they do"] == ["NONE_DETECTED"]
+
+
+def test_acts_as_written(spark):
+    rows = [("i hate this", "SHORT_LABEL+HATE_DECLARATION", "SHORT_LABEL"), ("stop it now", "IMPERATIVE+SHORT_LABEL", "IMPERATIVE"), ("she told me and said that we hate all", "NARRATIVE+HATE_DECLARATION", "GROUP_STATEMENT")]
+    df = spark.createDataFrame(rows, "low string, many string, first string")
+    t = parse.tokens(F.col("low"))
+    for r in df.select("*", F.array_join(classify.speech_acts(t, F.col("low")), "+").alias("a"), classify.speech_act(t, F.col("low")).alias("b")).collect():
+        assert (r["a"], r["b"]) == (r["many"], r["first"])
+
+
+def test_distances_and_neighbours(spark):
+    rows = [(["a", "x", "x", "b"], 3), (["a", "b", "a"], 1), (["c"], 0), (["a"], None), ([], None), (None, None), (["b", "x", "a", "x", "x", "b"], 2)]
+    df = spark.createDataFrame(rows, "t array<string>, d int")
+    assert all(r["found"] == r["d"] for r in df.select("d", A.least_distance(F.col("t"), ("a", "c"), ("b", "c")).alias("found")).collect())
+    two = spark.createDataFrame([(["the", "and", "cat", "is", "the", "dogs"],), (["the"],), ([],)], "t array<string>")
+    assert [r[0] for r in two.select(A.bigrams(F.col("t"), ("the", "and"))).collect()] == [["and cat", "cat the", "the dogs"], [], []]
