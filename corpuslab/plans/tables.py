@@ -17,18 +17,25 @@ from ..functions.lexicons import INSULTS, STRIP, TARGETS
 _LOCAL: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder of spark.checkpoint.dir, which all executors share: a plan's stages are
-    then fixed and recoverable. Where it is unset (tests), a temporary folder. Removed when the driver ends."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one serves a local
+    master (tests); on a cluster, where executors would write to their own disks, that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             local = tempfile.mkdtemp(prefix="corpuslab-")
             atexit.register(shutil.rmtree, local, ignore_errors=True)
             _LOCAL.append(f"file://{local}")
-        folder = _LOCAL[0]
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+        found = _LOCAL[0]
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in ``folder``: a plan's stages are then fixed and recoverable. Removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
 
     def remove() -> None:
