@@ -21,6 +21,8 @@ BLOCK = 64
 SUPPORT = 0.6
 #: A text that so large a share of a block's pages (of three at least) have in the same place is the template's.
 CONSTANT = 0.6
+#: Share of a page's text in the main slot that the article's container holds.
+HELD = 0.7
 #: Share of a slot's characters in links from which it is a menu.
 LINKED = 0.5
 
@@ -45,11 +47,13 @@ SPACE = re.compile(r"[\s\x1c-\x1f]+")
 
 @dataclass
 class Token:
-    """A tag with its path, or a run of text; ``path`` holds the open containers, ``aside`` whether one is not the article's."""
+    """A tag with its path, or a run of text; ``path`` holds the open containers and ``chain`` their numbers on the page,
+    ``aside`` tells whether one is not the article's."""
 
     key: str
     text: str = ""
     path: tuple[str, ...] = ()
+    chain: tuple[int, ...] = ()
     aside: bool = False
     linked: bool = False
     breaks: bool = False
@@ -72,7 +76,7 @@ def _side(tag: str, raw: str) -> bool:
 def tokenise(source: str) -> Page:
     """Tags and runs of text in page order. Markup may be cut off, unclosed or wrongly nested."""
     page = Page()
-    open_: list[tuple[str, str, bool]] = []  # containers: tag, name in paths, whether it or one around is aside
+    open_: list[tuple[str, str, bool, int]] = []  # containers: tag, name in paths, whether it or one around is aside, number
     links = 0
 
     def add(token: Token) -> None:
@@ -81,10 +85,10 @@ def tokenise(source: str) -> Page:
 
     for m in PIECE.finditer(source):
         raw = m[0]
-        path, aside = tuple(x[1] for x in open_), bool(open_) and open_[-1][2]
+        path, aside, chain = tuple(x[1] for x in open_), bool(open_) and open_[-1][2], tuple(x[3] for x in open_)
         tag = TAG.match(raw) if raw[0] == "<" else None
         if raw[0] != "<" or (not tag and not raw.startswith(("<!", "<?"))):
-            add(Token("text", raw, path, aside, links > 0))
+            add(Token("text", raw, path, chain, aside, links > 0))
             continue
         if not tag:
             continue
@@ -92,26 +96,26 @@ def tokenise(source: str) -> Page:
         if not raw.endswith(">"):  # cut off within a tag, or a sign that opens none
             continue
         if m[1]:
-            add(Token(f"{'/'.join(path)}<{name}>", "", path, aside))
+            add(Token(f"{'/'.join(path)}<{name}>", "", path, chain, aside))
             continue
         if name == "a":
             links = 0 if closing else 1
         if name not in CONTAINERS and name not in DROPPED:
-            add(Token(f"{'/'.join(path)}<{closing}{name}>", "", path, aside, breaks=name in BLOCKS))
+            add(Token(f"{'/'.join(path)}<{closing}{name}>", "", path, chain, aside, breaks=name in BLOCKS))
             continue
         if closing:
             if any(x[0] == name for x in open_):
                 while open_.pop()[0] != name:
                     pass
-            add(Token(f"{'/'.join(x[1] for x in open_)}</{name}>", "", path, aside, breaks=True))
+            add(Token(f"{'/'.join(x[1] for x in open_)}</{name}>", "", path, chain, aside, breaks=True))
             continue
         names = " ".join(sorted(x[1].strip("\"' ") for x in NAMED.finditer(raw)))
-        add(Token(f"{'/'.join(path)}<{name} {names}>", "", path, aside, breaks=True))
+        add(Token(f"{'/'.join(path)}<{name} {names}>", "", path, chain, aside, breaks=True))
         if not raw.endswith("/>") and name not in VOID:
             inside = aside or _side(name, raw) or name in DROPPED
             if name in ("article", "main") and not any(x[0] in ("aside", "form", "dialog") or x[2] and x[0] == "div" for x in open_):
                 inside = False  # a page's own part, whatever is around it
-            open_.append((name, name + (f".{names}" if names else ""), inside))
+            open_.append((name, name + (f".{names}" if names else ""), inside, len(page.tokens)))
     return page
 
 
@@ -221,25 +225,28 @@ def clean(raw: str) -> str:
 
 @dataclass
 class Block:
-    """A line of text: the slot and the containers that it is in, and how much of it is in links."""
+    """A line of text: the innermost and the outermost slot and the containers that it is in, and how much of it is in links."""
 
     slot: int
+    outer: int
     text: str
     path: tuple[str, ...]
+    chain: tuple[int, ...]
     linked: float
 
 
-def blocks(page: Page, within: list[int]) -> list[Block]:
+def blocks(page: Page, within: list[int], outer: list[int]) -> list[Block]:
     """The lines outside containers that are not the article's. Containers end a line, so that a line is in one slot."""
     out: list[Block] = []
-    run: list[tuple[Token, int]] = []
-    for t, s in [*zip(page.tokens, within, strict=True), (Token("", breaks=True), 0)]:
+    run: list[tuple[Token, int, int]] = []
+    for t, s, o in [*zip(page.tokens, within, outer, strict=True), (Token("", breaks=True), 0, 0)]:
         if t.key == "text":
             if not t.aside:
-                run.append((t, s))
+                run.append((t, s, o))
         elif t.breaks:
-            if text := clean("".join(x.text for x, _ in run)):
-                out.append(Block(run[0][1], text, run[0][0].path, sum(len(x.text) for x, _ in run if x.linked) / sum(len(x.text) for x, _ in run)))
+            if text := clean("".join(x.text for x, _, _ in run)):
+                first = run[0]
+                out.append(Block(first[1], first[2], text, first[0].path, first[0].chain, sum(len(x.text) for x, _, _ in run if x.linked) / sum(len(x.text) for x, _, _ in run)))
             run = []
     return out
 
@@ -249,8 +256,11 @@ def extract(sources: list[str]) -> list[str]:
 
     The template's slots are what lies between the keys of its classes. Lines that most pages have in the same slot are
     the template's own, and a slot that is mostly links is a menu; neither is the article's, inside an article or a
-    main part as elsewhere. Those tags are a hint on top: of the lines left, those inside them are taken if they hold
-    most of the text that pages of the same layout have left; if not, as with a teaser, all lines left are.
+    main part as elsewhere. The frame's slot with the most text left, over all pages of the block, is the article's: of a
+    page the lines left in the innermost container around nearly all its text there are taken. Tags and names are hints:
+    they leave asides out beforehand, and where there is no frame (a block of two pages, pages without anything in
+    common) the lines inside article or main parts are taken if they hold most of the text that pages of the same layout
+    have left; if not, as with a teaser, all lines left are.
 
     Copies, which say nothing of what is a host's, count as one page: pages with the same tags and the same text outside
     containers that are not the article's, whatever their links and asides.
@@ -271,7 +281,8 @@ def signature(page: Page) -> bytes:
 
 
 def _extract(pages: list[Page]) -> list[str]:
-    lines = [blocks(p, within) for p, within in zip(pages, nested(pages, frame(pages)), strict=True)]
+    keys = frame(pages)
+    lines = [blocks(p, within, slots(p, keys)) for p, within in zip(pages, nested(pages, keys), strict=True)]
     seen = Counter(x for ls in lines for x in {(b.slot, b.text, bool(_tagged(b))) for b in ls})
     # Inside a tagged part a line that just two of three pages share is still text.
     constant = {x for x, n in seen.items() if len(pages) >= 3 and n >= max(CONSTANT * len(pages), 3 * x[2])}
@@ -287,13 +298,43 @@ def _extract(pages: list[Page]) -> list[str]:
     # Inside a tagged part one linked line is a headline; a menu has several, on pages enough to tell.
     lists = {s for s in menus if len(pages) >= 3 and rows[s] >= 2 * held[s]}
     left = [[b for b in ls if (b.slot, b.text, bool(_tagged(b))) not in constant and b.slot not in (lists if _tagged(b) else menus)] for ls in lines]
+    main = _main_slot(left) if len(pages) >= 3 and keys else None
     inside: Counter[tuple] = Counter()
     whole: Counter[tuple] = Counter()
     layouts = [tuple(sorted({x for b in ls if (x := _tagged(b))})) for ls in lines]
     for layout, ls in zip(layouts, left, strict=True):
         inside[layout] += sum(len(b.text) for b in ls if _tagged(b))
         whole[layout] += sum(len(b.text) for b in ls)
-    return [_main(ls, 2 * inside[x] >= whole[x]) for x, ls in zip(layouts, left, strict=True)]
+    out = []
+    for x, ls in zip(layouts, left, strict=True):
+        around = _around(ls, main)
+        out.append(_main(ls, 2 * inside[x] >= whole[x]) if around is None else "\n".join(b.text for b in ls if b.chain[: len(around)] == around))
+    return out
+
+
+def _main_slot(left: list[list[Block]]) -> int | None:
+    """The frame's slot that holds the most text which is neither the template's nor a menu's, over all pages of the block."""
+    chars: Counter[int] = Counter()
+    for b in (b for ls in left for b in ls):
+        chars[b.outer] += len(b.text)
+    return max(chars, key=lambda s: (chars[s], -s), default=None)
+
+
+def _around(left: list[Block], main: int | None) -> tuple[int, ...] | None:
+    """The innermost container that holds nearly all of a page's text in the main slot; none if the page has no text there.
+
+    Where containers have no names to tell them by, what follows the article lies in its slot too, but not in its container.
+    """
+    held: Counter[tuple[int, ...]] = Counter()
+    total = 0
+    for b in left:
+        if b.outer == main:
+            total += len(b.text)
+            for n in range(1, len(b.chain) + 1):
+                held[b.chain[:n]] += len(b.text)
+    if main is None or not total:
+        return None
+    return max((c for c, n in held.items() if n >= HELD * total), key=len, default=())
 
 
 def _tagged(line: Block) -> tuple[str, ...]:

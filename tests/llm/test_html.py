@@ -1,6 +1,7 @@
 import html as references
 import re
 
+from corpuslab.llm import html
 from corpuslab.llm.html import extract, extract_main_text, frame, op2_extract_main_text, tokenise
 
 
@@ -94,3 +95,29 @@ def test_copies_count_as_one_page(spark):
         rows = [(1, "http://a.test/1", page(0, j % 150)) for j in range(n)] + [(1, "http://a.test/1", page(k)) for k in range(1, 6)]
         got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
         assert sorted(r["text"] for r in got) == sorted(mixed)
+
+
+def neutral(k):
+    """A page that tells nothing by tags or names: menu, notice, article, foot in containers alike; text differs everywhere."""
+    body = "".join(f"<p>paragraph {k} {i} with some words of its own</p>" for i in range(3 + k % 4))
+    links = "".join(f"<li><a href='/{k}{i}'>menu {k} {i}</a></li>" for i in range(5))
+    page = f"<html><head><title>t{k}</title></head><body><div><ul>{links}</ul></div><div>notice of page {k}</div><div><h1>head {k}</h1>{body}</div><div>foot of page {k} &copy;</div></body></html>"
+    return page, "\n".join([f"head {k}", *(f"paragraph {k} {i} with some words of its own" for i in range(3 + k % 4))])
+
+
+def test_the_frame_finds_the_article_where_nothing_is_named(monkeypatch):
+    pages, want = zip(*map(neutral, range(12)), strict=True)
+    assert html.extract([*pages]) == [*want]
+    monkeypatch.setattr(html, "frame", lambda pages: [])
+    assert not any(a == b for a, b in zip(html.extract([*pages]), want, strict=True))
+
+
+def test_pages_without_tags_and_names(spark):
+    """Most of the given pages lose nothing when the tags and names that tell of an article are taken away."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html").collect()
+    hosts = {}
+    for r in rows:
+        hosts.setdefault(r["url"].split("/")[2], []).append(r["html"])
+    bare = lambda s: re.sub(r'\b(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|main|aside|nav|header|footer)\b", r"<\1div", s))
+    pairs = [x for v in hosts.values() for x in zip(html.extract(v), html.extract([*map(bare, v)]), strict=True)]
+    assert sum(a == b for a, b in pairs) >= 0.8 * len(pairs)
