@@ -124,7 +124,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Hand freed memory back to the system: workers live on, and what one stage freed is missing for the next."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
@@ -138,7 +138,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 24 << 20)
         step = max(1, batch.num_rows * most // max(size, 1))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-        _give_back()
+        give_back()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -14,12 +14,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, few_copies, forget, join_one, slices, table, written
+from .common import as_bytes, few_copies, forget, give_back, join_one, slices, table, written
 
 #: Size classes of sets grow by this factor. It is over 1 / 0.85, so linked sets are in one class or the next.
 GROWTH = 1.6
 #: Signatures that a task sorts at a time, and bytes of text in one slice of a large block.
-SIGNATURES, SLICE = 1_000_000, 8 << 20
+SIGNATURES, SLICE = 600_000, 8 << 20
 #: Bytes of text whose words are held at a time.
 TOGETHER = 1 << 20
 #: Orders in which neighbours are compared before a search.
@@ -529,6 +529,9 @@ def jaccard_components(df: DataFrame, width: int = 5, percent: int = 80, text: s
         root = linked(sets, percent, (pdf["mine"] == pdf["one"]).tolist() if across else None)
         keys = pdf["key"].tolist()
         found = [(keys[r], keys[k]) for k, r in enumerate(root) if r != k]
+        if sum(map(len, sets)) > 100_000:
+            del sets
+            give_back()
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
 
     stars = members.groupBy("root", "one", "two").applyInPandas(block, "a binary, b binary")
