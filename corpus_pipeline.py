@@ -14,7 +14,7 @@ from corpuslab.llm.secrets import redact
 
 
 #: Bytes of a batch that goes to a Python worker; documents are long, and stages follow each other in one session.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
