@@ -29,7 +29,13 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def logistic(df: DataFrame, features: Sequence[str], label: str, c: float = 1.0, weigh: bool = True) -> LogisticRegressionModel:
-    """L2 with strength 1 / C on the sum of losses, the intercept free, features as they are."""
+    """L2 with strength 1 / C on the sum of losses, the intercept free, features as they are.
+
+    Rows with a null label or feature are left out; fewer than two labels among the others are an error.
+    """
+    df = df.dropna(subset=[label, *features])
+    if df.select(label).distinct().limit(2).count() < 2:
+        raise ValueError(f"{label} has fewer than two values: nothing to fit")
     data = assembled(balanced(df, label) if weigh else df.withColumn("weight", F.lit(1.0)), features)
     n = data.agg(F.sum("weight")).first()[0] or 1.0
     return LogisticRegression(labelCol=label, weightCol="weight", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200).fit(data)

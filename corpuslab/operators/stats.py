@@ -55,17 +55,38 @@ def mid_ranks(df: DataFrame, value: str) -> DataFrame:
     return placed.select(value, "c", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
 
 
+def tail_formula(x: str) -> str:
+    """Both tails of the normal distribution beyond ``x`` >= 0 deviations, as SQL: a series below 3, a continued fraction above."""
+    near, far = "1.0", f"{x}"
+    for k in range(60, 0, -1):
+        near = f"(1.0 + {x} * {x} / {2 * k + 1}.0 * {near})"
+        far = f"({x} + {k}.0 / {far})"
+    density = f"exp(-{x} * {x} / 2.0) * 0.7978845608028654"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0.0 THEN CAST(1.0 AS DOUBLE) WHEN {x} < 3.0 THEN 1.0 - {density} * {x} * {near} ELSE {density} / {far} END"
+
+
+def with_tails(df: DataFrame, deviations: Column, name: str = "p") -> DataFrame:
+    """``df`` with the two-sided p of a normal statistic; 1 at or below 0, null where the statistic is null."""
+    kept = [f"`{c}`" for c in df.columns if c != name]
+    return df.withColumn("__x", deviations.cast("double")).select(*kept, F.expr(tail_formula("__x")).alias(name))
+
+
 def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
-    """(n1, n0, u, z): two-sided test of group 1 against group 0, ties corrected, with continuity correction."""
+    """(n1, n0, u, z, p): two-sided test of group 1 against group 0, ties corrected, with continuity correction.
+
+    Null values and groups are left out. With an empty group, or one value only, z and p are null; without rows u too.
+    """
     rows = df.select(F.col(value), group.cast("int").alias("g")).where(F.col(value).isNotNull() & F.col("g").isNotNull())
     sizes = rows.groupBy(value).agg(F.sum("g").alias("one"), F.count("*").alias("both"))
     joined = sizes.join(mid_ranks(rows, value), value)
     s = joined.agg(F.sum("one").alias("n1"), F.sum(F.col("both") - F.col("one")).alias("n0"), F.sum(F.col("one") * F.col("rank")).alias("r"), F.sum(F.pow(F.col("both").cast("double"), 3) - F.col("both")).alias("t"))
+    s = s.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n1", "n0")})
     n1, n0, n = F.col("n1"), F.col("n0"), F.col("n1") + F.col("n0")
     u = F.col("r") - n1 * (n1 + 1) / 2
-    mean, spread = n1 * n0 / 2, F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("t") / (n * (n - 1))))
-    z = (F.abs(u - mean) - 0.5) / spread
-    return s.select("n1", "n0", F.round(u, 4).alias("u"), F.round(z, 4).alias("z"))
+    mean, spread = n1 * n0 / 2, F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.try_divide(F.col("t"), n * (n - 1))))
+    z = F.try_divide(F.abs(u - mean) - 0.5, F.when(spread > 0, spread))
+    found = with_tails(s.select("n1", "n0", F.round(u, 4).alias("u"), z.alias("z")), F.col("z"))
+    return found.select("n1", "n0", "u", F.round("z", 4).alias("z"), F.round("p", 6).alias("p"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -54,6 +54,33 @@ def injected(h: Column, v: Column, alpha: Column) -> Column:
     return F.zip_with(h, v, lambda x, y: x + alpha * y)
 
 
+def injected_at(states: Column, v: Column, alpha: Column, mode: Column, first: Column | None = None) -> Column:
+    """Tokens' states with alpha * v added to the ``last``, the ``first``, ``all`` or ``none`` of them.
+
+    ``first`` is the place of the first token that is no padding (0 if not given). Other modes count as none; no tokens
+    stay no tokens, and null states stay null.
+    """
+    at = F.lit(0) if first is None else first
+    end = F.size(states) - 1
+    hit = lambda i: (mode == "all") | ((mode == "last") & (i == end)) | ((mode == "first") & (i == at))
+    return F.transform(states, lambda h, i: F.when(hit(i), injected(h, v, alpha)).otherwise(h))
+
+
+def probe_swap(df: DataFrame, source: str, group: str, plus: str, minus: str, truth: str, size: int) -> DataFrame:
+    """(train, eval, layer, macro_f1): a probe per layer from each source's rows, on the rows of every source.
+
+    A source that lacks one of the two groups in a layer trains no probe there. Each row meets the probes of its layer
+    inside a row (one per source: a few), so rows are read once and summed to counts before any shuffle.
+    """
+    means = df.groupBy(source, "layer", group).agg(F.array(*[F.avg(F.get("h", F.lit(k))) for k in range(size)]).alias("mean"))
+    a, b = (means.where(F.col(group) == g).select(F.col(source).alias("train"), "layer", F.col("mean").alias(n)) for g, n in ((plus, "a"), (minus, "b")))
+    probes = a.join(b, ["train", "layer"]).select("train", "layer", F.zip_with("a", "b", lambda x, y: x - y).alias("w"), ((dot(F.col("b"), F.col("b")) - dot(F.col("a"), F.col("a"))) / 2).alias("bias"))
+    packed = probes.groupBy("layer").agg(F.collect_list(F.struct("train", "w", "bias")).alias("probes"))
+    points = df.join(packed, "layer").select(F.col(source).alias("eval"), "layer", F.col(truth).alias("y"), "h", F.explode("probes").alias("p"))
+    points = points.select(F.col("p.train").alias("train"), "eval", "layer", "y", (F.round(dot(F.col("h"), F.col("p.w")) + F.col("p.bias"), 9) > 0).cast("int").alias("hit"))
+    return confusion(points, F.col("y"), F.col("hit"), "train", "eval", "layer").select("train", "eval", "layer", F.round(macro_f1(), 6).alias("macro_f1"))
+
+
 def axis_gap(df: DataFrame, vectors: DataFrame, group: str, plus: str, minus: str) -> DataFrame:
     """(vector, layer, z): difference of two groups' mean projections over the deviation of both (ddof 0)."""
     joined = df.where(F.col(group).isin(plus, minus)).join(F.broadcast(vectors), "layer").withColumn("s", dot(F.col("h"), F.col("v")))

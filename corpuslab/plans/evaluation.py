@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..operators import aggregates as A
 from ..operators import stats as D
 from ..operators import vectors as V
 from ..operators.select import first_per_group
-from .tables import DOCS, POSTS, docs, posts, stored, table
+from .tables import DOCS, POSTS, docs, folder, posts, stored, table
 
 QUERIES, ORACLE = {}, {}
 SIZE = 8  # eight layers of eight dimensions
@@ -86,22 +88,25 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.bootstrap_delta(predictions(spark, sf_dir), "doc_id", F.col("y"), F.col("b0"), F.col("e1"), 2000)
 
 
-@query(f"""WITH {PRED}, c AS (SELECT CAST(count(*) FILTER (WHERE e1 = 1 AND lang = 'en') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE e1 = 0 AND lang = 'en') AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE e1 = 1 AND lang <> 'en') AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE e1 = 0 AND lang <> 'en') AS DOUBLE) AS d FROM e)
-SELECT round((a + b + c + d) * pow(greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2), 2) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0), 6) AS chi2, round(a * d / nullif(b * c, 0), 6) AS odds FROM c""")
+@query(f"""WITH {PRED}, c AS (SELECT CAST(count(*) FILTER (WHERE e1 = 1 AND lang = 'en') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE e1 = 0 AND lang = 'en') AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE e1 = 1 AND lang <> 'en') AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE e1 = 0 AND lang <> 'en') AS DOUBLE) AS d FROM e),
+k AS (SELECT round((a + b + c + d) * pow(greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2), 2) / nullif((a + b) * (c + d) * (a + c) * (b + d), 0), 6) AS chi2, round(a * d / nullif(b * c, 0), 6) AS odds FROM c),
+x AS (SELECT *, sqrt(chi2) AS x FROM k) SELECT chi2, odds, round({D.tail_formula("x")}, 6) AS p FROM x""")
 def chi2_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1, D2."""
     en, cue = F.col("lang") == "en", F.col("e1") == 1
     c = predictions(spark, sf_dir).agg(F.count_if(cue & en).alias("a"), F.count_if(~cue & en).alias("b"), F.count_if(cue & ~en).alias("c"), F.count_if(~cue & ~en).alias("d"))
     a = [F.col(x) for x in "abcd"]
-    return c.select(F.round(D.chi_square(*a), 6).alias("chi2"), F.round(D.odds_ratio(*a), 6).alias("odds"))
+    found = c.select(F.round(D.chi_square(*a), 6).alias("chi2"), F.round(D.odds_ratio(*a), 6).alias("odds"))
+    return D.with_tails(found, F.sqrt("chi2")).withColumn("p", F.round("p", 6))
 
 
 _RANKED = "SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM x"
 
 
 @query(f"""WITH {POSTS}, x AS (SELECT n AS v, has_cue AS g FROM p), k AS ({_RANKED}), t AS (SELECT sum(pow(c, 3) - c) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY v)),
-s AS (SELECT CAST(sum(g) AS BIGINT) AS n1, CAST(count(*) - sum(g) AS BIGINT) AS n0, sum(CASE WHEN g = 1 THEN r END) AS r FROM k), u AS (SELECT *, r - n1 * (n1 + 1) / 2.0 AS u, n1 + n0 AS n FROM s, t)
-SELECT n1, n0, round(u, 4) AS u, round((abs(u - n1 * n0 / 2.0) - 0.5) / sqrt(n1 * n0 / 12.0 * ((n + 1) - t / (n * (n - 1)))), 4) AS z FROM u""")
+s AS (SELECT CAST(sum(g) AS BIGINT) AS n1, CAST(count(*) - sum(g) AS BIGINT) AS n0, sum(CASE WHEN g = 1 THEN r END) AS r FROM k), u AS (SELECT *, r - n1 * (n1 + 1) / 2.0 AS u, n1 + n0 AS n FROM s, t),
+z AS (SELECT n1, n0, u, (abs(u - n1 * n0 / 2.0) - 0.5) / sqrt(n1 * n0 / 12.0 * ((n + 1) - t / (n * (n - 1)))) AS z FROM u)
+SELECT n1, n0, round(u, 4) AS u, round(z, 4) AS z, round({D.tail_formula("z")}, 6) AS p FROM z""")
 def mannwhitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3."""
     return D.mann_whitney(posts(spark, sf_dir).select(F.col("n").alias("v"), "has_cue"), "v", F.col("has_cue") == 1)
@@ -258,6 +263,52 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(F.broadcast(settings), "alpha").join(zero, "vector").select("vector", "layer", "setting", "macro_f1", F.round(F.col("macro_f1") - F.col("f0"), 6).alias("d_f1"))
 
 
+@query(f"WITH {_H} SELECT CAST(row_number() OVER (ORDER BY vector, layer) - 1 AS BIGINT) AS row, array_to_string(list_transform(v, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ',') AS v FROM v")
+def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups' vectors as an array file, written and read."""
+    from ..sources import readers, sinks
+
+    path = f"{folder(spark)}/vectors-{uuid.uuid4().hex}.npy"
+    _, v = group_vectors(spark, sf_dir)
+    sinks.arrays(v, path, "v", "vector", "layer")
+    return readers.arrays(spark, path).select("row", F.array_join(F.transform("values", lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias("v"))
+
+
+@query("SELECT 'box' AS kind, lang AS series, source AS x, CAST(min(n_chars) AS DOUBLE) AS y_low, quantile_cont(CAST(n_chars AS DOUBLE), 0.25) AS y_q1, quantile_cont(CAST(n_chars AS DOUBLE), 0.5) AS y_mid, quantile_cont(CAST(n_chars AS DOUBLE), 0.75) AS y_q3, CAST(max(n_chars) AS DOUBLE) AS y_high FROM documents GROUP BY 2, 3")
+def box_plot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: figures of a box plot."""
+    from ..sources import sinks
+
+    return sinks.plot_table(table(spark, sf_dir, "documents"), "box", "source", "n_chars", "lang")
+
+
+_MODES = ("last", "first", "all", "none")
+
+
+@query(f"""WITH {_H}, t AS (SELECT vec_id, list(h ORDER BY layer) AS t FROM h GROUP BY 1), q AS (SELECT unnest({list(_MODES)}) AS mode), x AS (SELECT vec_id, mode, t, list_transform(range(1, len(t) + 1), lambda i: list_transform(range(1, 9), lambda k: t[i][k] + CASE WHEN mode = 'all' OR (mode = 'last' AND i = len(t)) OR (mode = 'first' AND i = 1) THEN 0.5 * v[k] ELSE 0 END)) AS s FROM t, q, (SELECT v FROM v WHERE vector = 'v_AB' AND layer = 0))
+SELECT vec_id, mode, array_to_string(list_transform(s, lambda a: CAST(CAST(round(10000 * list_sum(a)) AS BIGINT) AS VARCHAR)), ',') AS sums FROM x""")
+def injection_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: a vector's layers stand in for the states of eight tokens."""
+    _, v = group_vectors(spark, sf_dir)
+    one = v.where("vector = 'v_AB' AND layer = 0").select("v")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    slices = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice("embedding", k * SIZE + 1, F.lit(SIZE)), lambda x: x.cast("double")))
+    rows = e.select("vec_id", slices.alias("t"), F.explode(F.array(*map(F.lit, _MODES))).alias("mode")).crossJoin(F.broadcast(one))
+    found = V.injected_at(F.col("t"), F.col("v"), F.lit(0.5), F.col("mode"))
+    added = F.transform(found, lambda h: F.round(10000 * F.aggregate(h, F.lit(0.0), lambda s, x: s + x)).cast("long").cast("string"))
+    return rows.select("vec_id", "mode", F.array_join(added, ",").alias("sums"))
+
+
+@query(f"""WITH {_H}, hs AS (SELECT *, 's' || CAST(vec_id % 3 AS VARCHAR) AS source FROM h), ms AS (SELECT source, layer, grp, [{', '.join(f'avg(h[{k}])' for k in range(1, 9))}] AS m FROM hs GROUP BY 1, 2, 3),
+ps AS (SELECT a.source AS train, a.layer, [{', '.join(f'a.m[{k}] - b.m[{k}]' for k in range(1, 9))}] AS w, (list_dot_product(b.m, b.m) - list_dot_product(a.m, a.m)) / 2 AS bias FROM ms a JOIN ms b ON a.source = b.source AND a.layer = b.layer AND a.grp = 'A' AND b.grp = 'C'),
+s AS (SELECT train, source AS eval, hs.layer, y, CAST(round(list_dot_product(h, w) + bias, 9) > 0 AS INTEGER) AS p FROM hs JOIN ps USING (layer)), c AS (SELECT train, eval, layer, {_counts_sql('p')} FROM s GROUP BY 1, 2, 3)
+SELECT train, eval, CAST(layer AS INTEGER) AS layer, round(({_F1} + {_F0}) / 2, 6) AS macro_f1 FROM c""")
+def probe_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources by id, each the training source in turn."""
+    h = hidden(spark, sf_dir).withColumn("source", F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")))
+    return V.probe_swap(h, "source", "grp", "A", "C", "y", SIZE)
+
+
 _U = "CAST(('0x' || substr(md5('r' || CAST(s AS VARCHAR) || '|0|' || CAST(k AS VARCHAR) || '|{0}'), 1, 7)) AS BIGINT) / 268435456.0"
 
 

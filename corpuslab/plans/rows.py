@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse
-from ..functions.lexicons import CATEGORIES, EMOTIONS, FRAME_WORDS, GROUPS, INSULTS, SUFFIXES
+from ..functions.lexicons import CATEGORIES, EMOTIONS, FRAME_WORDS, GROUPS, INSULTS, REFUSALS, SUFFIXES
 from ..operators import gates as G
 from ..operators import generate, guards
 from ..sources import readers, sinks
@@ -211,3 +211,33 @@ def json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     fenced = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("conv_id") % 4 == 3, "{}").otherwise(body)
     reply = generate.parsed_reply(fenced, "answer string, more string")
     return c.select("conv_id", "turn", F.md5(reply.answer).alias("text_md5"), reply.isNotNull().alias("parsed"))
+
+
+_REFUSED = " OR ".join(f"strpos(lower(text), '{x.replace(chr(39), chr(39) * 2)}') > 0" for x in REFUSALS)
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, text, len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')) AS n, {_REFUSED} AS refused FROM conversations)
+SELECT conv_id, turn, CASE WHEN n = 0 THEN 'skipped' WHEN refused THEN 'refused' ELSE 'ok' END AS status, CASE WHEN n > 0 AND NOT refused THEN CAST(n - 8 AS VARCHAR) END AS length_diff, CASE WHEN n > 0 AND NOT refused THEN 'about sport 8 7 9 ' || CAST(n AS VARCHAR) END AS checked FROM c""")
+def domain_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3, L4: turns about a domain in a budget; the stand-in drops the prompt's first word, so the rewrite is the input."""
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").withColumns({"domain": F.lit("sport"), "n_tokens": F.lit(8)})
+    keys = [("rewrite", "Rewrite {input}"), ("check", "x about {domain} {target_token_count} {min_token_count} {max_token_count} {candidate_token_count}")]
+    found = generate.domain_turns(d, lambda prompt, history: " ".join(prompt.split()[1:]), keys, opening=[{"role": "user", "content": "Change each text on its own."}])
+    return found.select("conv_id", "turn", "status", F.try_element_at("turns", F.lit("length_diff")).alias("length_diff"), F.try_element_at("turns", F.lit("check")).alias("checked"))
+
+
+@query("SELECT doc_id, CASE WHEN source IS NULL OR source = 'src1' THEN 'SKIP:second_refusal' WHEN lang = 'en' THEN 'SKIP:analyze_failed' ELSE '' END AS flag, CASE WHEN source IS NULL OR source = 'src1' OR lang = 'en' THEN '' ELSE trim(coalesce(lang, '') || ' ' || source) END AS result FROM documents")
+def pair_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refused second text, a refused turn, and a last turn that falls back to the one before it."""
+    d = table(spark, sf_dir, "documents")
+    d = d.select("doc_id", F.when(F.col("lang") == "en", "refuse").otherwise(F.col("lang")).alias("first"), F.when(F.col("source") == "src1", "I cannot do that.").otherwise(F.col("source")).alias("second"))
+    keys = [("analyze", "A {first} {second}"), ("rewrite", "B {first} {second}"), ("check", "refuse {rewrite}")]
+    return generate.pair_chain(d, generate.echo, keys, "first", "second").select("doc_id", "flag", "result")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '' WHEN lang IS NULL THEN 'english,short' ELSE 'english' END AS failed, CASE WHEN lang = 'en' THEN 1 WHEN lang IS NULL THEN 0 ELSE 3 END AS attempts, lang AS reply FROM documents")
+def validated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tried again while a check fails, then kept with the check's name."""
+    checks = {"english": lambda text, reply: reply == "en", "short": lambda text, reply: len(reply) < 9}
+    found = generate.validated(table(spark, sf_dir, "documents").select("doc_id", "lang"), generate.echo, "Say {input}", checks, "lang")
+    return found.select("doc_id", F.array_join("failed", ",").alias("failed"), "attempts", "reply")

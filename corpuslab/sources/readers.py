@@ -75,6 +75,36 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Da
     return spark.read.parquet(path)
 
 
+def arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, values): rows of array files (.npy) under ``path``, read by the tasks; a vector has one row.
+
+    More than two dimensions are flattened behind the first. Arrays of objects are refused, as reading them would run code.
+    """
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def work(frames):  # noqa: ANN001, ANN202
+        for pdf in frames:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                found = np.load(io.BytesIO(content), allow_pickle=False)
+                rows = np.atleast_2d(found).reshape(1 if found.ndim < 2 else len(found), -1).astype(np.float64)
+                for at in range(0, len(rows), 4096):
+                    part = rows[at : at + 4096]
+                    yield pd.DataFrame({"file": name, "row": np.arange(at, at + len(part)), "values": list(part)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInPandas(work, "file string, row long, values array<double>")
+
+
+def model(path: str):  # noqa: ANN201
+    """A fitted pipeline that ``sinks.model`` wrote."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def union_files(spark: SparkSession, *paths: str) -> DataFrame:
     """Parquet tables one after the other; tables that are not there are left out, columns that lack are null."""
     found = [spark.read.parquet(p) for p in paths if exists(spark, p)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +46,61 @@ def metrics(df: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps(json.loads(df.limit(1).toJSON().first()), indent=2, ensure_ascii=False), encoding="utf-8")
 
 
+def arrays(df: DataFrame, path: str, values: str, *order: str, most: int = 100_000) -> None:
+    """A small table's vectors as one array file (.npy), in the order of ``order``; more than ``most`` rows are an error."""
+    import numpy as np
+
+    rows = df.orderBy(*order).select(values).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them as Parquet")
+    body = io.BytesIO()
+    np.save(body, np.array([r[0] for r in rows], dtype=np.float64))
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(body.getvalue()))
+    finally:
+        out.close()
+
+
+def model(fitted, path: str) -> None:  # noqa: ANN001
+    """A fitted transformer, or several in a row, as a pipeline that ``readers.model`` reads."""
+    from pyspark.ml import PipelineModel
+
+    PipelineModel(list(fitted) if isinstance(fitted, (list, tuple)) else [fitted]).write().overwrite().save(path)
+
+
+def plot_table(df: DataFrame, kind: str, x: str, y: str, series: str | None = None) -> DataFrame:
+    """(kind, series, x, y) for a plotting tool: bar, line, pie and heatmap take the rows as they are; box takes
+    (least, quartiles, most) of ``y`` per ``x`` in ``y_low`` to ``y_high``. Null series are empty."""
+    name = F.coalesce(F.col(series).cast("string"), F.lit("")) if series else F.lit("")
+    rows = df.select(F.lit(kind).alias("kind"), name.alias("series"), F.col(x).cast("string").alias("x"), F.col(y).cast("double").alias("y"))
+    if kind != "box":
+        return rows
+    marks = {"y_low": 0.0, "y_q1": 0.25, "y_mid": 0.5, "y_q3": 0.75, "y_high": 1.0}
+    return rows.groupBy("kind", "series", "x").agg(*[F.percentile("y", q).alias(k) for k, q in marks.items()])
+
+
+def move(spark: SparkSession, paths: Sequence[str], folder: str) -> list[str]:
+    """Files or folders moved into ``folder``, which is made; those that are not there are left out. Names that are
+    there already are an error: nothing is overwritten. Returns the new paths."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(conf)
+    system.mkdirs(target)
+    found = []
+    for path in paths:
+        old = jvm.org.apache.hadoop.fs.Path(path)
+        if not old.getFileSystem(conf).exists(old):
+            continue
+        new = jvm.org.apache.hadoop.fs.Path(target, old.getName())
+        if system.exists(new) or not system.rename(old, new):
+            raise FileExistsError(str(new))
+        found.append(new.toString())
+    return found
+
+
 def report(title: str, tables: dict[str, DataFrame], path: str, most: int = 50) -> None:
     """A Markdown page of small summaries."""
     parts = [f"# {title}"]

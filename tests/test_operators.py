@@ -75,6 +75,65 @@ def test_generation(spark):
     assert parsed[0]["p"]["k"] == "value" and parsed[1]["p"] is None
 
 
+def test_chains(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, None, "I cannot do that."), (3, "a", None), (4, "refuse", "b"), (5, None, "b")], "flag int, first string, second string")
+    keys = [("one", "A {first} {second}"), ("two", "B {one}x"), ("three", "refuse {two}")]
+    got = [(r["first"], r["second"], r["result"], r["flag"], len(r["turns"])) for r in generate.pair_chain(df, generate.echo, keys, "first", "second").collect()]
+    assert got == [("a", "b", "a bx", "", 3), (None, "I cannot do that.", "", "SKIP:second_refusal", 0), ("a", None, "", "SKIP:second_refusal", 0), ("refuse", "b", "", "SKIP:one_failed", 0), (None, "b", "bx", "", 3)]
+    assert generate.pair_chain(df.limit(0), generate.echo, keys, "first", "second").count() == 0
+    d = spark.createDataFrame([(1, "one two three", "sport", 4), (2, "one", None, None), (3, None, "x", 1)], "id int, text string, domain string, n_tokens int")
+    rows = {r["id"]: r for r in generate.domain_turns(d, generate.echo, [("rewrite", "x {input}"), ("check", "x {domain} {max_token_count} {length_ratio}")]).collect()}
+    assert rows[1]["turns"]["check"] == "sport 5 0.75" and rows[1]["turns"]["length_diff"] == "-1" and rows[1]["domain"] == "sport"
+    assert rows[2]["turns"]["check"] == "1 0" and rows[3]["status"] == "skipped"
+    v = generate.validated(d, generate.echo, "x {input}", {"long": lambda text, reply: len(reply) > 5}, max_retries=1)
+    assert [(r["id"], r["reply"], r["failed"], r["attempts"]) for r in v.collect()] == [(1, "one two three", [], 1), (2, "one", ["long"], 2), (3, None, ["long"], 0)]
+
+
+def test_tails(spark):
+    from math import erfc, sqrt
+
+    zs = [0.0, 0.01, 0.7, 1.96, 2.999, 3.0, 3.5, 5.0, 8.0, 12.0]
+    rows = stats.with_tails(spark.createDataFrame([(z,) for z in [*zs, -1.0, None]], "z double"), F.col("z")).collect()
+    for r in rows[:-2]:
+        assert r["p"] == pytest.approx(erfc(r["z"] / sqrt(2)), rel=1e-9, abs=1e-14)
+    assert rows[-2]["p"] == 1.0 and rows[-1]["p"] is None
+    df = spark.createDataFrame([(1.0, 1), (2.0, 1), (2.0, None), (None, 0)], "v double, g int")
+    assert tuple(stats.mann_whitney(df, "v", F.col("g") == 1).first())[:2] == (2, 0) and stats.mann_whitney(df, "v", F.col("g") == 1).first()["p"] is None
+    assert tuple(stats.mann_whitney(df.limit(0), "v", F.col("g") == 1).first()) == (0, 0, None, None, None)
+    # Ranks 1, 2.5 against 2.5, 4, by hand.
+    two = spark.createDataFrame([(1.0, 1), (2.0, 1), (2.0, 0), (3.0, 0)], "v double, g int")
+    r = stats.mann_whitney(two, "v", F.col("g") == 1).first()
+    assert (r["u"], r["z"]) == (0.5, round(1.0 / sqrt(4 / 12 * (5 - 6 / 12)), 4)) and abs(r["p"] - erfc((1.0 / sqrt(1.5)) / sqrt(2))) < 1e-6
+    with pytest.raises(ValueError, match="fewer than two values"):
+        ml.logistic(spark.createDataFrame([], "x double, y double"), ["x"], "y")
+
+
+def test_positions(spark):
+    df = spark.createDataFrame([([[0.0], [1.0], [2.0]], m) for m in ("last", "first", "all", "none", "other")] + [([], "last"), (None, "all")], "t array<array<double>>, m string")
+    got = [r[0] for r in df.select(vectors.injected_at(F.col("t"), F.array(F.lit(10.0)), F.lit(0.5), F.col("m"))).collect()]
+    assert got == [[[0.0], [1.0], [7.0]], [[5.0], [1.0], [2.0]], [[5.0], [6.0], [7.0]], [[0.0], [1.0], [2.0]], [[0.0], [1.0], [2.0]], [], None]
+    padded = df.limit(2).select(vectors.injected_at(F.col("t"), F.array(F.lit(10.0)), F.lit(0.5), F.lit("first"), F.lit(1))).collect()
+    assert padded[0][0] == [[0.0], [6.0], [2.0]]
+
+
+def test_files_of_arrays_and_models(spark, tmp_path):
+    import numpy as np
+
+    np.save(tmp_path / "a.npy", np.arange(6).reshape(3, 2))
+    np.save(tmp_path / "b.npy", np.array([1.5, 2.5, 3.5], np.float32))
+    rows = {(r["file"][-5:], r["row"]): r["values"] for r in readers.arrays(spark, str(tmp_path)).collect()}
+    assert rows == {("a.npy", 0): [0, 1], ("a.npy", 1): [2, 3], ("a.npy", 2): [4, 5], ("b.npy", 0): [1.5, 2.5, 3.5]}
+    df = spark.createDataFrame([(float(i % 2), float(i % 7)) for i in range(40)], "y double, x double")
+    sinks.model(ml.logistic(df, ["x"], "y"), str(tmp_path / "model"))
+    assert readers.model(str(tmp_path / "model")).transform(ml.assembled(df, ["x"])).count() == 40
+    new = sinks.move(spark, [str(tmp_path / "a.npy"), str(tmp_path / "none.npy")], str(tmp_path / "results"))
+    assert len(new) == 1 and (tmp_path / "results" / "a.npy").exists() and not (tmp_path / "a.npy").exists()
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        sinks.arrays(df.select(F.array("x").alias("v")), str(tmp_path / "c.npy"), "v", "v", most=1)
+    bars = sinks.plot_table(df, "bar", "x", "y").first()
+    assert (bars["kind"], bars["series"]) == ("bar", "")
+
+
 def test_models(spark):
     df = spark.createDataFrame([(float(i % 2), float(i % 7), i) for i in range(60)], "y double, x double, id int")
     model = ml.logistic(df, ["x"], "y")
