@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,6 +23,9 @@ RULES = (
     ("google", r"AIza[A-Za-z0-9_-]+", 39, 0),
     ("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", 0, 0),
 )
+# What belongs to a match of these kinds behind it, line breaks included. Of a key block: header fields, the
+# body up to its END line; without that line, the lines of 40 or more base64 characters that follow.
+TAILS = {"pem": r"((\r?\n[A-Za-z-]+:\x20[\x20-\x7E]*)*[A-Za-z0-9+/=\\\x20\t\r\n]*-----END\x20([A-Z]+\x20)*PRIVATE\x20KEY-----|(\r?\n[A-Za-z0-9+/=]{40,})*)"}
 BASE = ("assign", "access", "hex")
 
 
@@ -192,6 +196,7 @@ class Scanner:
         if not self.resets[10]:
             raise ValueError("a rule takes line breaks; texts could not be scanned side by side")
         self.own = [Dfa([r[1]], anywhere=False) for r in rules]
+        self.tails = [re.compile(TAILS[r[0]].encode()) if r[0] in TAILS else None for r in rules]
         self.first = [bytes(np.flatnonzero(d.step[0] != d.dead).astype(np.uint8)) for d in self.own]
 
     def ends(self, stream: np.ndarray, about: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +255,10 @@ class Scanner:
         return i + (text[i] in b"\"'" and i + 1 < end)
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
-        """For each text its matches (start, kind's number, end), in code points, by start and kind."""
+        """For each text its matches (start, kind's number, end), in code points, by start and kind.
+
+        The automaton finds the header of a kind in ``TAILS``; the span goes on to the end of its tail.
+        """
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         joined = b"\n".join(texts)
         stream = np.frombuffer(joined, np.uint8)
@@ -269,11 +277,16 @@ class Scanner:
             left = np.searchsorted(resets, at, side="left")
             lo = np.unique(np.append(-1, resets)[left] + 1)
             hi = np.append(resets, len(stream))[np.searchsorted(resets, lo, side="left")]
+            tail, upto = self.tails[k], 0
             for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
                 if stretch := list(self.matches(joined, k, a, z)):
                     doc = int(np.searchsorted(starts, a, side="right")) - 1
                     base = int(starts[doc])
                     for s, e in stretch:
+                        if tail:
+                            if s < upto:
+                                continue
+                            e = upto = tail.match(joined, e, base + len(texts[doc])).end()
                         before = len(joined[base:s].decode())
                         out[doc].append((before, k, before + e - s))  # matches are ASCII
         return [sorted(x) for x in out]
@@ -351,7 +364,7 @@ def _oracle() -> str:
     """Places are the lengths of what is between the matches and of the matches before."""
     parts = []
     for k, (kind, pattern, fewest, value) in enumerate(RULES):
-        quoted = pattern.replace("'", "''")
+        quoted = (pattern + TAILS.get(kind, "")).replace("'", "''")
         ends = "regexp_extract(m[i], '[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)"
         parts.append(
             f"SELECT doc_id, {k} AS k, '{kind}' AS kind, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n FROM "

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from corpuslab.llm.secrets import RULES, Scanner, find_secrets, op10_secret_scan, redact
+from corpuslab.llm.secrets import ORACLE, RULES, TAILS, Scanner, find_secrets, op10_secret_scan, redact
 
 BASE = {
     "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(?i:", "(?ai:")),
@@ -37,6 +37,40 @@ def test_added_kinds():
     assert [kinds[k] for _, k, _ in Scanner().scan([text.encode()])[0]] == ["github", "pem", "slack"]
 
 
+def test_key_blocks(spark):
+    """The whole block goes: header fields, body, END line; without that line the base64 lines; prose stays."""
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/" * 9] * 12 + ["Qx=="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole = f"{head}\n{body}\n{end}"
+    fields = f"{head}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,00FF\r\n\r\n{body}\r\n{end}"
+    escaped = whole.replace("\n", "\\n")
+    cut = f"{head}\n{body}"
+    texts = [f"é {whole} after", f"{fields}\nafter", f"k={escaped};", f"{cut}\nSome words follow here", f"{head} and no more", f"{whole}\n{whole}", f"a {head}", body]
+    want = [[(2, 2 + len(whole))], [(0, len(fields))], [(2, 2 + len(escaped))], [(0, len(cut) - 5)], [(0, len(head))], [(0, len(whole)), (len(whole) + 1, 2 * len(whole) + 1)], [(2, 2 + len(head))], []]
+    pem = [r[0] for r in RULES].index("pem")
+    joined = re.compile(RULES[pem][1] + TAILS["pem"])
+    for t, found, spans in zip(texts, Scanner().scan([t.encode() for t in texts]), want, strict=True):
+        assert [(s, e) for s, k, e in found if k == pem] == spans == [m.span() for m in joined.finditer(t)], t
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in redact(df).orderBy("doc_id").collect()]
+    assert got[:2] == ["é [SECRET] after", "[SECRET]\nafter"] and got[3].endswith("Some words follow here") and got[5] == "[SECRET]\n[SECRET]"
+
+
+def test_key_blocks_against_sql(spark, tmp_path):
+    import duckdb
+
+    head, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    rng = random.Random(5)
+    parts = [head, end, "\n", "\nA: b", "x" * 44, "\n" + "y" * 41, " ", "-", "word", "\r\n", "token=abcdef12", "é"]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) for k in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.sql(f"SELECT doc_id, spans FROM ({ORACLE})").fetchall())
+    got = {r["doc_id"]: r["spans"] for r in op10_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == want and sum("pem" in x for x in got.values()) > 100
+
+
 def test_edges(spark, edge_docs):
     rows = {r["doc_id"]: r for r in find_secrets(edge_docs).collect() if r["doc_id"] is not None}
     assert rows[1]["secrets"] == [] and rows[2]["secrets"] == []
