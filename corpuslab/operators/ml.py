@@ -10,8 +10,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +107,9 @@ def pca(df: DataFrame, vector: str, k: int) -> DataFrame:
 
 
 def singular_values(df: DataFrame, vector: str, k: int) -> DataFrame:
-    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).rdd.map(lambda r: OldVectors.dense(r.v))
-    found = RowMatrix(rows).computeSVD(k).s
+    """(component, value): the ``k`` largest singular values; rows stay in the JVM. Null vectors are left out."""
+    data = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
+    found = RowMatrix(MLUtils.convertVectorColumnsFromML(data, "features")).computeSVD(k).s
     return df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(found, 1)], "component int, value double")
 
 

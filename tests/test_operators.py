@@ -134,6 +134,15 @@ def test_files_of_arrays_and_models(spark, tmp_path):
     assert (bars["kind"], bars["series"]) == ("bar", "")
 
 
+def test_singular_values(spark):
+    import numpy as np
+
+    rows = [[float((i * k) % 7) for k in range(1, 5)] for i in range(20)]
+    df = spark.createDataFrame([(r,) for r in rows] + [(None,)], "v array<float>")
+    got = [r["value"] for r in ml.singular_values(df, "v", 3).collect()]
+    assert got == pytest.approx(np.linalg.svd(np.array(rows), compute_uv=False)[:3].tolist(), rel=1e-6)
+
+
 def test_models(spark):
     df = spark.createDataFrame([(float(i % 2), float(i % 7), i) for i in range(60)], "y double, x double, id int")
     model = ml.logistic(df, ["x"], "y")
