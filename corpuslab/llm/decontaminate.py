@@ -151,23 +151,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """The items that have words, in blocks of bounded size. They are read one by one.
-
-    All blocks together take what the benchmark takes, which is small against any corpus; each automaton is bounded.
-    """
-    blocks: list[list[tuple[str, bytes]]] = []
-    room = 0
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items that have words, in blocks of bounded size, read one by one: the driver holds the block at hand."""
+    block: list[tuple[str, bytes]] = []
+    room = block_words
     for r in items.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("text")).orderBy("id", "text").toLocalIterator():
         n = len((r["text"] or "").encode().translate(FOLD).split())
         if n == 0:
             continue
-        if room < n:
-            blocks.append([])
-            room = max(block_words, n)
-        blocks[-1].append((r["id"], r["text"].encode()))
+        if block and room < n:
+            yield block
+            block, room = [], block_words
+        block.append((r["id"], r["text"].encode()))
         room -= n
-    return blocks
+    yield block
 
 
 _BUILT: list[tuple[list, int, Matcher]] = []
@@ -189,19 +186,25 @@ def contaminated_spans(df: DataFrame, items: DataFrame, window: int = 10, text:
     tables need nothing special, and texts are read whole. Input columns named n_words, hits or items are replaced.
 
     Benchmarks larger than ``block_words`` words are dealt into several automata; the documents are then written once,
-    streamed by each, and the spans of a row put together.
+    streamed by each in turn, and the spans of a row put together; driver and workers hold one or two blocks at a time.
     """
     spark = df.sparkSession
     own = [c for c in df.columns if c not in ("n_words", "hits", "items")]
     kept = df.select(*[f"`{c}`" for c in own])
     blocks = _blocks(items, block_words)
-    if len(blocks) <= 1:
-        return _scan(kept, spark.sparkContext.broadcast(blocks[0] if blocks else []), window, text, own)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _scan(kept, spark.sparkContext.broadcast(block), window, text, own)
     rows = written(kept.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__all"), F.col(f"`{text}`").alias("__text")), "decontaminate")
     thin = None
-    for block in blocks:
-        part = _scan(rows.select("__row", "__text"), spark.sparkContext.broadcast(block), window, "__text", ["__row", "__text"]).drop("__text")
+    while block is not None:
+        held = spark.sparkContext.broadcast(block)
+        part = _scan(rows.select("__row", "__text"), held, window, "__text", ["__row", "__text"]).drop("__text")
+        # The first block's part has every row with its number of words, the others' only rows that are hit.
+        part = written(part if thin is None else part.where(F.size("hits") > 0), "decontaminate-hits")
+        held.destroy()
         thin = part if thin is None else thin.unionByName(part)
+        block, more = more, next(blocks, None)
     spans = F.flatten(F.collect_list("hits"))
     one = thin.groupBy("__row").agg(F.first("n_words").alias("n_words"), F.array_sort(spans).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     first = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
