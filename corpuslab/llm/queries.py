@@ -7,6 +7,8 @@ from .html import op2_extract_main_text
 from .jaccard import ORACLE as OP9_SQL
 from .jaccard import op9_jaccard_join
 from .lm import op3_lm_score
+from .merkle import ORACLE as OP11_SQL
+from .merkle import op11_merkle_manifest
 from .quality import ORACLE as OP6_SQL
 from .quality import op6_quality_rules
 from .secrets import ORACLE as OP10_SQL
@@ -17,5 +19,5 @@ from .substrings import op8_remove_repeats
 from .urls import ORACLE as OP5_SQL
 from .urls import op5_url_filter
 
-QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op2_extract_main_text": op2_extract_main_text, "op3_lm_score": op3_lm_score, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op8_remove_repeats": op8_remove_repeats, "op9_jaccard_join": op9_jaccard_join, "op10_secret_scan": op10_secret_scan}
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_remove_repeats": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_secret_scan": OP10_SQL}
+QUERIES = {"op1_shard_shuffle": op1_shard_shuffle, "op2_extract_main_text": op2_extract_main_text, "op3_lm_score": op3_lm_score, "op4_decontaminate": op4_decontaminate, "op5_url_filter": op5_url_filter, "op6_quality_rules": op6_quality_rules, "op7_bpe_digest": op7_bpe_digest, "op8_remove_repeats": op8_remove_repeats, "op9_jaccard_join": op9_jaccard_join, "op10_secret_scan": op10_secret_scan, "op11_merkle_manifest": op11_merkle_manifest}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_remove_repeats": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_secret_scan": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
