@@ -18,7 +18,7 @@ LEAST, ADDED, UNIT = 10, 2, 1_000_000_000
 #: Terms ranked for each source.
 TOP = 10
 #: Bytes of kept terms in one automaton, counts and occurrences that a task holds before it hands them on.
-BLOCK, HELD, FOUND = 4 << 20, 300_000, 2_000_000
+BLOCK, HELD, FOUND = 16 << 20, 300_000, 2_000_000
 #: Letters stay, A-Z in lower case; other ASCII ends a term; bytes of all other characters stay.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
