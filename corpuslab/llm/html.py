@@ -21,8 +21,6 @@ BLOCK = 64
 SUPPORT = 0.6
 #: A text that so large a share of a block's pages (of three at least) have in the same place is the template's.
 CONSTANT = 0.6
-#: Share of a page's text in the main slot that the article's container holds.
-HELD = 0.7
 #: Share of a slot's characters in links from which it is a menu.
 LINKED = 0.5
 
@@ -254,13 +252,16 @@ def blocks(page: Page, within: list[int], outer: list[int]) -> list[Block]:
 def extract(sources: list[str]) -> list[str]:
     """The main text of each page of a block.
 
-    The template's slots are what lies between the keys of its classes. Lines that most pages have in the same slot are
-    the template's own, and a slot that is mostly links is a menu; neither is the article's, inside an article or a
-    main part as elsewhere. The frame's slot with the most text left, over all pages of the block, is the article's: of a
-    page the lines left in the innermost container around nearly all its text there are taken. Tags and names are hints:
-    they leave asides out beforehand, and where there is no frame (a block of two pages, pages without anything in
-    common) the lines inside article or main parts are taken if they hold most of the text that pages of the same layout
-    have left; if not, as with a teaser, all lines left are.
+    Tags and names are hints: they leave asides out beforehand, and where article or main parts hold most of the text
+    that pages of the same layout have left, all lines in them are the page's text, however many pages its host has.
+    Elsewhere, where the outermost containers of all pages are equal in number, they are the layout's columns. The
+    frame's slot with the most text, over all pages of the block, is the article's, and the column that holds most of a
+    page's text there is taken whole. Without columns or a frame (a block of two pages, pages without anything in
+    common) all lines left are taken.
+
+    What the template shows to be its own goes: lines that most pages (inside an article or main part: all, of three at
+    least) have in the same slot, and slots that are mostly links. Pages that would lose most of an article's text so are
+    near copies of each other and keep it.
 
     Copies, which say nothing of what is a host's, count as one page: pages with the same tags and the same text outside
     containers that are not the article's, whatever their links and asides.
@@ -284,8 +285,8 @@ def _extract(pages: list[Page]) -> list[str]:
     keys = frame(pages)
     lines = [blocks(p, within, slots(p, keys)) for p, within in zip(pages, nested(pages, keys), strict=True)]
     seen = Counter(x for ls in lines for x in {(b.slot, b.text, bool(_tagged(b))) for b in ls})
-    # Inside a tagged part a line that just two of three pages share is still text.
-    constant = {x for x, n in seen.items() if len(pages) >= 3 and n >= max(CONSTANT * len(pages), 3 * x[2])}
+    # Inside a tagged part a line that not all pages share is still text.
+    constant = {x for x, n in seen.items() if len(pages) >= 3 and n >= (1 if x[2] else CONSTANT) * len(pages)}
     chars: Counter[int] = Counter()
     linked: Counter[int] = Counter()
     rows: Counter[int] = Counter()
@@ -297,18 +298,34 @@ def _extract(pages: list[Page]) -> list[str]:
     held = Counter(s for ls in lines for s in {b.slot for b in ls})
     # Inside a tagged part one linked line is a headline; a menu has several, on pages enough to tell.
     lists = {s for s in menus if len(pages) >= 3 and rows[s] >= 2 * held[s]}
-    left = [[b for b in ls if (b.slot, b.text, bool(_tagged(b))) not in constant and b.slot not in (lists if _tagged(b) else menus)] for ls in lines]
-    main = _main_slot(left) if len(pages) >= 3 and keys else None
+    left = []
+    for ls in lines:
+        tagged = [b for b in ls if _tagged(b)]
+        own = {id(b) for b in tagged if (b.slot, b.text, True) in constant}
+        copied = 2 * sum(len(b.text) for b in tagged if id(b) in own) > sum(len(b.text) for b in tagged)
+        foreign = lambda b, own=own, copied=copied: (id(b) in own and not copied) or b.slot in lists if _tagged(b) else (b.slot, b.text, False) in constant or b.slot in menus
+        left.append([b for b in ls if not foreign(b)])
     inside: Counter[tuple] = Counter()
     whole: Counter[tuple] = Counter()
     layouts = [tuple(sorted({x for b in ls if (x := _tagged(b))})) for ls in lines]
     for layout, ls in zip(layouts, left, strict=True):
         inside[layout] += sum(len(b.text) for b in ls if _tagged(b))
         whole[layout] += sum(len(b.text) for b in ls)
+    by_tags = [bool(x) and 2 * inside[x] >= whole[x] for x in layouts]
+    main = _main_slot(left) if len(pages) >= 3 and keys else None
+    columns = [_columns(p) for p in pages]
+    fixed = len({len(c) for c in columns}) == 1
     out = []
-    for x, ls in zip(layouts, left, strict=True):
-        around = _around(ls, main)
-        out.append(_main(ls, 2 * inside[x] >= whole[x]) if around is None else "\n".join(b.text for b in ls if b.chain[: len(around)] == around))
+    for tags, ls, column in zip(by_tags, left, columns, strict=True):
+        there = [b for b in ls if b.outer == main]
+        if tags or not there or not fixed:
+            out.append(_main(ls, tags))
+            continue
+        chars = Counter()
+        for b in there:
+            chars[next((b.chain[:n] for n in range(len(b.chain) + 1) if b.chain[:n] in column), ())] += len(b.text)
+        best = max(chars, key=lambda c: (chars[c], [-x for x in c]))
+        out.append("\n".join(b.text for b in ls if b.chain[: len(best)] == best))
     return out
 
 
@@ -320,21 +337,15 @@ def _main_slot(left: list[list[Block]]) -> int | None:
     return max(chars, key=lambda s: (chars[s], -s), default=None)
 
 
-def _around(left: list[Block], main: int | None) -> tuple[int, ...] | None:
-    """The innermost container that holds nearly all of a page's text in the main slot; none if the page has no text there.
-
-    Where containers have no names to tell them by, what follows the article lies in its slot too, but not in its container.
-    """
-    held: Counter[tuple[int, ...]] = Counter()
-    total = 0
-    for b in left:
-        if b.outer == main:
-            total += len(b.text)
-            for n in range(1, len(b.chain) + 1):
-                held[b.chain[:n]] += len(b.text)
-    if main is None or not total:
-        return None
-    return max((c for c, n in held.items() if n >= HELD * total), key=len, default=())
+def _columns(page: Page) -> set[tuple[int, ...]]:
+    """The outermost containers of a page that stand side by side."""
+    chains = {t.chain for t in page.tokens if t.key == "text" and t.text.strip() and not any(x.split(".")[0] == "head" for x in t.path)}
+    size = 0
+    while True:
+        found = {c[: size + 1] for c in chains}
+        if len(found) > 1 or not found or any(len(c) <= size for c in chains):
+            return {c for c in found if len(c) == size + 1}
+        size += 1
 
 
 def _tagged(line: Block) -> tuple[str, ...]:
