@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,10 +22,20 @@ RULES = (
     ("google", r"AIza[A-Za-z0-9_-]+", 39, 0),
     ("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", 0, 0),
 )
-# What belongs to a match of these kinds behind it, line breaks included. Of a key block: header fields, the
-# body up to its END line; without that line, the lines of 40 or more base64 characters that follow.
-TAILS = {"pem": r"((\r?\n[A-Za-z-]+:\x20[\x20-\x7E]*)*[A-Za-z0-9+/=\\\x20\t\r\n]*-----END\x20([A-Z]+\x20)*PRIVATE\x20KEY-----|(\r?\n[A-Za-z0-9+/=]{40,})*)"}
+# What belongs to a match of these kinds behind it, line breaks included: the first pattern that fits. Of a
+# key block: header fields, the body up to its END line; without that line, the lines of 40 or more base64 characters
+# that follow.
+TAILS = {"pem": (r"(\x0D?\x0A[A-Za-z-]+:\x20[\x20-\x7E]*)*[A-Za-z0-9+/=\x5C\x20\x09\x0D\x0A]*-----END\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", r"(\x0D?\x0A[A-Za-z0-9+/=]{40,})*")}
 BASE = ("assign", "access", "hex")
+#: Pieces of a text that are no longer scanned side by side.
+FEW = 16
+
+
+
+
+def either(kind: str) -> str:
+    """The tail's patterns as one regular expression."""
+    return f"({'|'.join(TAILS[kind])})" if kind in TAILS else ""
 
 
 class _Nfa:
@@ -97,6 +106,15 @@ class _Nfa:
             return a, z
         return x, y
 
+    def _sign(self) -> int:
+        """A character, or the escape \\xhh."""
+        c = self.p[self.i]
+        if c == "\\":
+            self.i += 4
+            return int(self.p[self.i - 2 : self.i], 16)
+        self.i += 1
+        return ord(c)
+
     def _atom(self) -> tuple[int, int]:
         c = self._peek()
         self.i += 1
@@ -105,20 +123,17 @@ class _Nfa:
             self.i += 1
             return found
         if c == "[":
-            end = self.p.index("]", self.i)
-            body, self.i = self.p[self.i : end], end + 1
             members: set[int] = set()
-            while body:
-                if body[1:2] == "-" and len(body) > 2:
-                    members |= {*range(ord(body[0]), ord(body[2]) + 1)}
-                    body = body[3:]
-                else:
-                    members.add(ord(body[0]))
-                    body = body[1:]
-        elif c == "\\":  # only \xhh
-            members, self.i = {int(self.p[self.i + 1 : self.i + 3], 16)}, self.i + 3
+            while self._peek() != "]":
+                low = high = self._sign()
+                if self._peek() == "-" and self.p[self.i + 1] != "]":
+                    self.i += 1
+                    high = self._sign()
+                members |= {*range(low, high + 1)}
+            self.i += 1
         else:
-            members = {ord(c)}
+            self.i -= 1
+            members = {self._sign()}
         a, z = self.state(), self.state()
         self.moves[a].append((frozenset(members), z))
         return a, z
@@ -184,6 +199,34 @@ class Dfa:
         self.dead = int(x[0]) if len(x := np.flatnonzero((self.step == np.arange(n)[:, None]).all(axis=1) & (self.accept == 0))) else -1
 
 
+class Tail:
+    """The end of what belongs to a match behind it: by an automaton for each pattern, the first that fits, as long as it fits."""
+
+    def __init__(self, patterns: tuple[str, ...]) -> None:
+        self.own = [(d.step.tolist(), d.accept.tolist(), d.dead) for d in (Dfa([p], anywhere=False) for p in patterns)]
+
+    def end(self, text: bytes, at: int, limit: int, known: dict[tuple[int, int, int], int]) -> int:
+        """``known`` keeps, for places behind line breaks and states there, the last end from there on (-1: none).
+
+        Scans that meet are the same from there on, so that all of a text's take time in proportion to its length.
+        """
+        for k, (step, accept, dead) in enumerate(self.own):
+            s, i, end, met = 0, at, at if accept[0] else -1, []
+            while i < limit and (s := step[s][text[i]]) != dead:
+                i += 1
+                if accept[s]:
+                    end = i
+                if text[i - 1] == 10:
+                    if (k, i, s) in known:
+                        end = max(end, known[k, i, s])
+                        break
+                    met.append((k, i, s))
+            known |= {x: end if end > x[1] else -1 for x in met}
+            if end >= 0:
+                return end
+        return at
+
+
 class Scanner:
     """All rules in one automaton that may begin anywhere, and each rule's own for the place of its matches."""
 
@@ -191,12 +234,13 @@ class Scanner:
         self.rules = rules
         self.all = Dfa([r[1] for r in rules], anywhere=True)
         self.flat = self.all.step.ravel()
+        self.rows: tuple[list, list] | None = None
         #: Bytes after which the automaton is in its first state, whatever came before.
         self.resets = (self.all.step == 0).all(axis=0)
         if not self.resets[10]:
             raise ValueError("a rule takes line breaks; texts could not be scanned side by side")
         self.own = [Dfa([r[1]], anywhere=False) for r in rules]
-        self.tails = [re.compile(TAILS[r[0]].encode()) if r[0] in TAILS else None for r in rules]
+        self.tails = [Tail(TAILS[r[0]]) if r[0] in TAILS else None for r in rules]
         self.first = [bytes(np.flatnonzero(d.step[0] != d.dead).astype(np.uint8)) for d in self.own]
 
     def ends(self, stream: np.ndarray, about: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -216,6 +260,12 @@ class Scanner:
         active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
         where, what = [], []
         for t, n in enumerate(active.tolist()):
+            if n <= FEW and t >= about:  # a few very long pieces are left: on with them one by one
+                for k in range(n):
+                    for at, of in self._rest(stream, int(begin[k]) + t, int(begin[k] + length[k]), int(state[k])):
+                        where.append(np.array([at], np.int64))
+                        what.append(np.array([of], np.int32))
+                break
             state = self.flat[state[:n] * 256 + stream[begin[:n] + t]]
             hit = np.flatnonzero(self.all.accept[state])
             if len(hit):
@@ -223,6 +273,16 @@ class Scanner:
                 what.append(self.all.accept[state[hit]])
         return (np.concatenate(where), np.concatenate(what)) if where else (np.empty(0, np.int64), np.empty(0, np.int32))
 
+    def _rest(self, stream: np.ndarray, at: int, end: int, state: int) -> Iterator[tuple[int, int]]:
+        """The same for one piece from some place and state on."""
+        if self.rows is None:
+            self.rows = self.all.step.tolist(), self.all.accept.tolist()
+        step, accept = self.rows
+        for i, byte in enumerate(stream[at:end].tobytes(), at):
+            state = step[state][byte]
+            if accept[state]:
+                yield i, accept[state]
+
     def matches(self, text: bytes, rule: int, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         """Leftmost, longest, non-overlapping matches of one rule in text[lo:hi], those that fail its lengths left out."""
         dfa, (_, _, fewest, value) = self.own[rule], self.rules[rule]
@@ -277,7 +337,7 @@ class Scanner:
             left = np.searchsorted(resets, at, side="left")
             lo = np.unique(np.append(-1, resets)[left] + 1)
             hi = np.append(resets, len(stream))[np.searchsorted(resets, lo, side="left")]
-            tail, upto = self.tails[k], 0
+            tail, upto, known = self.tails[k], 0, {}
             for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
                 if stretch := list(self.matches(joined, k, a, z)):
                     doc = int(np.searchsorted(starts, a, side="right")) - 1
@@ -286,7 +346,7 @@ class Scanner:
                         if tail:
                             if s < upto:
                                 continue
-                            e = upto = tail.match(joined, e, base + len(texts[doc])).end()
+                            e = upto = tail.end(joined, e, base + len(texts[doc]), known)
                         before = len(joined[base:s].decode())
                         out[doc].append((before, k, before + e - s))  # matches are ASCII
         return [sorted(x) for x in out]
@@ -364,7 +424,7 @@ def _oracle() -> str:
     """Places are the lengths of what is between the matches and of the matches before."""
     parts = []
     for k, (kind, pattern, fewest, value) in enumerate(RULES):
-        quoted = (pattern + TAILS.get(kind, "")).replace("'", "''")
+        quoted = (pattern + either(kind)).replace("'", "''")
         ends = "regexp_extract(m[i], '[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)"
         parts.append(
             f"SELECT doc_id, {k} AS k, '{kind}' AS kind, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n FROM "

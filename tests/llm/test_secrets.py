@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from corpuslab.llm.secrets import ORACLE, RULES, TAILS, Scanner, find_secrets, op10_secret_scan, redact
+from corpuslab.llm.secrets import ORACLE, RULES, Scanner, either, find_secrets, op10_secret_scan, redact
 
 BASE = {
     "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(?i:", "(?ai:")),
@@ -48,7 +48,7 @@ def test_key_blocks(spark):
     texts = [f"é {whole} after", f"{fields}\nafter", f"k={escaped};", f"{cut}\nSome words follow here", f"{head} and no more", f"{whole}\n{whole}", f"a {head}", body]
     want = [[(2, 2 + len(whole))], [(0, len(fields))], [(2, 2 + len(escaped))], [(0, len(cut) - 5)], [(0, len(head))], [(0, len(whole)), (len(whole) + 1, 2 * len(whole) + 1)], [(2, 2 + len(head))], []]
     pem = [r[0] for r in RULES].index("pem")
-    joined = re.compile(RULES[pem][1] + TAILS["pem"])
+    joined = re.compile(RULES[pem][1] + either("pem"))
     for t, found, spans in zip(texts, Scanner().scan([t.encode() for t in texts]), want, strict=True):
         assert [(s, e) for s, k, e in found if k == pem] == spans == [m.span() for m in joined.finditer(t)], t
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -91,3 +91,26 @@ def test_query(spark):
         line = ",".join(f"{list(BASE)[k]}:{s}:{e}" for s, k, e in want)
         assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in want) for x in range(3))
+
+
+def test_tails_are_linear():
+    """Header lines of 1 MB, without an END line, and thousands of headers that each see the same lines."""
+    import time
+
+    head, field = "-----BEGIN PRIVATE KEY-----", "\nProc-Type: "
+    texts = [head + field + "A" * 1_000_000, head + "A" * 1_000_000, head + "\n" + "A" * 1_000_000 + "-", "-----BEGIN " + "A" * 1_000_000]
+    texts.append("".join(f"{head}{field}" for _ in range(8000)) + "\n!")
+    scanner = Scanner()
+    began = time.perf_counter()
+    found = scanner.scan([t.encode() for t in texts])
+    assert time.perf_counter() - began < 8
+    assert [len(x) for x in found] == [1, 1, 1, 0, 8000]
+    assert found[0][0][2] == len(head) and found[2][0][2] == len(head) + 1_000_001
+    pem = [k for k, r in enumerate(RULES) if r[0] == "pem"][0]
+    joined = re.compile(RULES[pem][1] + either("pem"))
+    rng = random.Random(8)
+    parts = [head, "-----END PRIVATE KEY-----", "\n", "\r\n", field, "A" * 40, "b+/=", " ", "-", "Key: -----END RSA PRIVATE KEY-----", "é"]
+    for _ in range(3000):
+        text = head + "".join(rng.choices(parts, k=rng.randrange(12)))
+        want = [(m.start(), m.end()) for m in joined.finditer(text)]
+        assert [(s, e) for s, k, e in scanner.scan([text.encode()])[0] if k == pem] == want, text
