@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import bound
+from .order import at_ranks, quantiles, running_counts
 
 
 def percent(part: Column, whole: Column, digits: int = 4) -> Column:
@@ -44,22 +45,25 @@ def top_k(df: DataFrame, k: int, by: str, tie: str, *groups: str) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str, *groups: str) -> DataFrame:
-    """n, mean, standard deviation (n - 1), least, quartiles with linear interpolation, most."""
+    """n, mean, standard deviation (n - 1), least, quartiles with linear interpolation, most.
+
+    Quartiles come from counts dealt by ranges (``order.quantiles``), so that no task holds a group's values. Null values
+    are left out: a group without any other has n 0 and nulls. Null groups are a group.
+    """
     v = F.col(value)
-    return df.groupBy(*groups).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).cast("double").alias("min"),
-        *[F.round(F.percentile(v, p), 6).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)], F.max(v).cast("double").alias("max"),
-    )
+    plain = df.groupBy(*groups).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
+    marks = quantiles(df, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, *groups)
+    marks = marks.select(*[F.col(g).alias(f"of_{g}") for g in groups], *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    return plain.join(marks, same, "left").select(*groups, "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def rank_quartiles(df: DataFrame, value: str, *groups: str) -> DataFrame:
-    """Nearest-rank quartiles, sorted[n // 4] and sorted[3n // 4], from counts of equal values: a group's rows are never
-    gathered, only its distinct values are ranked."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("c"))
-    running = Window.partitionBy(*groups).orderBy(value)
-    placed = counts.withColumn("upto", F.sum("c").over(running)).withColumn("n", F.sum("c").over(Window.partitionBy(*groups)))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q / 4), F.col(value)))
-    return placed.groupBy(*groups).agg(F.first("n").alias("n"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    """Nearest-rank quartiles, sorted[n // 4], sorted[n // 2] and sorted[3n // 4], of groups of any size; nulls are left out."""
+    counts = running_counts(df, value, *groups)
+    return at_ranks(counts, value, {f"q{k}": f"{k} * total DIV 4" for k in (1, 2, 3)}, *groups).withColumnRenamed("total", "n")
 
 
 def histogram(df: DataFrame, value: str, bins: Sequence[tuple[int, int | None]], *groups: str) -> DataFrame:

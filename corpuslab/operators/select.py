@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import pair_rows
+
 
 def first_reason(checks: Sequence[tuple[str, Column]]) -> Column:
     """The name of the first check that a row fails (true or null: failed), ``ok`` if none."""
@@ -32,6 +34,11 @@ def order_key(row_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", row_id.cast("string"), F.lit(str(seed))))
 
 
+def hashed_fold(row_id: Column, folds: int, seed: int = 5) -> Column:
+    """A row's fold from 0, by md5 of its id: the same on every run and in any engine."""
+    return (F.conv(F.substring(order_key(row_id, seed), 1, 7), 16, 10).cast("long") % folds).cast("int")
+
+
 def first_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: Column | int, row_id: str, salts: int = 64) -> DataFrame:
     """The first ``n`` rows of each group.
 
@@ -97,11 +104,13 @@ def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def triples(ab: DataFrame, ac: DataFrame, on: str, b: str, c: str) -> DataFrame:
-    """(on, b, c) for all pairs of rows of equal text, without null or blank parts."""
-    joined = ab.join(ac, on)
-    for x in (on, b, c):
-        joined = joined.where(F.col(x).isNotNull() & (F.trim(x) != ""))
-    return joined.select(on, b, c)
+    """(on, b, c) for all pairs of rows of equal text, without null or blank parts.
+
+    A text may be a third of both sides' rows: equal rows meet once, with their number, and their pairs are made by many
+    tasks (``joins.pair_rows``).
+    """
+    some = lambda df, *cols: df.where((F.trim(cols[0]) != "") & (F.trim(cols[1]) != "")).select(*cols)
+    return pair_rows(some(ab, on, b), some(ac, on, c), [on]).select(on, b, c)
 
 
 def grid(*axes: DataFrame) -> DataFrame:

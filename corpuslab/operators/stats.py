@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .joins import spread_join
+from .order import mid_ranks
+
 
 def confusion(df: DataFrame, truth: Column, predicted: Column, *groups: str) -> DataFrame:
     return df.groupBy(*groups).agg(
@@ -38,23 +44,6 @@ def metrics(table: DataFrame) -> DataFrame:
     )
 
 
-def mid_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, c, rank): average ranks of distinct values, from counts.
-
-    Counts are ranked, not rows; a running sum over all distinct values is taken within ranges of values first, and the
-    ranges' sums are added, so that no task sees all of them.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    ranged = counts.repartitionByRange(F.col(value)).withColumn("part", F.spark_partition_id())
-    from ..plans.tables import stored
-
-    ranged = stored(ranged)  # the parts are fixed before their sums are taken
-    inside = Window.partitionBy("part").orderBy(value)
-    sums = ranged.groupBy("part").agg(F.sum("c").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranged.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(sums.select("part", "before")), "part")
-    return placed.select(value, "c", (F.col("before") + F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
-
-
 def tail_formula(x: str) -> str:
     """Both tails of the normal distribution beyond ``x`` >= 0 deviations, as SQL: a series below 3, a continued fraction above."""
     near, far = "1.0", f"{x}"
@@ -95,6 +84,25 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
+def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, n, rho) for every two of ``columns``, a before b: correlation of average ranks.
+
+    All columns are ranked together: one table of (column, value, count), dealt by ranges, one join that takes ranks back
+    to the rows (common values in cells), and one aggregation of all products. Rows with a null in any of the columns
+    are left out, so that all pairs rest on the same rows. A constant column has no rho (null); without rows n is 0.
+    """
+    rows = stored(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna())
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(columns)])).alias("x")
+    long = numbered.select("row", cells).select("row", "x.k", "x.v")
+    ranked = spread_join(long, mid_ranks(long, "v", "k").select("k", "v", "rank"), ["k", "v"])
+    wide = ranked.groupBy("row").agg(*[F.max(F.when(F.col("k") == k, F.col("rank"))).alias(f"r{k}") for k in range(len(columns))])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    one = wide.agg(F.count("*").alias("n"), *[F.try_divide(F.covar_pop(f"r{i}", f"r{j}"), F.stddev_pop(f"r{i}") * F.stddev_pop(f"r{j}")).alias(f"c{i}_{j}") for i, j in pairs])
+    found = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col("n"), F.round(f"c{i}_{j}", 6).alias("rho")) for i, j in pairs])
+    return one.select(F.inline(found))
+
+
 def auc(df: DataFrame, score: str, truth: Column) -> DataFrame:
     """Area under the ROC curve by the rank sum of the positives."""
     found = mann_whitney(df, score, truth)
@@ -118,11 +126,20 @@ def stars(p: Column) -> Column:
 
 
 def exact_p(b: int | None, c: int | None) -> float:
-    """Two-sided exact binomial p of discordant counts; 1 without any."""
+    """Two-sided exact binomial p of discordant counts; 1 without any.
+
+    Probabilities are added downwards from the smaller count until they no longer count: as many as the root of the
+    counts, not as the counts.
+    """
     n, k = (b or 0) + (c or 0), min(b or 0, c or 0)
     if n == 0:
         return 1.0
-    tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1))
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    tail = 0.0
+    while term > tail * 1e-17 and k >= 0:
+        tail += term
+        term *= k / (n - k + 1)
+        k -= 1
     return min(1.0, 2 * tail)
 
 
@@ -136,37 +153,70 @@ def mcnemar(df: DataFrame, truth: Column, first: Column, second: Column) -> Data
     return only.withColumn("p_value", F.round(mcnemar_p("b_only_first", "c_only_second"), 6))
 
 
-def bootstrap_delta(df: DataFrame, row_id: str, truth: Column, first: Column, second: Column, replicates: int, seed: int = 42) -> DataFrame:
-    """(lo, med, hi) of the difference of macro F1 over Poisson bootstrap replicates with hash weights.
+def binomial_quantile(u: float, n: int, p: float) -> int:
+    """The least k whose probability of at most k successes in n draws is u or more.
 
-    Each row makes its weights for all replicates as an array, and rows are summed into the eight cells of truth and
-    two predictions per replicate: what is shuffled is replicates * cells, whatever the number of rows.
+    Probabilities are added from twelve deviations below the mean on, each from the last: a number of steps that grows
+    with the root of n.
+    """
+    if n <= 0 or p <= 0.0:
+        return 0
+    if p >= 1.0:
+        return n
+    around = 12 * math.sqrt(n * p * (1 - p)) + 30
+    low, high = max(0, math.floor(n * p - around)), min(n, math.ceil(n * p + around))
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.concatenate([[math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) + low * math.log(p) + (n - low) * math.log1p(-p)], np.log((n - k) / (k + 1)) + (math.log(p) - math.log1p(-p))])
+    return low + min(int(np.searchsorted(np.cumsum(np.exp(np.cumsum(steps))), u)), high - low)
+
+
+def multinomial_draws(counts: DataFrame, cells: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
+    """(r, cells): for each replicate, how often each cell is drawn in as many draws with replacement as there are rows.
+
+    ``counts`` is one row with a count for each cell. Of the draws that are left, the next cell gets a binomial number,
+    by inversion of a number from the md5 of replicate and cell; so draws are exact, and any engine makes the same. The
+    cost is replicates * cells, whatever the number of rows.
+    """
+    draws = counts.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in cells], F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
+    draws = draws.select("r", *cells, *[uniform(F.col("r"), F.lit(k), F.lit(seed)).alias(f"u{k}") for k in range(len(cells) - 1)])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                sizes = [getattr(row, c) for c in cells]
+                left, mass, drawn = sum(sizes), sum(sizes), []
+                for k, size in enumerate(sizes[:-1]):
+                    drawn.append(binomial_quantile(getattr(row, f"u{k}"), left, size / mass) if mass else 0)
+                    left -= drawn[-1]
+                    mass -= size
+                out.append((row.r, *drawn, left))
+            yield pd.DataFrame(out, columns=["r", *cells])
+
+    return draws.repartition(F.col("r") % 64).mapInPandas(work, f"r int, {', '.join(f'{c} long' for c in cells)}")
+
+
+def bootstrap_delta(df: DataFrame, truth: Column, first: Column, second: Column, replicates: int, seed: int = 42) -> DataFrame:
+    """(lo, med, hi): the difference of macro F1 of the second and the first prediction, over bootstrap replicates.
+
+    Macro F1 rests on the eight counts of truth and two predictions, so replicates are drawn from the counts. Rows with a
+    null in any of the three are left out; without rows all differences are 0.
     """
-    cells = df.select(F.col(row_id).alias("id"), (truth * 4 + first * 2 + second).alias("cell"))
-    draws = cells.select("cell", F.explode(F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("r"), poisson(F.col("id"), r, seed).alias("w")))).alias("x"))
-    sums = draws.where("x.w > 0").groupBy("x.r", "cell").agg(F.sum("x.w").alias("w"))
-    n = {f"w{k}": F.sum(F.when(F.col("cell") == k, F.col("w")).otherwise(0)) for k in range(8)}
-    wide = sums.groupBy("r").agg(*[c.alias(k) for k, c in n.items()])
+    cell = truth * 4 + first * 2 + second
+    cells = [f"w{k}" for k in range(8)]
+    counts = df.agg(*[F.count_if(cell == k).alias(c) for k, c in enumerate(cells)])
+    wide = multinomial_draws(counts, cells, replicates, seed)
     w = lambda t, p, at: sum((F.col(f"w{k}") for k in range(8) if k >> 2 == t and (k >> (1 - at)) & 1 == p), F.lit(0))
     score = lambda at: (f1(w(1, 1, at), w(0, 1, at), w(1, 0, at)) + f1(w(0, 0, at), w(1, 0, at), w(0, 1, at))) / 2
     delta = wide.select((score(1) - score(0)).alias("d"))
     return delta.agg(*[F.round(F.percentile("d", q), 4).alias(k) for k, q in (("lo", 0.025), ("med", 0.5), ("hi", 0.975))])
 
 
-#: Cumulated probabilities of a Poisson number with mean 1.
-POISSON: Sequence[float] = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-
-
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the md5 of the parts, the same in any engine: seven hex digits over 16**7."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 7), 16, 10).cast("long") / float(16**7)
 
 
-def poisson(row_id: Column, replicate: Column, seed: int) -> Column:
-    u = uniform(row_id, replicate, F.lit(seed))
-    return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
-
-
 def simple_regression(df: DataFrame, y: str, x: str) -> DataFrame:
     """(n, slope, intercept, r2) with one regressor."""
     return df.agg(F.regr_count(y, x).alias("n"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))

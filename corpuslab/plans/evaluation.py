@@ -72,20 +72,31 @@ def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.mcnemar(predictions(spark, sf_dir), F.col("y"), F.col("b0"), F.col("e1"))
 
 
-_POIS = " + ".join(f"CAST(u >= {p!r} AS INTEGER)" for p in D.POISSON)
-
-
-def _macro_of(cells: str) -> str:
-    tp, fp, fn, tn = (f"sum(w) FILTER (WHERE y = {y} AND {cells} = {p})" for y, p in ((1, 1), (0, 1), (1, 0), (0, 0)))
-    f = lambda a: f"coalesce(2.0 * coalesce({a}, 0) / nullif(2 * coalesce({a}, 0) + coalesce({fp}, 0) + coalesce({fn}, 0), 0), 0)"
-    return f"({f(tp)} + {f(tn)}) / 2"
-
-
-@query(f"""WITH {PRED}, r AS (SELECT y, b0, e1, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || CAST(r AS VARCHAR) || '|42'), 1, 7)) AS BIGINT) / 268435456.0 AS u, r FROM (SELECT *, unnest(range(1, 2001)) AS r FROM e)),
-w AS (SELECT *, {_POIS} AS w FROM r), dd AS (SELECT r, {_macro_of('e1')} - {_macro_of('b0')} AS d FROM w GROUP BY 1) SELECT round(quantile_cont(d, 0.025), 4) AS lo, round(quantile_cont(d, 0.5), 4) AS med, round(quantile_cont(d, 0.975), 4) AS hi FROM dd""")
+def _draws_sql(replicates: int, seed: int) -> str:
+    """Multinomial draws of the eight cells: b7s has w0 to w7 drawn for each replicate r."""
+    cells = ", ".join(f"count(*) FILTER (WHERE y * 4 + b0 * 2 + e1 = {k}) AS w{k}" for k in range(8))
+    total = " + ".join(f"w{k}" for k in range(8))
+    out = [f"c AS (SELECT {cells} FROM e)", f"b0s AS (SELECT *, {total} AS rest, {total} AS mass FROM c, (SELECT unnest(range(1, {replicates + 1})) AS r))"]
+    for k in range(7):
+        u = f"CAST(('0x' || substr(md5(CAST(r AS VARCHAR) || '|{k}|{seed}'), 1, 7)) AS BIGINT) / 268435456.0"
+        out.append(f"""bg{k} AS (SELECT r, u, k, sum(exp(lgamma(rest + 1) - lgamma(k + 1) - lgamma(rest - k + 1) + k * ln(p) + (rest - k) * ln(1 - p))) OVER (PARTITION BY r ORDER BY k) AS upto
+FROM (SELECT r, rest, CAST(w{k} AS DOUBLE) / mass AS p, {u} AS u, unnest(range(0, rest + 1)) AS k FROM b{k}s WHERE w{k} > 0 AND w{k} < mass))""")
+        out.append(f"bd{k} AS (SELECT r, min(k) AS d FROM bg{k} WHERE upto >= u GROUP BY 1)")
+        out.append(f"b{k + 1}s AS (SELECT * EXCLUDE (d, n, rest, mass) REPLACE (n AS w{k}), rest - n AS rest, mass - w{k} AS mass FROM (SELECT b{k}s.*, d, CASE WHEN w{k} = 0 THEN 0 WHEN w{k} = mass THEN rest ELSE coalesce(d, rest) END AS n FROM b{k}s LEFT JOIN bd{k} USING (r)))")
+    return ",\n".join(out)
+
+
+def _macro_of(at: int) -> str:
+    w = lambda t, p: "(" + " + ".join(f"w{k}" for k in range(8) if k >> 2 == t and (k >> (1 - at)) & 1 == p) + ")"
+    f = lambda a, b, c: f"coalesce(2.0 * {a} / nullif(2 * {a} + {b} + {c}, 0), 0)"
+    return f"({f(w(1, 1), w(0, 1), w(1, 0))} + {f(w(0, 0), w(1, 0), w(0, 1))}) / 2"
+
+
+@query(f"""WITH {PRED}, {_draws_sql(2000, 42)}, bf AS (SELECT * REPLACE (rest AS w7) FROM b7s), dd AS (SELECT {_macro_of(1)} - {_macro_of(0)} AS d FROM bf)
+SELECT round(quantile_cont(d, 0.025), 4) AS lo, round(quantile_cont(d, 0.5), 4) AS med, round(quantile_cont(d, 0.975), 4) AS hi FROM dd""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D18."""
-    return D.bootstrap_delta(predictions(spark, sf_dir), "doc_id", F.col("y"), F.col("b0"), F.col("e1"), 2000)
+    return D.bootstrap_delta(predictions(spark, sf_dir), F.col("y"), F.col("b0"), F.col("e1"), 2000)
 
 
 @query(f"""WITH {PRED}, c AS (SELECT CAST(count(*) FILTER (WHERE e1 = 1 AND lang = 'en') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE e1 = 0 AND lang = 'en') AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE e1 = 1 AND lang <> 'en') AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE e1 = 0 AND lang <> 'en') AS DOUBLE) AS d FROM e),
@@ -118,6 +129,16 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.spearman(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b")), "a", "b")
 
 
+MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey")
+_MID = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{k}" for k, c in enumerate(MEASURES))
+
+
+@query(f"WITH k AS (SELECT {_MID} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{MEASURES[i]}' AS a, '{MEASURES[j]}' AS b, count(*) AS n, round(corr(r{i}, r{j}), 6) AS rho FROM k" for i in range(6) for j in range(i + 1, 6)))
+def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 of all pairs of six columns."""
+    return D.spearman_matrix(table(spark, sf_dir, "lineitem"), MEASURES)
+
+
 @query(f"""WITH {PRED}, x AS (SELECT n AS v, y AS g FROM e), k AS ({_RANKED}) SELECT round((sum(CASE WHEN g = 1 THEN r END) - sum(g) * (sum(g) + 1) / 2.0) / nullif(sum(g) * (count(*) - sum(g)), 0), 6) AS auc FROM k""")
 def auc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7."""

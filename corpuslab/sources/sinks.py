@@ -78,8 +78,9 @@ def plot_table(df: DataFrame, kind: str, x: str, y: str, series: str | None = No
     rows = df.select(F.lit(kind).alias("kind"), name.alias("series"), F.col(x).cast("string").alias("x"), F.col(y).cast("double").alias("y"))
     if kind != "box":
         return rows
-    marks = {"y_low": 0.0, "y_q1": 0.25, "y_mid": 0.5, "y_q3": 0.75, "y_high": 1.0}
-    return rows.groupBy("kind", "series", "x").agg(*[F.percentile("y", q).alias(k) for k, q in marks.items()])
+    from ..operators.order import quantiles
+
+    return quantiles(rows, "y", {"y_low": 0.0, "y_q1": 0.25, "y_mid": 0.5, "y_q3": 0.75, "y_high": 1.0}, "kind", "series", "x").drop("total")
 
 
 def move(spark: SparkSession, paths: Sequence[str], folder: str) -> list[str]:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators import aggregates, generate, guards, ml, select, stats, vectors
+from corpuslab.operators import aggregates, generate, guards, ml, order, select, stats, vectors
 from corpuslab.sources import readers, sinks
 from corpuslab.streaming.resume import run_items, windowed_counts
 
@@ -47,7 +47,7 @@ def test_statistics(spark):
     assert stats.metrics(stats.confusion(df.limit(0), F.col("y"), F.col("p"))).first()["f1"] == 0.0
     known = spark.createDataFrame([(113, 176)], "b int, c int").select(stats.mcnemar_p("b", "c").alias("p")).first()["p"]
     assert abs(known - 2.5e-4) < 2e-5  # a published figure
-    ranks = {r["v"]: r["rank"] for r in stats.mid_ranks(spark.createDataFrame([(5,), (7,), (7,), (9,)], "v int"), "v").collect()}
+    ranks = {r["v"]: r["rank"] for r in order.mid_ranks(spark.createDataFrame([(5,), (7,), (7,), (9,)], "v int"), "v").collect()}
     assert ranks == {5: 1.0, 7: 2.5, 9: 4.0}
 
 

@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from corpuslab.plans import counts, evaluation, gates, models, rows, selection, text
+from corpuslab.plans import analysis, counts, evaluation, gates, models, rows, selection, text
 
 DIR = "/root/testdata/sf0.001"
-PARTS = (text, counts, selection, gates, evaluation, models, rows)
+PARTS = (text, counts, selection, gates, evaluation, models, rows, analysis)
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 ORACLE = {k: s for p in PARTS for k, s in p.ORACLE.items()}
 
