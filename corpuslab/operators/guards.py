@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running_counts
+
 from ..functions.parse import canonical_group
 
 
@@ -69,3 +71,27 @@ def type_rule(kind: Column, rules: Mapping[str, str], default: str) -> Column:
 def by_length(df: DataFrame, text: str) -> DataFrame:
     """Rows of a task from the longest, so that batches hold texts of like length; ids say which is which."""
     return df.withColumn("__l", F.length(text)).sortWithinPartitions(F.desc("__l")).drop("__l")
+
+
+def turn_columns(df: DataFrame, row_id: str, turn: str, value: str, first: Sequence[int]) -> DataFrame:
+    """One row for each conversation: ``turn_k`` for the turns in ``first``, and ``more``, a map of all others by their number.
+
+    Turns that stand there twice give their largest value; a null turn is "null" in the map, a null value empty there. A
+    conversation's turns are summed up before they meet, one value for each turn.
+    """
+    each = df.groupBy(row_id, turn).agg(F.max(value).alias("__v"))
+    other = F.col(turn).isNull() | ~F.col(turn).isin(*first)
+    entry = F.when(other, F.struct(F.coalesce(F.col(turn).cast("string"), F.lit("null")).alias("key"), F.coalesce("__v", F.lit("")).alias("value")))
+    return each.groupBy(row_id).agg(*[F.max(F.when(F.col(turn) == k, F.col("__v"))).alias(f"turn_{k}") for k in first], F.map_from_entries(F.array_compact(F.collect_list(entry))).alias("more"))
+
+
+def length_batches(df: DataFrame, row_id: str, text: str, size: int) -> DataFrame:
+    """``df`` with ``place`` and ``batch``: all rows from the longest text, ids where lengths are equal, ``size`` to a batch.
+
+    Places come from lengths and ids dealt by ranges (``order.running_counts``), so no task sorts all rows; ``place`` brings
+    a batch's results back to its rows. Null texts count as the shortest. Ids are unique; rows with one id share a place.
+    """
+    key = F.struct((-F.coalesce(F.length(text), F.lit(-1))).alias("length"), F.col(row_id).alias("id"))
+    found = running_counts(df.select(key.alias("key")), "key").select(F.col("key.id").alias("__id"), F.col("before").alias("place"))
+    joined = df.join(found, F.col(row_id).eqNullSafe(F.col("__id"))).drop("__id")
+    return joined.withColumn("batch", F.floor(F.col("place") / size))

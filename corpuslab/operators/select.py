@@ -99,6 +99,23 @@ def leaked(train: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
     return evaluation.join(train.select(key).distinct(), key, "left_semi")
 
 
+def contained(df: DataFrame, row_id: str, tokens: str, items: DataFrame, item_id: str, item: str, least: int = 8) -> DataFrame:
+    """(item id, row id): rows that hold all tokens of an item in a row, for items of ``least`` tokens or more.
+
+    Items' first ``least`` tokens find the places: what is joined is their hashes with the row's id and the place, never
+    its tokens; only rows that met an item are read again to compare it whole. Null ids never match; an item that a row
+    holds twice, and repeated rows or items, give one row.
+    """
+    start = lambda t, i: F.xxhash64(F.array_join(F.slice(t, i, F.lit(least)), "\x00"))
+    known = items.where(F.size(item) >= least).select(F.col(item_id).alias("__item"), F.col(item).alias("__tokens"), start(F.col(item), F.lit(1)).alias("__g"))
+    places = F.transform(F.sequence(F.lit(1), F.size(tokens) - (least - 1)), lambda i: F.struct(start(F.col(tokens), i).alias("__g"), i.alias("__at")))
+    windows = df.where(F.size(tokens) >= least).select(F.col(row_id).alias("__row"), F.inline(places))
+    met = windows.join(known.select("__item", "__g"), "__g").select("__row", "__item", "__at")
+    rows = df.select(F.col(row_id).alias("__row"), F.col(tokens).alias("__t")).join(met, "__row")
+    whole = rows.join(known.select("__item", "__tokens"), "__item").where(F.slice("__t", F.col("__at"), F.size("__tokens")) == F.col("__tokens"))
+    return whole.select(F.col("__item").alias(item_id), F.col("__row").alias(row_id)).distinct()
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_anti")
 

@@ -76,7 +76,7 @@ def probe_swap(df: DataFrame, source: str, group: str, plus: str, minus: str, tr
     a, b = (means.where(F.col(group) == g).select(F.col(source).alias("train"), "layer", F.col("mean").alias(n)) for g, n in ((plus, "a"), (minus, "b")))
     probes = a.join(b, ["train", "layer"]).select("train", "layer", F.zip_with("a", "b", lambda x, y: x - y).alias("w"), ((dot(F.col("b"), F.col("b")) - dot(F.col("a"), F.col("a"))) / 2).alias("bias"))
     packed = probes.groupBy("layer").agg(F.collect_list(F.struct("train", "w", "bias")).alias("probes"))
-    points = df.join(packed, "layer").select(F.col(source).alias("eval"), "layer", F.col(truth).alias("y"), "h", F.explode("probes").alias("p"))
+    points = df.join(F.broadcast(packed), "layer").select(F.col(source).alias("eval"), "layer", F.col(truth).alias("y"), "h", F.explode("probes").alias("p"))
     points = points.select(F.col("p.train").alias("train"), "eval", "layer", "y", (F.round(dot(F.col("h"), F.col("p.w")) + F.col("p.bias"), 9) > 0).cast("int").alias("hit"))
     return confusion(points, F.col("y"), F.col("hit"), "train", "eval", "layer").select("train", "eval", "layer", F.round(macro_f1(), 6).alias("macro_f1"))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ml, probes, topics
+from ..functions import parse
+from ..operators import ml, phrases, probes, topics
 from ..operators import vectors as V
 from ..operators.select import hashed_fold
 from .evaluation import _H, group_vectors, hidden
-from .tables import POSTS, docs, posts, stored
+from .tables import DOCS, POSTS, docs, folder, posts, stored, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -100,3 +103,44 @@ def projection_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(hidden(spark, sf_dir).join(F.broadcast(one), "layer").select("layer", F.array(V.dot(F.col("h"), F.col("v"))).alias("h"), "y"))
     found = probes.fit_probes(rows)
     return found.select("layer", F.round(F.get("w", F.lit(0)), 5).alias("weight"), F.round("bias", 5).alias("bias"))
+
+
+# --- lexicons of phrases ------------------------------------------------------------------------------------------
+
+_ITEMS = r"""b0 AS (SELECT item_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: trim(x, '.,!?;:"''()[]{}')), lambda x: x <> '') AS bt FROM benchmark),
+lex AS (SELECT DISTINCT 'c' || (item_id % 3) AS category, array_to_string(bt[i:i + k - 1], ' ') AS term, k FROM (SELECT item_id, bt, k, unnest(range(1, len(bt) - k + 2)) AS i FROM b0, (SELECT unnest([1, 2, 3]) AS k)))"""
+_HITS = f"""WITH {DOCS}, {_ITEMS}, dg AS (SELECT doc_id, i, k, array_to_string(t[i:i + k - 1], ' ') AS term FROM (SELECT doc_id, t, k, unnest(range(1, n - k + 2)) AS i FROM d, (SELECT unnest([1, 2, 3]) AS k))),
+hit AS (SELECT doc_id, category, term, k AS words, i - 1 AS place FROM dg JOIN lex USING (term, k))"""
+
+
+def phrase_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All one to three words in a row of the benchmark's items, in three categories: thousands of terms, from a headerless
+    tab-separated file that they were written to."""
+    from ..sources import readers, sinks
+
+    items = table(spark, sf_dir, "benchmark").select("item_id", parse.tokens(F.col("text")).alias("t"))
+    ends = items.select("item_id", "t", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")).where(F.size("t") >= F.col("k"))
+    grams = ends.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("k") + 1), lambda i: F.array_join(F.slice("t", i, F.col("k")), " "))).alias("term"))
+    path = f"{folder(spark)}/phrases-{uuid.uuid4().hex}"
+    sinks.csv(grams.select(F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), "term").distinct(), path, sep="\t", header=False)
+    return readers.csv(spark, path, "category string, term string", sep="\t", header=False)
+
+
+@query(f"{_HITS} SELECT doc_id, category, count(*) AS hits, count(DISTINCT term) AS n_terms, CAST(min(place) AS INTEGER) AS first_at, CAST(max(words) AS INTEGER) AS longest FROM hit GROUP BY 1, 2")
+def lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of a lexicon of phrases in every document, overlaps included."""
+    found = phrases.phrase_hits(docs(spark, sf_dir), "doc_id", "t", phrase_lexicon(spark, sf_dir))
+    return found.groupBy("doc_id", "category").agg(F.count("*").alias("hits"), F.countDistinct("term").alias("n_terms"), F.min("at").alias("first_at"), F.max("words").alias("longest"))
+
+
+@query(f"""{_HITS}, m AS (SELECT DISTINCT doc_id, category, term FROM hit WHERE words > 1), a AS (SELECT doc_id, string_agg(category || '=' || term, ',' ORDER BY category, term) AS items FROM m GROUP BY 1)
+SELECT doc_id, {', '.join(f"CAST(count(*) FILTER (WHERE category = 'c{k}') > 0 AS INTEGER) AS has_c{k}" for k in range(3))}, CAST(count(DISTINCT category) AS INTEGER) AS n_categories, md5(coalesce(any_value(items), '')) AS items_md5 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN a USING (doc_id) GROUP BY 1""")
+def phrase_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category flags from terms of several words, and the list of all matched items."""
+    lexicon = phrase_lexicon(spark, sf_dir).where(F.col("term").contains(" "))
+    d = docs(spark, sf_dir).select("doc_id", "t")
+    profile = stored(phrases.phrase_profile(phrases.phrase_hits(d, "doc_id", "t", lexicon), "doc_id"))
+    each = profile.select("doc_id", "category", F.transform("terms", lambda x: F.concat("category", F.lit("="), x)).alias("terms"))
+    items = each.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("category", "terms")))["terms"]).alias("items"))
+    flags = phrases.phrase_flags(d.select("doc_id"), profile, "doc_id", ["c0", "c1", "c2"]).join(items, "doc_id", "left")
+    return flags.select("doc_id", "has_c0", "has_c1", "has_c2", "n_categories", F.md5(F.coalesce(F.array_join("items", ","), F.lit(""))).alias("items_md5"))

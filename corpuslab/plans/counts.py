@@ -199,15 +199,6 @@ def emotion_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(*[F.round(F.avg(c), 6).alias(f"mean_{k}") for k, c in n.items()], F.round(F.avg(sum((n[k] for k in NEGATIVE), F.lit(0))), 6).alias("mean_negative"))
 
 
-@query("WITH l(emotion, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, ws in EMOTIONS.items() for w in ws) + f") SELECT word, count(DISTINCT emotion) AS n FROM l WHERE list_contains({sql_list(NEGATIVE)}, emotion) GROUP BY 1 HAVING count(DISTINCT emotion) >= 2")
-def negative_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A27."""
-    from ..sources.readers import negative_words
-
-    lexicon = spark.createDataFrame([(w, k) for k, ws in EMOTIONS.items() for w in ws], "word string, emotion string")
-    return negative_words(lexicon, NEGATIVE)
-
-
 @query(f"WITH {POSTS} SELECT coalesce(label, 'none') AS label, count(*) AS n, round(avg(len(cues)), 6) AS mean_cues, round(avg(n), 6) AS mean_tokens, count(DISTINCT source) AS n_sources FROM p GROUP BY 1")
 def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, A30, A33."""

@@ -330,14 +330,15 @@ def probe_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.probe_swap(h, "source", "grp", "A", "C", "y", SIZE)
 
 
-_U = "CAST(('0x' || substr(md5('r' || CAST(s AS VARCHAR) || '|0|' || CAST(k AS VARCHAR) || '|{0}'), 1, 7)) AS BIGINT) / 268435456.0"
+_U = "CAST(('0x' || substr(md5('r' || CAST(s AS VARCHAR) || '|' || CAST(layer AS VARCHAR) || '|' || CAST(k AS VARCHAR) || '|{0}'), 1, 7)) AS BIGINT) / 268435456.0"
 
 
-@query(f"WITH g AS (SELECT s, k, sqrt(-2 * ln({_U.format('u')} + 1e-7)) * cos(6.283185307179586 * {_U.format('v')}) AS x FROM (SELECT unnest(range(1, 6)) AS s), (SELECT unnest(range(0, 8)) AS k)), l AS (SELECT s, list(x ORDER BY k) AS x FROM g GROUP BY 1) SELECT 'r' || CAST(s AS VARCHAR) AS vector, round(x[1] / (sqrt(list_dot_product(x, x)) + 1e-8), 6) AS first, round(x[8] / (sqrt(list_dot_product(x, x)) + 1e-8), 6) AS last FROM l")
+@query(f"WITH n AS (SELECT DISTINCT label AS s, layer FROM (SELECT label, unnest(range(0, len(embedding) // 8)) AS layer FROM embeddings)), g AS (SELECT s, layer, k, sqrt(-2 * ln({_U.format('u')} + 1e-7)) * cos(6.283185307179586 * {_U.format('v')}) AS x FROM n, (SELECT unnest(range(0, 8)) AS k)), l AS (SELECT s, layer, list(x ORDER BY k) AS x FROM g GROUP BY 1, 2) SELECT 'r' || CAST(s AS VARCHAR) AS vector, CAST(layer AS INTEGER) AS layer, round(x[1] / (sqrt(list_dot_product(x, x)) + 1e-8), 6) AS first, round(x[8] / (sqrt(list_dot_product(x, x)) + 1e-8), 6) AS last FROM l")
 def random_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4."""
-    names = spark.createDataFrame([(f"r{s}", 0) for s in range(1, 6)], "vector string, layer int")
-    return V.random_unit(names, 8).select("vector", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+    """V4: a unit vector for each label and layer of the embeddings."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    names = V.layers(e, "vec_id", "embedding", SIZE).select(F.concat(F.lit("r"), F.col("label").cast("string")).alias("vector"), "layer").distinct()
+    return V.random_unit(names, 8).select("vector", "layer", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
 
 
 _CAT = "CASE WHEN y = 1 AND b0 = 0 AND e1 = 1 THEN 'success_fn_recovery_e1' WHEN y = 1 AND b0 = 0 AND e2 = 1 THEN 'success_fn_recovery_e2_only' WHEN y = 1 AND b0 = 1 AND e1 = 1 THEN 'success_stable_tp' WHEN y = 0 AND b0 = 0 AND e1 = 0 THEN 'success_stable_tn' WHEN y = 1 AND b0 = 0 THEN 'failure_fn_persistent' WHEN y = 0 AND b0 = 0 THEN 'failure_fp_e1' WHEN y = 0 AND b0 = 1 THEN 'failure_fp_b0' WHEN y = 1 THEN 'failure_steering_hurt' ELSE 'other' END"

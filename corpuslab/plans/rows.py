@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, parse
-from ..functions.lexicons import CATEGORIES, EMOTIONS, FRAME_WORDS, GROUPS, INSULTS, REFUSALS, SUFFIXES
+from ..functions.lexicons import CATEGORIES, EMOTIONS, FRAME_WORDS, GROUPS, INSULTS, NEGATIVE, REFUSALS, SUFFIXES
 from ..operators import gates as G
 from ..operators import generate, guards
 from ..sources import readers, sinks
@@ -47,16 +47,31 @@ def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.csv(spark, path, "n_nationkey long, n_name string, n_regionkey long", sep="\t")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{k}')" for k, ws in EMOTIONS.items() for w in ws) + ") AS t(word, emotion)")
-def lexicon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: a headerless table of every word, emotion and 0 or 1."""
+_EMOTION_ROWS = ", ".join(f"('{w}', '{k}')" for k, ws in EMOTIONS.items() for w in ws)
+_VOCABULARY = f"WITH {DOCS}, voc AS (SELECT DISTINCT unnest(t) AS word FROM d), l(word, emotion) AS (VALUES {_EMOTION_ROWS})"
+
+
+def _corpus_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The emotions of all words of the corpus, by a headerless table of each word, emotion and 0 or 1 that is written and read."""
     path = _path(spark, "lexicon")
-    words = sorted({w for ws in EMOTIONS.values() for w in ws})
-    lines = [(f"{w}\t{k}\t{int(w in ws)}",) for w in words for k, ws in EMOTIONS.items()]
-    spark.createDataFrame(lines, "value string").write.text(path)
+    words = docs(spark, sf_dir).select(F.explode("t").alias("word")).distinct()
+    each = F.array(*[F.struct(F.lit(k).alias("emotion"), F.col("word").isin(*ws).cast("int").alias("association")) for k, ws in EMOTIONS.items()])
+    sinks.csv(words.select("word", F.inline(each)), path, sep="\t", header=False)
     return readers.emotion_lexicon(spark, path)
 
 
+@query(f"{_VOCABULARY} SELECT word, emotion FROM voc JOIN l USING (word)")
+def lexicon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: a headerless table of every word of the corpus, emotion and 0 or 1."""
+    return _corpus_lexicon(spark, sf_dir)
+
+
+@query(f"{_VOCABULARY} SELECT word, count(DISTINCT emotion) AS n FROM voc JOIN l USING (word) WHERE list_contains({sql_list(NEGATIVE)}, emotion) GROUP BY 1 HAVING count(DISTINCT emotion) >= 1")
+def negative_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's words with negative emotions, and how many."""
+    return readers.negative_words(_corpus_lexicon(spark, sf_dir), NEGATIVE, 1)
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_custkey % 3 <> 0")
 def arity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with too few fields are left out."""
@@ -69,13 +84,14 @@ def arity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POSTS} SELECT CAST(doc_id AS VARCHAR) AS id, CAST(n AS INTEGER) AS n_tokens, array_to_string(votes, ',') AS votes, CAST(n AS INTEGER) AS n_marks, CAST(len(cues) AS INTEGER) AS n_marked FROM p")
 def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with annotators and rationales as JSON objects keyed by id, a file of its own for each part."""
+    """Posts with annotators and rationales as JSON objects keyed by id, in files of about 500 posts each."""
     path = _path(spark, "posts")
     p = posts(spark, sf_dir)
     marks = F.transform("t", lambda t: t.isin(*INSULTS).cast("int"))
     who = F.transform("votes", lambda v: F.struct(v.cast("string").alias("label"), F.col("targets").alias("target")))
     body = F.struct(F.col("t").alias("post_tokens"), who.alias("annotators"), F.array(marks).alias("rationales"))
-    whole = p.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), body))).alias("m"))
+    files = p.count() // 500 + 1
+    whole = p.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), body))).alias("m"))
     whole.select("part", F.to_json("m").alias("value")).write.partitionBy("part").text(path)
     found = readers.nested_posts(spark, path)
     first = F.get("rationales", F.lit(0))
@@ -134,10 +150,12 @@ def compounds_and_emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(F.array_join(parse.compound_split(F.col("t"), _PARTS), " ")).alias("split_md5"), F.md5(parse.without_emoji(with_emoji)).alias("plain_md5"))
 
 
-@query(f"SELECT DISTINCT category, w || s AS term FROM (VALUES {', '.join(f'''('{k}', '{w}')''' for k, ws in CATEGORIES.items() for w in ws)}) AS l(category, w), (SELECT unnest({sql_list(SUFFIXES)}) AS s)")
+@query(f"WITH {DOCS}, l AS (SELECT DISTINCT lang AS category, unnest(t) AS w FROM d), e AS (SELECT DISTINCT category, w || s AS term FROM l, (SELECT unnest({sql_list(SUFFIXES)}) AS s)) SELECT category, count(*) AS n, CAST(sum(length(term)) AS BIGINT) AS chars, min(term) AS first, max(term) AS last FROM e GROUP BY 1")
 def expanded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every term with its regular endings."""
-    return readers.expanded(spark.createDataFrame([(k, w) for k, ws in CATEGORIES.items() for w in ws], "category string, term string"))
+    """Every word of each language with its regular endings, summed up."""
+    words = docs(spark, sf_dir).select(F.col("lang").alias("category"), F.explode("t").alias("term")).distinct()
+    e = readers.expanded(words)
+    return e.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.length("term")).cast("long").alias("chars"), F.min("term").alias("first"), F.max("term").alias("last"))
 
 
 _LEMMAS = (("was", "be"), ("is", "be"), ("are", "be"), ("des", "de"), ("los", "el"))
@@ -186,10 +204,11 @@ def guarded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.only_known(mapped, "lang", ("en", "de")).select("doc_id", F.col("group").alias("group_name"), guards.names_person(F.col("text")).alias("person"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n, md5(text) AS text_md5 FROM documents")
+@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n, md5(text) AS text_md5, row_number() OVER (ORDER BY coalesce(length(text), -1) DESC, doc_id) - 1 AS place, (row_number() OVER (ORDER BY coalesce(length(text), -1) DESC, doc_id) - 1) // 64 AS batch FROM documents")
 def batches_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows from the longest in each task; ids bring results back to their rows."""
-    return guards.by_length(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+    """Batches of 64 from the longest text on; places bring results back to their rows."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return guards.length_batches(d, "doc_id", "text", 64).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"), "place", "batch")
 
 
 _NEGATIVE = ("not", "nicht", "no", "ne")
@@ -226,18 +245,25 @@ def domain_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "status", F.try_element_at("turns", F.lit("length_diff")).alias("length_diff"), F.try_element_at("turns", F.lit("check")).alias("checked"))
 
 
-@query("SELECT doc_id, CASE WHEN source IS NULL OR source = 'src1' THEN 'SKIP:second_refusal' WHEN lang = 'en' THEN 'SKIP:analyze_failed' ELSE '' END AS flag, CASE WHEN source IS NULL OR source = 'src1' OR lang = 'en' THEN '' ELSE trim(coalesce(lang, '') || ' ' || source) END AS result FROM documents")
+_PLAIN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))".format
+_BOTH = _PLAIN("coalesce(text, '') || ' ' || source")
+_NO = " OR ".join(f"strpos(lower({_BOTH}), '{x.replace(chr(39), chr(39) * 2)}') > 0" for x in REFUSALS)
+
+
+@query(f"SELECT doc_id, CASE WHEN source IS NULL OR source = 'src1' THEN 'SKIP:second_refusal' WHEN lang = 'en' OR strpos(coalesce(text, ''), 'refuse') > 0 OR {_NO} THEN 'SKIP:analyze_failed' ELSE '' END AS flag, CASE WHEN source IS NULL OR source = 'src1' OR lang = 'en' OR strpos(coalesce(text, ''), 'refuse') > 0 OR {_NO} THEN md5('') ELSE md5({_BOTH}) END AS result_md5 FROM documents")
 def pair_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A refused second text, a refused turn, and a last turn that falls back to the one before it."""
+    """L6 over whole texts: a refused second text, a refused turn, and a last turn that falls back to the one before it."""
     d = table(spark, sf_dir, "documents")
-    d = d.select("doc_id", F.when(F.col("lang") == "en", "refuse").otherwise(F.col("lang")).alias("first"), F.when(F.col("source") == "src1", "I cannot do that.").otherwise(F.col("source")).alias("second"))
+    d = d.select("doc_id", F.when(F.col("lang") == "en", "refuse").otherwise(F.col("text")).alias("first"), F.when(F.col("source") == "src1", "I cannot do that.").otherwise(F.col("source")).alias("second"))
     keys = [("analyze", "A {first} {second}"), ("rewrite", "B {first} {second}"), ("check", "refuse {rewrite}")]
-    return generate.pair_chain(d, generate.echo, keys, "first", "second").select("doc_id", "flag", "result")
+    return generate.pair_chain(d, generate.echo, keys, "first", "second").select("doc_id", "flag", F.md5("result").alias("result_md5"))
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '' WHEN lang IS NULL THEN 'english,short' ELSE 'english' END AS failed, CASE WHEN lang = 'en' THEN 1 WHEN lang IS NULL THEN 0 ELSE 3 END AS attempts, lang AS reply FROM documents")
+@query(f"""WITH r AS (SELECT doc_id, CASE WHEN strpos(text, 'refuse') > 0 THEN 'I cannot do that.' ELSE nullif({_PLAIN("text")}, '') END AS reply, text IS NULL AS none FROM documents),
+f AS (SELECT *, reply IS NULL OR length(reply) >= 3000 AS long, reply IS NULL OR strpos(reply, '@') > 0 AS mail FROM r)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN long THEN 'short' END, CASE WHEN mail THEN 'no_mail' END], lambda x: x IS NOT NULL), ',') AS failed, CASE WHEN none THEN 0 WHEN long OR mail THEN 3 ELSE 1 END AS attempts, md5(reply) AS reply_md5 FROM f""")
 def validated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tried again while a check fails, then kept with the check's name."""
-    checks = {"english": lambda text, reply: reply == "en", "short": lambda text, reply: len(reply) < 9}
-    found = generate.validated(table(spark, sf_dir, "documents").select("doc_id", "lang"), generate.echo, "Say {input}", checks, "lang")
-    return found.select("doc_id", F.array_join("failed", ",").alias("failed"), "attempts", "reply")
+    """L7 over whole texts: tried again while a check fails, then kept with the check's name."""
+    checks = {"short": lambda text, reply: len(reply) < 3000, "no_mail": lambda text, reply: "@" not in reply}
+    found = generate.validated(table(spark, sf_dir, "documents").select("doc_id", "text"), generate.echo, "Say {input}", checks, "text")
+    return found.select("doc_id", F.array_join("failed", ",").alias("failed"), "attempts", F.md5("reply").alias("reply_md5"))

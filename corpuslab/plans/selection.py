@@ -134,16 +134,9 @@ def leakage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOCS}, b AS (SELECT item_id, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda x: trim(x, '.,!?;:\"''()[]{{}}')), lambda x: x <> '') AS t FROM benchmark) SELECT item_id, doc_id FROM b, d WHERE len(b.t) >= 8 AND strpos(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(b.t, ' ') || ' ') > 0")
 def leakage_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a whole item of eight words or more: its first eight words find the places, then all are compared.
-
-    Items are few; they are broadcast only while they are.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", parse.tokens(F.col("text")).alias("item")).where(F.size("item") >= 8).withColumn("g", F.array_join(F.slice("item", 1, 8), " "))
-    d = docs(spark, sf_dir).where("n >= 8").select("doc_id", "t", F.explode(F.sequence(F.lit(1), F.col("n") - 7)).alias("i"))
-    windows = d.withColumn("g", F.array_join(F.slice("t", F.col("i"), F.lit(8)), " "))
-    small = items.count() <= 100_000
-    met = windows.join(F.broadcast(items) if small else items, "g")
-    return met.where(F.slice("t", F.col("i"), F.size("item")) == F.col("item")).select("item_id", "doc_id").distinct()
+    """Documents that hold a whole item of eight words or more."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", parse.tokens(F.col("text")).alias("item"))
+    return S.contained(docs(spark, sf_dir).select("doc_id", "t"), "doc_id", "t", items, "item_id", "item", 8)
 
 
 @query("WITH ab AS (SELECT text AS a, lang AS b FROM documents WHERE doc_id % 2 = 0), ac AS (SELECT text AS a, source AS c FROM documents WHERE doc_id % 2 = 1) SELECT md5(a) AS a_md5, b, c FROM ab JOIN ac USING (a) WHERE trim(a) <> '' AND trim(b) <> '' AND trim(c) <> ''")

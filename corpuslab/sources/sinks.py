@@ -16,8 +16,8 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(f"`{n}`").alias(n) if t.startswith(("array", "map", "struct")) else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
-def csv(df: DataFrame, path: str, quote_all: bool = False, sep: str = ",") -> None:
-    flat(df).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').option("sep", sep).csv(path)
+def csv(df: DataFrame, path: str, quote_all: bool = False, sep: str = ",", header: bool = True) -> None:
+    flat(df).write.mode("overwrite").option("header", header).option("quoteAll", quote_all).option("escape", '"').option("sep", sep).csv(path)
 
 
 def one_csv(df: DataFrame, path: str, most: int = 100_000) -> None:
