@@ -35,6 +35,7 @@ NEGATIVE = ("anger", "disgust", "fear", "sadness")
 VALENCE = {"trash": -1.8, "worthless": -1.9, "scum": -2.2, "idiot": -2.3, "moron": -2.2, "pathetic": -2.7, "clown": -0.5, "disgusting": -2.4, "loser": -2.4, "stupid": -2.4, "good": 1.9, "great": 3.1, "nice": 1.8, "best": 3.2}
 NEGATIONS = ("not", "no", "never", "without", "nicht", "ne", "sin")
 BOOSTERS = ("very", "really", "so", "in", "of")
+DAMPENERS = ("slightly", "hardly", "barely", "somewhat", "a", "to")
 
 STOPWORDS = ("the", "of", "and", "to", "a", "in", "is", "that", "for", "it", "was", "on", "with", "by", "as", "be", "at", "from", "this", "are", "le", "la", "les", "de", "et", "der", "die", "das", "und", "el", "los", "que", "y")
 GROUP_MARKERS = ("all", "every", "always", "never", "these", "those", "them", "they", "their", "typical", "most", "majority", "the")

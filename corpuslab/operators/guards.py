@@ -47,6 +47,35 @@ def lemmas(df: DataFrame, row_id: str, tokens: str, table: DataFrame) -> DataFra
     return df.select(row_id).distinct().join(found, row_id, "left").select(row_id, F.coalesce("forms", F.array().cast("array<string>")).alias("forms"))
 
 
+# Endings of inflected forms and what stands in their place in the base form, by part of speech.
+DETACHED = {
+    "n": (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")),
+    "v": (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")),
+    "a": (("er", ""), ("est", ""), ("er", "e"), ("est", "e")),
+}
+
+
+def base_forms(words: DataFrame, vocabulary: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(word, n, v, a): each distinct word's base form as a noun, a verb and an adjective.
+
+    Candidates are the word itself and what the rules make of its ending, or for a word in ``exceptions`` (word, pos,
+    lemma) the word and its lemmas there; those that ``vocabulary`` (word, or word and pos) has are base forms, the
+    shortest is taken, of equally short ones the first in bytes. A word without any stays as it is. Candidates are
+    looked up by one join, a word's few at a time; null words are left out.
+    """
+    by_pos = "pos" in vocabulary.columns
+    each = words.select("word").where(F.col("word").isNotNull()).distinct()
+    rules = [F.when(F.col("word").endswith(old) & (F.length("word") > len(old)), F.struct(F.lit(pos).alias("pos"), F.concat(F.expr(f"substring(word, 1, length(word) - {len(old)})"), F.lit(new)).alias("form"))) for pos, pairs in DETACHED.items() for old, new in pairs]
+    own = [F.struct(F.lit(pos).alias("pos"), F.col("word").alias("form")) for pos in DETACHED]
+    made = each.select("word", F.inline(F.array_compact(F.array(*own, *rules))))
+    if exceptions is not None:
+        known = exceptions.select("word", "pos", "lemma").dropna().distinct()
+        made = made.where(F.col("word") == F.col("form")).unionByName(made.where(F.col("word") != F.col("form")).join(known.select("word", "pos").distinct(), ["word", "pos"], "left_anti")).unionByName(known.select("word", "pos", F.col("lemma").alias("form")).join(each, "word", "left_semi"))
+    there = vocabulary.select(F.col("word").alias("form"), *(["pos"] if by_pos else [])).distinct()
+    found = made.join(there, ["form", "pos"] if by_pos else ["form"], "left_semi").groupBy("word").agg(*[F.min(F.when(F.col("pos") == pos, F.struct(F.length("form").alias("l"), "form"))).alias(pos) for pos in DETACHED])
+    return each.join(found, "word", "left").select("word", *[F.coalesce(F.col(f"{pos}.form"), F.col("word")).alias(pos) for pos in DETACHED])
+
+
 def rationale(rationales: Column) -> tuple[Column, Column]:
     """(coverage, span) of the first rationale that marks anything: share of tokens, and tokens from first to last mark;
     null if none marks."""

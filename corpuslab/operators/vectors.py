@@ -66,6 +66,57 @@ def injected_at(states: Column, v: Column, alpha: Column, mode: Column, first: C
     return F.transform(states, lambda h, i: F.when(hit(i), injected(h, v, alpha)).otherwise(h))
 
 
+def pooled(states: Column, size: int) -> Column:
+    """One vector from the states of a row's tokens: their mean, weighed by place, the last the most. None without tokens.
+
+    A stand-in for what a causal model's last state takes from the tokens before it.
+    """
+    n = F.size(states)
+    total = (n * (n + 1) / 2).cast("double")
+    one = lambda k: F.aggregate(F.transform(states, lambda h, i: F.get(h, k) * (i + 1)), F.lit(0.0), lambda a, b: a + b) / total
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one))
+
+
+#: Settings of an ablation, as a factor of the best strength and the tokens it is added to.
+SETTINGS = (("main", 1.0, "last"), ("zero", 0.0, "last"), ("sign_flip", -1.0, "last"), ("first_token", 1.0, "first"), ("all_tokens", 1.0, "all"))
+
+
+def steered(df: DataFrame, vectors: DataFrame, points: Column, truth: str, states: str, size: int) -> DataFrame:
+    """(vector, point's columns, tp, fp, fn, tn, recovered, missed): every row under every vector's points.
+
+    ``vectors`` has a few rows (vector, v, w, bias, ...), which are broadcast; ``points`` is an array of structs with
+    alpha and mode, made from their columns. Points are tried inside a row, so that only counts are shuffled.
+    """
+    base = (F.round(dot(pooled(F.col(states), size), F.col("w")) + F.col("bias"), 9) > 0).cast("int")
+    rows = df.where(F.size(states) > 0).crossJoin(F.broadcast(vectors)).select("vector", "v", "w", "bias", F.col(truth).alias("y"), F.col(states).alias("s"), base.alias("p0"), F.explode(points).alias("point"))
+    moved = pooled(injected_at(F.col("s"), F.col("v"), F.col("point.alpha"), F.col("point.mode")), size)
+    scored = rows.withColumn("p", (F.round(dot(moved, F.col("w")) + F.col("bias"), 9) > 0).cast("int"))
+    hit = (F.col("y") == 1) & (F.col("p0") == 0)
+    return scored.groupBy("vector", "point").agg(
+        F.count_if((F.col("y") == 1) & (F.col("p") == 1)).alias("tp"), F.count_if((F.col("y") == 0) & (F.col("p") == 1)).alias("fp"), F.count_if((F.col("y") == 1) & (F.col("p") == 0)).alias("fn"), F.count_if((F.col("y") == 0) & (F.col("p") == 0)).alias("tn"),
+        F.count_if(hit & (F.col("p") == 1)).alias("recovered"), F.count_if(hit).alias("missed"),
+    ).select("vector", "point.*", "tp", "fp", "fn", "tn", "recovered", "missed")
+
+
+def ablation(df: DataFrame, vectors: DataFrame, alphas: Sequence[float], truth: str, states: str, size: int) -> DataFrame:
+    """(vector, alpha, setting, macro_f1, d_f1, fn_rec): SETTINGS at each vector's best strength at the last token.
+
+    The best strength is that of ``alphas`` with the most macro F1, the least of equal ones; d_f1 is the gain on strength
+    0, fn_rec the share of positives missed without steering that are found (0 if none was missed). Rows without tokens are
+    left out; a null label counts nowhere.
+    """
+    at = lambda alpha, mode: F.struct(alpha.alias("alpha"), F.lit(mode).alias("mode"))
+    tried = steered(df, vectors, F.array(*[at(F.lit(float(a)), "last") for a in alphas]), truth, states, size).withColumn("f", F.round(macro_f1(), 6))
+    top = best(tried.select("vector", "alpha", "f"), "vector", "f", "alpha").select("vector", F.col("alpha").alias("best"))
+    chosen = vectors.join(F.broadcast(top), "vector")
+    settings = F.array(*[F.struct((F.col("best") * f).alias("alpha"), F.lit(mode).alias("mode"), F.lit(name).alias("setting"), F.col("best").alias("best")) for name, f, mode in SETTINGS])
+    found = steered(df, chosen, settings, truth, states, size)
+    recovery = F.coalesce(F.try_divide(F.col("recovered").cast("double"), F.col("missed")), F.lit(0.0))
+    out = found.select("vector", F.col("best").alias("alpha"), "setting", macro_f1().alias("f"), F.round(recovery, 6).alias("fn_rec"))
+    zero = out.where("setting = 'zero'").select("vector", F.col("f").alias("f0"))
+    return out.join(F.broadcast(zero), "vector").select("vector", "alpha", "setting", F.round("f", 6).alias("macro_f1"), F.round(F.col("f") - F.col("f0"), 6).alias("d_f1"), "fn_rec")
+
+
 def probe_swap(df: DataFrame, source: str, group: str, plus: str, minus: str, truth: str, size: int) -> DataFrame:
     """(train, eval, layer, macro_f1): a probe per layer from each source's rows, on the rows of every source.
 

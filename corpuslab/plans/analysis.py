@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse
-from ..operators import ml, phrases, probes, topics
+from ..functions import parse, sentiment
+from ..functions.lexicons import BOOSTERS, DAMPENERS, NEGATIONS, STRIP, VALENCE
+from ..operators import guards, ml, phrases, probes, topics
 from ..operators import vectors as V
 from ..operators.select import hashed_fold
 from .evaluation import _H, group_vectors, hidden
-from .tables import DOCS, POSTS, docs, folder, posts, stored, table
+from .tables import DOCS, POSTS, docs, folder, posts, sql_list, stored, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -144,3 +145,52 @@ def phrase_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = each.groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("category", "terms")))["terms"]).alias("items"))
     flags = phrases.phrase_flags(d.select("doc_id"), profile, "doc_id", ["c0", "c1", "c2"]).join(items, "doc_id", "left")
     return flags.select("doc_id", "has_c0", "has_c1", "has_c2", "n_categories", F.md5(F.coalesce(F.array_join("items", ","), F.lit(""))).alias("items_md5"))
+
+
+# --- sentiment and base forms -------------------------------------------------------------------------------------
+
+#: The published core's words, and some words that the corpus has.
+VALUES = {**VALENCE, "the": 0.4, "and": 1.1, "that": -0.6, "de": 0.9, "la": -1.3, "der": 1.7, "und": -0.8, "le": 0.5, "que": -0.2}
+_VALUE = lambda x: "CASE " + " ".join(f"WHEN {x} = '{w}' THEN {v}" for w, v in VALUES.items()) + " ELSE 0.0 END"
+
+
+def _step(k: int) -> str:
+    """A valence after the word ``k`` before it."""
+    at = f"t[i - {k}]"
+    weight = f"(CASE WHEN {at} IN {tuple(BOOSTERS)} THEN {sentiment.BOOST} WHEN {at} IN {tuple(DAMPENERS)} THEN -{sentiment.BOOST} END)"
+    grown = f"(v{k - 1} + coalesce(sign(v{k - 1}) * ({weight} + CASE WHEN mixed AND caps[i - {k}] THEN {sentiment.CAPITALS} ELSE 0 END) * {sentiment.DAMPED[k - 1]}, 0))"
+    return f"CASE WHEN i <= {k} OR CAST({_VALUE(at)} AS DOUBLE) <> 0 THEN v{k - 1} WHEN {at} IN {tuple(NEGATIONS)} THEN {grown} * {sentiment.NEGATED} ELSE {grown} END AS v{k}"
+
+
+@query(f"""WITH s0 AS (SELECT doc_id, coalesce(text, '') AS x, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\\s+'), lambda y: trim(y, '{STRIP.replace("'", "''")}')), lambda y: y <> '') AS w FROM documents),
+s1 AS (SELECT *, list_transform(w, lambda y: lower(y)) AS t, list_transform(w, lambda y: y = upper(y) AND y <> lower(y)) AS caps FROM s0),
+s2 AS (SELECT *, len(list_filter(caps, lambda y: y)) AS n_caps, coalesce(list_position(t, 'but'), 0) AS but FROM s1), s3 AS (SELECT *, n_caps > 0 AND n_caps < len(w) AS mixed FROM s2),
+r AS (SELECT * FROM (SELECT doc_id, t, caps, mixed, but, i, CAST({_VALUE("t[i]")} AS DOUBLE) AS v FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM s3)) WHERE v <> 0),
+r0 AS (SELECT *, CASE WHEN mixed AND caps[i] THEN v + sign(v) * {sentiment.CAPITALS} ELSE v END AS v0 FROM r), r1 AS (SELECT *, {_step(1)} FROM r0), r2 AS (SELECT *, {_step(2)} FROM r1), r3 AS (SELECT *, {_step(3)} FROM r2),
+f AS (SELECT doc_id, CASE WHEN but = 0 THEN v3 WHEN i < but THEN v3 * {sentiment.BEFORE_BUT} ELSE v3 * {sentiment.BEHIND_BUT} END AS v FROM r3),
+a AS (SELECT doc_id, sum(v) AS total, coalesce(sum(v + 1) FILTER (WHERE v > 0), 0) AS pos, coalesce(sum(1 - v) FILTER (WHERE v < 0), 0) AS neg, count(*) AS n FROM f GROUP BY 1),
+m AS (SELECT s3.doc_id, len(w) AS words, least(length(x) - length(replace(x, '!', '')), {sentiment.MOST_EXCLAIMED}) * {sentiment.EXCLAIMED} + CASE WHEN q < 2 THEN 0 WHEN q <= 3 THEN q * {sentiment.ASKED} ELSE {sentiment.MANY_ASKED} END AS more,
+coalesce(total, 0) AS total, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, len(w) - coalesce(n, 0) AS neutral FROM (SELECT *, length(x) - length(replace(x, '?', '')) AS q FROM s3) s3 LEFT JOIN a USING (doc_id)),
+g AS (SELECT doc_id, words, total + sign(total) * more AS whole, pos + CASE WHEN pos > neg THEN more ELSE 0 END AS pos, neg + CASE WHEN neg > pos THEN more ELSE 0 END AS neg, neutral FROM m)
+SELECT doc_id, round(coalesce(neg / nullif(pos + neg + neutral, 0), 0), 6) AS neg, round(coalesce(neutral / nullif(pos + neg + neutral, 0), 0), 6) AS neu, round(coalesce(pos / nullif(pos + neg + neutral, 0), 0), 6) AS pos, round(CASE WHEN words = 0 THEN 0 ELSE whole / sqrt(whole * whole + 15) END, 6) AS compound FROM g""")
+def sentiment_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of negative, neutral and positive words and the compound score, with valences from a file."""
+    from ..sources import readers
+
+    path = f"{folder(spark)}/valences-{uuid.uuid4().hex}"
+    spark.createDataFrame([(f"{w}\t{v}",) for w, v in VALUES.items()], "value string").write.text(path)
+    found = table(spark, sf_dir, "documents").select("doc_id", sentiment.shares(F.col("text"), readers.valences(spark, path)).alias("s"))
+    return found.select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("neg", "neu", "pos", "compound")])
+
+
+_RULES = ", ".join(f"('{pos}', '{old}', '{new}')" for pos, pairs in guards.DETACHED.items() for old, new in pairs)
+
+
+@query(f"""WITH {DOCS}, tok AS (SELECT doc_id, lang, unnest(t) AS word FROM d), w AS (SELECT DISTINCT word FROM tok), voc AS (SELECT word FROM tok GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3), rule(pos, old, new) AS (VALUES {_RULES}),
+c AS (SELECT word, pos, word AS form FROM w, (SELECT unnest(['n', 'v', 'a']) AS pos) UNION SELECT word, pos, substr(word, 1, length(word) - length(old)) || new FROM w JOIN rule ON ends_with(word, old) AND length(word) > length(old)),
+b AS (SELECT c.word, pos, form, row_number() OVER (PARTITION BY c.word, pos ORDER BY length(form), form) AS i FROM c WHERE form IN (SELECT word FROM voc))
+SELECT w.word, {", ".join(f"coalesce(max(CASE WHEN pos = '{p}' THEN form END), w.word) AS {p}" for p in "nva")} FROM w LEFT JOIN b ON b.word = w.word AND i = 1 GROUP BY 1""")
+def lemma_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's base form as noun, verb and adjective, by rules and a vocabulary: words of three documents or more."""
+    words = stored(docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct("t")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    return guards.base_forms(words, words.where("df >= 3"))

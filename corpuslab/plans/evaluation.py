@@ -270,18 +270,34 @@ def fine_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(left, ["vector", "layer", "alpha"], "left").select("vector", "layer", (F.col("alpha") + 0.0).alias("alpha"), F.coalesce("done", F.lit(True)).alias("done"))
 
 
-SETTINGS = (("none", 0.0), ("minus", -1.0), ("plus", 1.0), ("double", 2.0), ("quadruple", 4.0))
+STRENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0)
+_SHARE = "CASE mode WHEN 'last' THEN 8.0 / 36 WHEN 'first' THEN 1.0 / 36 ELSE 1.0 END"
+_POOLED = ", ".join("(" + " + ".join(f"{i + 1} * CAST(embedding[{8 * i + k}] AS DOUBLE)" for i in range(8)) + ") / 36" for k in range(1, 9))
 
 
-@query(f"WITH {_SWEEP}, {_BEST}, t(setting, alpha) AS (VALUES {', '.join(f'''('{k}', CAST({a} AS DOUBLE))''' for k, a in SETTINGS)}), o AS (SELECT sw.* FROM sw JOIN b USING (vector, layer)) SELECT o.vector, o.layer, setting, o.macro_f1, round(o.macro_f1 - z.macro_f1, 6) AS d_f1 FROM o JOIN t USING (alpha) JOIN o z ON o.vector = z.vector AND z.alpha = 0")
+def _mean(x: str) -> str:
+    return "[" + ", ".join(f"avg({x}[{k}])" for k in range(1, 9)) + "]"
+
+
+@query(f"""WITH q AS (SELECT {_EMB} AS grp, CAST(label < 4 AS INTEGER) AS y, [{_POOLED}] AS p FROM embeddings), m AS (SELECT grp, {_mean("p")} AS m FROM q GROUP BY 1),
+d AS (SELECT 'v_A' || b.grp AS vector, [{', '.join(f'a.m[{k}] - b.m[{k}]' for k in range(1, 9))}] AS d FROM m a JOIN m b ON a.grp = 'A' AND b.grp <> 'A'), v AS (SELECT vector, list_transform(d, lambda x: x / (sqrt(list_dot_product(d, d)) + 1e-8)) AS v FROM d),
+pr AS (SELECT [{', '.join(f'a.m[{k}] - b.m[{k}]' for k in range(1, 9))}] AS w, (list_dot_product(b.m, b.m) - list_dot_product(a.m, a.m)) / 2 AS bias FROM m a JOIN m b ON a.grp = 'A' AND b.grp = 'C'),
+s AS (SELECT vector, y, list_dot_product(p, w) + bias AS base, list_dot_product(v, w) AS tilt FROM q, v, pr),
+t AS (SELECT vector, alpha, y, CAST(round(base + alpha * 8.0 / 36 * tilt, 9) > 0 AS INTEGER) AS p FROM s, (SELECT CAST(unnest([{', '.join(map(str, STRENGTHS))}]) AS DOUBLE) AS alpha)), tc AS (SELECT vector, alpha, {_counts_sql('p')} FROM t GROUP BY 1, 2),
+b AS (SELECT vector, alpha FROM (SELECT vector, alpha, row_number() OVER (PARTITION BY vector ORDER BY round(({_F1} + {_F0}) / 2, 6) DESC, alpha) AS i FROM tc) WHERE i = 1),
+st(setting, factor, mode) AS (VALUES {', '.join(str(x) for x in V.SETTINGS)}), x AS (SELECT vector, b.alpha, setting, y, CAST(round(base, 9) > 0 AS INTEGER) AS p0, CAST(round(base + b.alpha * factor * {_SHARE} * tilt, 9) > 0 AS INTEGER) AS p FROM s JOIN b USING (vector), st),
+c AS (SELECT vector, alpha, setting, {_counts_sql('p')}, coalesce(avg(p) FILTER (WHERE y = 1 AND p0 = 0), 0) AS rec FROM x GROUP BY 1, 2, 3), f AS (SELECT *, ({_F1} + {_F0}) / 2 AS f FROM c)
+SELECT f.vector, f.alpha, f.setting, round(f.f, 6) AS macro_f1, round(f.f - z.f, 6) AS d_f1, round(f.rec, 6) AS fn_rec FROM f JOIN f z ON f.vector = z.vector AND z.setting = 'zero'""")
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strength 0 is the base itself."""
-    s = stored(swept(spark, sf_dir))
-    at = V.best(s, "vector", "macro_f1", "layer", "alpha").select("vector", "layer")
-    settings = spark.createDataFrame(list(SETTINGS), "setting string, alpha double")
-    o = s.join(at, ["vector", "layer"])
-    zero = o.where("alpha = 0").select("vector", F.col("macro_f1").alias("f0"))
-    return o.join(F.broadcast(settings), "alpha").join(zero, "vector").select("vector", "layer", "setting", "macro_f1", F.round(F.col("macro_f1") - F.col("f0"), 6).alias("d_f1"))
+    """Last token, strength 0, sign turned, first and all tokens at each vector's best strength; a vector's eight slices
+    stand in for the states of eight tokens, of which the last weigh the most."""
+    e = table(spark, sf_dir, "embeddings")
+    slices = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice("embedding", k * SIZE + 1, F.lit(SIZE)), lambda x: x.cast("double")))
+    rows = stored(e.select(F.when(F.col("label") < 4, "A").when(F.col("label") < 7, "B").otherwise("C").alias("grp"), (F.col("label") < 4).cast("int").alias("y"), slices.alias("states")))
+    means = stored(V.group_means(rows.select(F.lit(0).alias("layer"), "grp", V.pooled(F.col("states"), SIZE).alias("h")), "grp", SIZE))
+    vectors = V.mean_difference(means, "grp", "A", "B", "v_AB").unionByName(V.mean_difference(means, "grp", "A", "C", "v_AC"))
+    ready = vectors.join(V.centroid_probe(means, "grp", "A", "C"), "layer").drop("layer")
+    return V.ablation(rows, ready, STRENGTHS, "y", "states", SIZE)
 
 
 @query(f"WITH {_H} SELECT CAST(row_number() OVER (ORDER BY vector, layer) - 1 AS BIGINT) AS row, array_to_string(list_transform(v, lambda x: CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR)), ',') AS v FROM v")

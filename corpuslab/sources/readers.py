@@ -41,6 +41,14 @@ def emotion_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("association = 1").select(F.lower("word").alias("word"), "emotion")
 
 
+def valences(spark: SparkSession, path: str, most: int = 500_000) -> dict[str, float]:
+    """Words and valences of a headerless table whose first two fields they are; more than ``most`` words are an error."""
+    rows = pairs_with_arity(spark, path, ["word", "valence"], 2).select(F.lower("word").alias("word"), F.col("valence").try_cast("double").alias("v")).where("v IS NOT NULL AND word <> ''").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} words with valences")
+    return {r["word"]: r["v"] for r in rows}
+
+
 def negative_words(lexicon: DataFrame, negative: Sequence[str], least: int = 2) -> DataFrame:
     """Words with ``least`` negative emotions or more."""
     return lexicon.where(F.col("emotion").isin(*negative)).groupBy("word").agg(F.countDistinct("emotion").alias("n")).where(F.col("n") >= least)
