@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, sentiment
 from ..functions.lexicons import BOOSTERS, DAMPENERS, NEGATIONS, STRIP, VALENCE
-from ..operators import guards, ml, phrases, probes, topics
+from ..operators import alignment, guards, ml, phrases, probes, topics
 from ..operators import vectors as V
 from ..operators.select import hashed_fold
 from .evaluation import _H, group_vectors, hidden
@@ -194,3 +194,35 @@ def lemma_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word's base form as noun, verb and adjective, by rules and a vocabulary: words of three documents or more."""
     words = stored(docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct("t")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
     return guards.base_forms(words, words.where("df >= 3"))
+
+
+# --- similarity by alignment --------------------------------------------------------------------------------------
+
+
+def next_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, a, b): a document's tokens and those of the one with the next id."""
+    d = docs(spark, sf_dir).select("doc_id", F.col("t").alias("a"))
+    return stored(d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id"))
+
+
+@query(f"""WITH {DOCS}, nd AS (SELECT count(*) AS n FROM d), idf AS (SELECT word, ln((n + 1) / (df + 1)) AS idf FROM (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS word FROM d) GROUP BY 1), nd),
+pr AS (SELECT a.doc_id, a.t AS a, b.t AS b FROM d a JOIN d b ON b.doc_id = a.doc_id + 1), w AS (SELECT doc_id, 0 AS side, unnest(a) AS word FROM pr UNION ALL SELECT doc_id, 1, unnest(b) FROM pr),
+c AS (SELECT doc_id, side, word, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT doc_id, side, n * idf AS mass, count(*) OVER (PARTITION BY doc_id, word) = 2 AS met FROM c JOIN idf USING (word)),
+s AS (SELECT doc_id, side, CASE WHEN sum(mass) > 0 THEN coalesce(sum(mass) FILTER (WHERE met), 0) / sum(mass) ELSE avg(CAST(met AS INTEGER)) END AS share FROM m GROUP BY 1, 2),
+x AS (SELECT pr.doc_id, len(a) = 0 AND len(b) = 0 AS none, len(a) > 0 AND len(b) > 0 AS ready, r.share AS recall, p.share AS precision FROM pr LEFT JOIN s r ON r.doc_id = pr.doc_id AND r.side = 0 LEFT JOIN s p ON p.doc_id = pr.doc_id AND p.side = 1),
+y AS (SELECT doc_id, CASE WHEN none THEN 1.0 WHEN ready THEN precision ELSE 0.0 END AS precision, CASE WHEN none THEN 1.0 WHEN ready THEN recall ELSE 0.0 END AS recall FROM x)
+SELECT doc_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f FROM y""")
+def gate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12 where no word has a vector: equal words only, weighed by idf."""
+    none = spark.createDataFrame([], "word string, x array<double>")
+    found = alignment.alignment(next_pairs(spark, sf_dir), "doc_id", "a", "b", none, alignment.idf(docs(spark, sf_dir), "t"))
+    return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
+@query(None)
+def gate_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of neighbours by aligned words, with vectors from the corpus's co-occurrences; too like, too unlike."""
+    d = docs(spark, sf_dir)
+    vectors = stored(alignment.word_vectors(d, "t"))
+    found = alignment.alignment(next_pairs(spark, sf_dir), "doc_id", "a", "b", vectors, alignment.idf(d, "t"))
+    return found.select("doc_id", F.round("f", 6).alias("similarity"), (F.col("f") > 0.92).alias("too_similar"), (F.col("f") < 0.7).alias("too_different"))
