@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, sentiment
 from ..functions.lexicons import BOOSTERS, DAMPENERS, NEGATIONS, STRIP, VALENCE
-from ..operators import alignment, guards, ml, phrases, probes, topics
+from ..operators import alignment, guards, ml, phrases, probes, tagger, topics
 from ..operators import vectors as V
 from ..operators.select import hashed_fold
 from .evaluation import _H, group_vectors, hidden
@@ -226,3 +226,19 @@ def gate_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = stored(alignment.word_vectors(d, "t"))
     found = alignment.alignment(next_pairs(spark, sf_dir), "doc_id", "a", "b", vectors, alignment.idf(d, "t"))
     return found.select("doc_id", F.round("f", 6).alias("similarity"), (F.col("f") > 0.92).alias("too_similar"), (F.col("f") < 0.7).alias("too_different"))
+
+
+@query(None)
+def name_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tagger counted from four fifths of the documents, and its precision and recall on the others.
+
+    No table has names marked; a capitalised word behind one in small letters, and the next if it is too, stand in for labels.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "").alias("tokens"), hashed_fold(F.col("doc_id"), 5).alias("fold"))
+    low, cap = (lambda w: F.coalesce(w.rlike(r"^\p{Ll}+$"), F.lit(False))), (lambda w: F.coalesce(w.rlike(r"^\p{Lu}\p{Ll}+$"), F.lit(False)))
+    at = lambda i: F.get("tokens", i)
+    first = lambda i: low(at(i - 1)) & cap(at(i))
+    truth = F.transform("tokens", lambda w, i: F.when((i > 0) & first(i), "B").when((i > 1) & first(i - 1) & cap(w), "I").otherwise("O"))
+    rows = stored(d.withColumn("truth", truth))
+    model = tagger.fit(rows.where("fold > 0"), "tokens", "truth")
+    return tagger.scores(tagger.tagged(rows.where("fold = 0"), "tokens", model), "truth", "tags", "lang")
