@@ -18,12 +18,13 @@ MOST, LEAST = 50_000, 5
 
 
 def shape(word: Column, before: Column) -> Column:
-    """What a word looks like, and whether it stands first or behind the end of a sentence (``before`` is null or ends one)."""
+    """What a word looks like, and where it stands: first or behind the end of a sentence ("^"), behind another sign that is
+    no letter (","), or behind a word in small letters ("_") or another."""
     kind = (
         F.when(word.rlike(r"^\p{Lu}\p{Ll}+$"), "Xx").when(word.rlike(r"^\p{Lu}[\p{Ll}\p{Lu}]*\P{L}+$"), "Xx.").when(word.rlike(r"^\p{Lu}+$"), "XX").when(word.rlike(r"^\p{Ll}+$"), "xx")
         .when(word.rlike(r"^\p{Ll}+\P{L}+$"), "xx.").when(word.rlike(r"\p{N}"), "9").otherwise("?")
     )
-    return F.concat(kind, F.when(before.isNull() | before.rlike(r"[.!?:]$"), "^").otherwise(""))
+    return F.concat(kind, F.when(before.isNull() | before.rlike(r"[.!?:]$"), "^").when(before.rlike(r"\P{L}$"), ",").when(before.rlike(r"^\p{Ll}"), "_").otherwise(""))
 
 
 def observed(tokens: Column) -> Column:

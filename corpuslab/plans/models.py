@@ -1,4 +1,4 @@
-"""Queries over models: checked for their rows, as fits have no SQL."""
+"""Queries over models; most fits have no SQL and are checked for their rows."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..functions.lexicons import CATEGORIES
+from ..functions.lexicons import CATEGORIES, REFUSALS
 from ..functions.stem import stems
 from ..operators import generate, ml
-from .tables import docs, posts, table
+from .tables import POSTS, docs, posts, table
 
 FEATURES = [*CATEGORIES, "len100"]
 
@@ -69,5 +69,25 @@ def generated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "status", "attempts", F.length("reply").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (logreg_coefficients, logreg_cross_validation, ols_coefficients, kmeans_elbow, kmeans_nearest, pca2, svd50, stem_counts, generated_turns)}
-ORACLE: dict[str, str] = {}
+def ols_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 with three regressors: coefficients and R²."""
+    p = posts(spark, sf_dir).select(F.col("toxic").cast("double").alias("toxic"), (F.col("n") / 100.0).alias("len100"), F.size("cues").cast("double").alias("cues"), (F.length("text") - F.length(F.translate("text", "\n", ""))).cast("double").alias("lines"))
+    found = ml.ols(p, ["len100", "cues", "lines"], "toxic")
+    return found.select("feature", F.round("coefficient", 6).alias("coefficient"), F.round("r2", 6).alias("r2"))
+
+
+#: Each regressor's part that those before it do not tell (r2, r3) gives its coefficient; the rest follows backwards.
+_OLS = f"""WITH {POSTS}, x AS (SELECT CAST(toxic AS DOUBLE) AS y, n / 100.0 AS x1, CAST(len(cues) AS DOUBLE) AS x2, CAST(length(text) - length(replace(text, chr(10), '')) AS DOUBLE) AS x3 FROM p),
+a AS (SELECT regr_slope(x2, x1) AS s, regr_intercept(x2, x1) AS i FROM x), e2 AS (SELECT x.*, x2 - s * x1 - i AS r2 FROM x, a), b AS (SELECT regr_slope(x3, r2) AS t FROM e2), h AS (SELECT regr_slope(x3 - t * x2, x1) AS s, regr_intercept(x3 - t * x2, x1) AS i, any_value(t) AS t FROM e2, b),
+e3 AS (SELECT e2.*, x3 - t * x2 - s * x1 - i AS r3 FROM e2, h), c3 AS (SELECT regr_slope(y, r3) AS b3 FROM e3), c2 AS (SELECT regr_slope(y - b3 * x3, r2) AS b2, any_value(b3) AS b3 FROM e3, c3),
+c1 AS (SELECT regr_slope(y - b3 * x3 - b2 * x2, x1) AS b1, regr_intercept(y - b3 * x3 - b2 * x2, x1) AS b0, any_value(b2) AS b2, any_value(b3) AS b3 FROM e3, c2),
+q AS (SELECT 1 - sum(pow(y - b0 - b1 * x1 - b2 * x2 - b3 * x3, 2)) / (var_pop(y) * count(*)) AS r2 FROM x, c1)
+SELECT unnest(['len100', 'cues', 'lines', 'intercept']) AS feature, round(unnest([b1, b2, b3, b0]), 6) AS coefficient, round(r2, 6) AS r2 FROM c1, q"""
+_SAID = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_REFUSED = " OR ".join(f"strpos(lower(reply), '{x.replace(chr(39), chr(39) * 2)}') > 0" for x in REFUSALS)
+_TURNS = f"""WITH c AS (SELECT conv_id, turn, coalesce({_SAID}, '') AS said, CASE WHEN strpos(text, 'refuse') > 0 THEN 'I cannot do that.' ELSE coalesce({_SAID}, '') END AS reply FROM conversations),
+s AS (SELECT *, CASE WHEN said = '' THEN 'skipped' WHEN {_REFUSED} THEN 'refused' ELSE 'ok' END AS status FROM c)
+SELECT conv_id, turn, status, CAST(CASE status WHEN 'skipped' THEN 0 WHEN 'refused' THEN 1 ELSE 2 END AS INTEGER) AS attempts, CAST(length(CASE status WHEN 'skipped' THEN '' ELSE reply END) AS INTEGER) AS n_chars FROM s"""
+
+QUERIES = {f.__name__: f for f in (logreg_coefficients, logreg_cross_validation, ols_coefficients, kmeans_elbow, kmeans_nearest, pca2, svd50, stem_counts, generated_turns, ols_estimates)}
+ORACLE: dict[str, str] = {"ols_estimates": _OLS, "generated_turns": _TURNS}
