@@ -16,29 +16,30 @@ def percent(part: Column, whole: Column, digits: int = 4) -> Column:
 
 
 def value_counts(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n, pct) of all rows."""
+    """(keys, n, pct) of all rows. Null keys are a group of their own; no rows give no rows."""
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))
     return n.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy())))  # a window over groups only
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    """Counts of ``values`` per row key; absent cells are 0."""
+    """Counts of ``values`` per row key; absent cells are 0. Null row keys are a row; other values and null count nowhere."""
     return df.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values])
 
 
 def row_shares(table: DataFrame, row: str) -> DataFrame:
+    """Cells in percent of their row; a row of zeros has nulls."""
     cells = [c for c in table.columns if c != row]
     total = sum(map(F.col, cells[1:]), F.col(cells[0]))
     return table.select(row, *[percent(F.col(c), total).alias(c.replace("n_", "pct_")) for c in cells])
 
 
 def explode_counts(df: DataFrame, items: Column, *keys: str) -> DataFrame:
-    """(keys, item, n): in how many rows an item is."""
+    """(keys, item, n): in how many rows an item is, however often. Null lists have none; a null item is an item."""
     return df.select(*keys, F.explode(F.array_distinct(items)).alias("item")).groupBy(*keys, "item").agg(F.count("*").alias("n"))
 
 
 def top_k(df: DataFrame, k: int, by: str, tie: str, *groups: str) -> DataFrame:
-    """The k rows with the most ``by`` (per group), ties by ``tie`` ascending."""
+    """The k rows with the most ``by`` (per group), ties by ``tie`` ascending. Null ``by`` comes last; null groups are a group."""
     if not groups:
         return df.orderBy(F.desc(by), tie).limit(k)
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(by), tie))).where(F.col("__n") <= k).drop("__n")
@@ -67,7 +68,8 @@ def rank_quartiles(df: DataFrame, value: str, *groups: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: Sequence[tuple[int, int | None]], *groups: str) -> DataFrame:
-    """(groups, bin, n): inclusive bins (low, high); none for no upper end."""
+    """(groups, bin, n): inclusive bins (low, high); none for no upper end. The first bin that fits counts; null and values
+    in no bin are left out, and so are empty bins; null groups are a group."""
     name = F.lit(None).cast("string")
     for low, high in reversed(bins):
         label = f"{low}+" if high is None else f"{low}-{high}"
@@ -76,7 +78,8 @@ def histogram(df: DataFrame, value: str, bins: Sequence[tuple[int, int | None]],
 
 
 def co_occurrence(df: DataFrame, row_id: str, items: Column) -> DataFrame:
-    """(a, b, n), symmetric: rows that hold both. Pairs are made within a row's few items, not by a join of rows."""
+    """(a, b, n), symmetric: rows that hold both. Pairs are made within a row's few items, not by a join of rows. Null lists
+    and null items pair with nothing."""
     few = F.array_sort(F.array_distinct(items))
     pairs = bound(few, lambda all_: F.flatten(F.transform(all_, lambda x: F.transform(F.filter(all_, lambda y: y != x), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
     return df.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
@@ -100,7 +103,8 @@ def least_distance(tokens: Column, first: Sequence[str], second: Sequence[str])
 
 
 def feature_lift(df: DataFrame, outcome: Column, features: Mapping[str, Column]) -> DataFrame:
-    """(feature, n1, rate1, rate0, lift): the outcome's rate with and without each feature, in one scan."""
+    """(feature, n1, rate1, rate0, lift): the outcome's rate with and without each feature, in one scan. A null feature is in
+    neither; a null outcome is in no rate; a rate without rows, and its lift, is null."""
     y = outcome.cast("int")
     sums = []
     for k, c in features.items():
@@ -110,7 +114,7 @@ def feature_lift(df: DataFrame, outcome: Column, features: Mapping[str, Column])
 
 
 def rates(df: DataFrame, flags: Mapping[str, Column], *groups: str, least: int = 0) -> DataFrame:
-    """(groups, n, pct_...): shares of each flag, for groups of ``least`` rows or more."""
+    """(groups, n, pct_...): shares of each flag, for groups of ``least`` rows or more. A null flag is left out of its share."""
     out = df.groupBy(*groups).agg(F.count("*").alias("n"), *[F.round(100 * F.avg(c.cast("int")), 4).alias(f"pct_{k}") for k, c in flags.items()])
     return out.where(F.col("n") >= least)
 

@@ -71,14 +71,15 @@ def ols(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns as z scores with the population's deviation; constant ones are 0."""
+    """Columns as z scores with the population's deviation; constant ones are 0, and so is null, as the mean would be."""
     s = df.agg(*[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns])
     return df.crossJoin(F.broadcast(s)).select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}__m"), F.col(f"{c}__s")), F.lit(0.0)).alias(c) for c in columns])
 
 
 def kmeans(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 42) -> DataFrame:
-    """(k, cost, silhouette) per number of clusters."""
-    data = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
+    """(k, cost, silhouette) per number of clusters. Null vectors are left out; ``k`` below 2 is an error of Spark's, and so are
+    fewer distinct vectors than two."""
+    data = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
     rows = []
     for k in ks:
         model = KMeans(k=k, seed=seed).fit(data)
@@ -87,8 +88,8 @@ def kmeans(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 42) -> Dat
 
 
 def clustered(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
-    """``df`` with ``cluster`` and ``distance`` to its centre."""
-    data = df.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    """``df`` with ``cluster`` and ``distance`` to its centre. Rows with a null vector are left out."""
+    data = df.where(F.col(vector).isNotNull()).withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     model = KMeans(k=k, seed=seed).fit(data)
     centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()])
     found = model.transform(data).withColumn("__c", F.get(centres, F.col("prediction")))
@@ -97,12 +98,15 @@ def clustered(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
 
 
 def nearest_to_centre(df: DataFrame, row_id: str, n: int) -> DataFrame:
+    """The ``n`` rows nearest to each cluster's centre, with ``place`` from 1; equal distances by id. A cluster may hold all rows:
+    Spark keeps ``n`` rows of each task before they meet."""
     w = Window.partitionBy("cluster").orderBy("distance", row_id)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
 def pca(df: DataFrame, vector: str, k: int) -> DataFrame:
-    data = df.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    """``df`` with ``components``: its first ``k`` principal components. Rows with a null vector are left out."""
+    data = df.where(F.col(vector).isNotNull()).withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     return PCA(k=k, inputCol="features", outputCol="out").fit(data).transform(data).withColumn("components", vector_to_array("out")).drop("features", "out")
 
 
@@ -115,7 +119,8 @@ def singular_values(df: DataFrame, vector: str, k: int) -> DataFrame:
 
 def tf_idf(df: DataFrame, row_id: str, tokens: Column, most: int, least_docs: int, most_share: float) -> DataFrame:
     """(id, token, weight): smoothed idf ln((1 + n) / (1 + df)) + 1, rows of length one, over the ``most`` frequent
-    tokens that are in ``least_docs`` rows or more and in at most ``most_share`` of them."""
+    tokens that are in ``least_docs`` rows or more and in at most ``most_share`` of them (ties by name). Rows without such
+    tokens, and null lists, have no weights; rows with one id count as one."""
     tf = df.select(row_id, F.explode(tokens).alias("token")).groupBy(row_id, "token").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*").alias("n"))
     terms = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))

@@ -133,7 +133,8 @@ def probe_swap(df: DataFrame, source: str, group: str, plus: str, minus: str, tr
 
 
 def axis_gap(df: DataFrame, vectors: DataFrame, group: str, plus: str, minus: str) -> DataFrame:
-    """(vector, layer, z): difference of two groups' mean projections over the deviation of both (ddof 0)."""
+    """(vector, layer, z): difference of two groups' mean projections over the deviation of both (ddof 0). Null states and other groups
+    are left out; a layer that lacks one of the groups has z null, one without deviation a very large one (EPS)."""
     joined = df.where(F.col(group).isin(plus, minus)).join(F.broadcast(vectors), "layer").withColumn("s", dot(F.col("h"), F.col("v")))
     s = joined.groupBy("vector", "layer").agg(F.avg(F.when(F.col(group) == plus, F.col("s"))).alias("a"), F.avg(F.when(F.col(group) == minus, F.col("s"))).alias("b"), F.stddev_pop("s").alias("d"))
     return s.select("vector", "layer", ((F.col("a") - F.col("b")) / (F.col("d") + EPS)).alias("z"))
@@ -151,7 +152,8 @@ def sweep(df: DataFrame, vectors: DataFrame, probe: DataFrame, alphas: DataFrame
     """(vector, layer, alpha, tp, fp, fn, tn, recovered, missed) for every strength of every vector.
 
     The probe is linear, so a row's score at strength a is w.h + b + a * w.v: rows make one number per layer, vectors
-    one, and only these numbers meet the strengths, inside a row, before all is summed to counts.
+    one, and only these numbers meet the strengths, inside a row, before all is summed to counts. Null states or labels
+    count in no cell; layers without a probe or a vector are left out.
     """
     tilt = vectors.join(probe, "layer").select("vector", "layer", dot(F.col("w"), F.col("v")).alias("tilt"), "w", "bias")
     strengths = alphas.agg(F.array_sort(F.collect_set("alpha")).alias("alphas"))  # parameters, a handful
