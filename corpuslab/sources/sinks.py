@@ -20,12 +20,22 @@ def csv(df: DataFrame, path: str, quote_all: bool = False, sep: str = ",", heade
     flat(df).write.mode("overwrite").option("header", header).option("quoteAll", quote_all).option("escape", '"').option("sep", sep).csv(path)
 
 
+def put(spark: SparkSession, path: str, body: bytes) -> None:
+    """A small file at a path of any store that Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()
+
+
 def one_csv(df: DataFrame, path: str, most: int = 100_000) -> None:
     """A small table as one file with a byte-order mark; more than ``most`` rows are an error, not a cut."""
     rows = flat(df).limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: write them with csv()")
-    rows.to_csv(path, index=False, encoding="utf-8-sig")
+    put(df.sparkSession, path, rows.to_csv(index=False, lineterminator="\n").encode("utf-8-sig"))
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -55,13 +65,7 @@ def arrays(df: DataFrame, path: str, values: str, *order: str, most: int = 100_0
         raise ValueError(f"more than {most} rows: write them as Parquet")
     body = io.BytesIO()
     np.save(body, np.array([r[0] for r in rows], dtype=np.float64))
-    context = df.sparkSession.sparkContext
-    target = context._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        out.write(bytearray(body.getvalue()))
-    finally:
-        out.close()
+    put(df.sparkSession, path, body.getvalue())
 
 
 def model(fitted, path: str) -> None:  # noqa: ANN001
