@@ -97,6 +97,25 @@ def clustered(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
     return found.withColumn("distance", gap).withColumnRenamed("prediction", "cluster").drop("features", "__c")
 
 
+def centres_of(df: DataFrame, group: str, vector: str, size: int) -> DataFrame:
+    """(cluster, centre): the mean vector of each group; null groups and vectors are left out."""
+    held = df.where(F.col(group).isNotNull() & F.col(vector).isNotNull())
+    return held.groupBy(F.col(group).alias("cluster")).agg(F.array(*[F.avg(F.get(vector, F.lit(k)).cast("double")) for k in range(size)]).alias("centre"))
+
+
+def assigned(df: DataFrame, vector: str, centres: DataFrame) -> DataFrame:
+    """``df`` with ``cluster`` and ``distance`` of its nearest of some given centres (cluster, centre), equal ones by cluster.
+
+    Centres are parameters, a few rows: they are packed into one and broadcast, and each row looks through them by
+    itself. Rows with a null vector are left out; without centres both columns are null.
+    """
+    packed = centres.agg(F.collect_list(F.struct("cluster", "centre")).alias("__all"))
+    gap = lambda c: F.sqrt(F.aggregate(F.zip_with(vector, c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, b: a + b))
+    near = F.array_min(F.transform("__all", lambda x: F.struct(F.round(gap(x["centre"]), 9).alias("distance"), x["cluster"].alias("cluster"))))
+    found = df.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(packed)).withColumn("__near", near)
+    return found.select("*", F.col("__near.cluster").alias("cluster"), F.col("__near.distance").alias("distance")).drop("__all", "__near")
+
+
 def nearest_to_centre(df: DataFrame, row_id: str, n: int) -> DataFrame:
     """The ``n`` rows nearest to each cluster's centre, with ``place`` from 1; equal distances by id. A cluster may hold all rows:
     Spark keeps ``n`` rows of each task before they meet."""

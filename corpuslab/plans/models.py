@@ -47,6 +47,18 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.nearest_to_centre(c, "vec_id", 3).select("cluster", "place", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+def nearest_to_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6, D12 on given centres: the labels' mean vectors, and the three vectors nearest to each of those nearest to it."""
+    e = table(spark, sf_dir, "embeddings")
+    found = ml.assigned(e.select("vec_id", "embedding"), "embedding", ml.centres_of(e, "label", "embedding", 64))
+    return ml.nearest_to_centre(found, "vec_id", 3).select("cluster", "place", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+_NEAR = f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT label AS cluster, [{", ".join(f"avg(v[{k}])" for k in range(1, 65))}] AS m FROM e GROUP BY 1),
+g AS (SELECT vec_id, cluster, round(list_distance(v, m), 9) AS distance FROM e, c), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS i FROM g),
+p AS (SELECT cluster, vec_id, distance, row_number() OVER (PARTITION BY cluster ORDER BY distance, vec_id) AS place FROM n WHERE i = 1) SELECT cluster, CAST(place AS INTEGER) AS place, vec_id, round(distance, 6) AS distance FROM p WHERE place <= 3"""
+
+
 def pca2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D14."""
     return ml.pca(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 2).select("vec_id", "components")
@@ -89,5 +101,5 @@ _TURNS = f"""WITH c AS (SELECT conv_id, turn, coalesce({_SAID}, '') AS said, CAS
 s AS (SELECT *, CASE WHEN said = '' THEN 'skipped' WHEN {_REFUSED} THEN 'refused' ELSE 'ok' END AS status FROM c)
 SELECT conv_id, turn, status, CAST(CASE status WHEN 'skipped' THEN 0 WHEN 'refused' THEN 1 ELSE 2 END AS INTEGER) AS attempts, CAST(length(CASE status WHEN 'skipped' THEN '' ELSE reply END) AS INTEGER) AS n_chars FROM s"""
 
-QUERIES = {f.__name__: f for f in (logreg_coefficients, logreg_cross_validation, ols_coefficients, kmeans_elbow, kmeans_nearest, pca2, svd50, stem_counts, generated_turns, ols_estimates)}
-ORACLE: dict[str, str] = {"ols_estimates": _OLS, "generated_turns": _TURNS}
+QUERIES = {f.__name__: f for f in (logreg_coefficients, logreg_cross_validation, ols_coefficients, kmeans_elbow, kmeans_nearest, pca2, svd50, stem_counts, generated_turns, ols_estimates, nearest_to_means)}
+ORACLE: dict[str, str] = {"nearest_to_means": _NEAR, "ols_estimates": _OLS, "generated_turns": _TURNS}
