@@ -102,13 +102,21 @@ def refusal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", G.refusal(F.col("text")).cast("int").alias("refused"), F.array_contains(G.placeholders(F.col("text")), "certain people").cast("int").alias("placeholder"))
 
 
+@query(f"SELECT conv_id, {', '.join(f'max(CASE WHEN turn = {k} THEN md5(text) END) AS turn_{k}' for k in range(8))} FROM conversations GROUP BY conv_id")
+def turns_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as columns, all that occur (0 to 7 in the given tables, which the SQL names)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("h"))
+    turns = sorted((r[0] for r in c.select("turn").distinct().collect()), key=lambda k: (k is None, k))  # a handful
+    return c.groupBy("conv_id").agg(*[F.max(F.when(F.col("turn").eqNullSafe(F.lit(k)), F.col("h"))).alias(f"turn_{'null' if k is None else k}") for k in turns])
+
+
 _FIRST_TURNS = range(4)
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, md5(text) AS h FROM conversations), m AS (SELECT conv_id, coalesce(CAST(turn AS VARCHAR), 'null') AS t, max(h) AS h FROM c WHERE turn IS NULL OR turn NOT IN (0, 1, 2, 3) GROUP BY 1, 2)
 SELECT conv_id, {", ".join(f"max(CASE WHEN turn = {k} THEN h END) AS turn_{k}" for k in _FIRST_TURNS)}, coalesce((SELECT string_agg(t || ':' || coalesce(h, ''), ',' ORDER BY t) FROM m WHERE m.conv_id IS NOT DISTINCT FROM c.conv_id), '') AS more FROM c GROUP BY conv_id""")
-def turns_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four turns as columns; all others, as a conversation may have any number, as a map by turn."""
+def turns_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U6, U7 for conversations of any length: the first four turns as columns; all others, as a conversation may have any number, as a map by turn."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("h"))
     return guards.turn_columns(c, "conv_id", "turn", "h", list(_FIRST_TURNS)).select("conv_id", *[f"turn_{k}" for k in _FIRST_TURNS], F.array_join(F.transform(F.array_sort(F.map_entries("more")), lambda e: F.concat(e.key, F.lit(":"), e.value)), ",").alias("more"))
 
