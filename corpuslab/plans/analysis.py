@@ -180,7 +180,7 @@ def sentiment_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder(spark)}/valences-{uuid.uuid4().hex}"
     spark.createDataFrame([(f"{w}\t{v}",) for w, v in VALUES.items()], "value string").write.text(path)
     found = table(spark, sf_dir, "documents").select("doc_id", sentiment.shares(F.col("text"), readers.valences(spark, path)).alias("s"))
-    return found.select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("neg", "neu", "pos", "compound")])
+    return found.select("doc_id", *[(F.round(F.col(f"s.{c}") * 1e6) / 1e6).alias(c) for c in ("neg", "neu", "pos", "compound")])
 
 
 _RULES = ", ".join(f"('{pos}', '{old}', '{new}')" for pos, pairs in guards.DETACHED.items() for old, new in pairs)

@@ -99,3 +99,14 @@ def test_ablation(spark):
         missed = (y == 1) & ~p0
         assert got[name]["alpha"] == best and got[name]["macro_f1"] == round(f, 6) and got[name]["d_f1"] == pytest.approx(f - base, abs=1e-6)
         assert got[name]["fn_rec"] == pytest.approx((p & missed).sum() / missed.sum(), abs=1e-6)
+
+
+def test_fold_adds_in_order_and_splits_as_sql():
+    sides = {"a": 0.1, "b": 0.2, "c": 0.3, "n": -2.6}
+    total = 0.0
+    for v in (1.1, 1.2, 1.3):
+        total += v
+    assert total < 3.6  # so the negative side prevails by its rounding, as in SQL, and takes the mark
+    neg, _, pos, _ = sentiment.fold("a b c n!", sides)
+    assert neg == pytest.approx((3.6 + 0.292) / 7.492) and pos == pytest.approx(3.6 / 7.492)
+    assert sentiment.fold("good day good", GOOD)[1] == pytest.approx(1 / 3.9)  # a no-break space parts no words
