@@ -9,15 +9,16 @@ from ..functions import classify
 from ..functions.lexicons import CATEGORIES, REFUSALS
 from ..functions.stem import stems
 from ..operators import generate, ml
-from .tables import POSTS, docs, posts, table
+from .tables import POSTS, docs, posts, stored, table
 
 FEATURES = [*CATEGORIES, "len100"]
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few numbers for each labelled text, written once: a fit reads its rows several times, each fold anew, texts once."""
     p = posts(spark, sf_dir)
     flags = classify.category_flags(F.col("t"))
-    return p.select("doc_id", F.col("toxic").cast("double").alias("toxic"), *[c.cast("double").alias(k) for k, c in flags.items()], (F.col("n") / 100.0).alias("len100"))
+    return stored(p.select("doc_id", F.col("toxic").cast("double").alias("toxic"), *[c.cast("double").alias(k) for k, c in flags.items()], (F.col("n") / 100.0).alias("len100")))
 
 
 def logreg_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
