@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -15,6 +18,9 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import batches
+from ..storage import stored
+
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
@@ -136,16 +142,75 @@ def singular_values(df: DataFrame, vector: str, k: int) -> DataFrame:
     return df.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(found, 1)], "component int, value double")
 
 
+def term_counts(df: DataFrame, row_id: str, tokens: Column) -> DataFrame:
+    """(id, token, n): arrays of each id's distinct tokens and how often it has them. Tasks count whole rows, so nothing is shuffled
+    but the counts of ids that several rows have. Written, as tokens cost much to make."""
+    kind = df.schema[row_id].dataType.simpleString()
+
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches.cut(frames, "t", 1_000_000):
+            rows, words, n, known = batches.counted(batch.column("t"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *batches.lists(rows, batch.num_rows, known.take(pa.array(words)), pa.array(n, pa.int64()))], names=[row_id, "token", "n"])
+
+    held = stored(df.select(F.col(row_id).alias("id"), tokens.alias("t")).mapInArrow(work, f"`{row_id}` {kind}, token array<string>, n array<bigint>"))
+    again = stored(held.groupBy(row_id).agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select(F.col(row_id).alias("__id")))
+    if not again.limit(1).count():
+        return held
+    same = F.col(row_id).eqNullSafe(F.col("__id"))
+    summed = held.join(again, same, "left_semi").select(row_id, F.inline(F.arrays_zip("token", "n"))).groupBy(row_id, "token").agg(F.sum("n").alias("n"))
+    packed = summed.groupBy(row_id).agg(F.collect_list(F.struct("token", "n")).alias("x"))
+    return held.join(again, same, "left_anti").unionByName(packed.select(row_id, F.col("x.token").alias("token"), F.col("x.n").alias("n")))
+
+
+def tf_idf_rows(df: DataFrame, row_id: str, tokens: Column, most: int, least_docs: int, most_share: float) -> tuple[DataFrame, list[str]]:
+    """(id, at, w): each id's terms by number, ascending, and their weights as ``tf_idf`` has them; and the terms in order.
+
+    Counts by row leave tasks once, summed by token, to choose the terms. These (``most``, a parameter) go to the driver and
+    to tasks, which weigh whole rows: no weight is shuffled. Ids without terms have empty arrays.
+    """
+    spark, kind = df.sparkSession, df.schema[row_id].dataType.simpleString()
+    counts = term_counts(df, row_id, tokens)
+    n = df.count()
+    sums = counts.select(F.inline(F.arrays_zip("token", "n"))).groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    terms = sums.where((F.col("df") >= least_docs) & (F.col("df") <= most_share * F.lit(n))).orderBy(F.desc("total"), "token").limit(most)
+    chosen = sorted(terms.select("token", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).collect())
+    names = [r[0] for r in chosen]
+    sent = spark.sparkContext.broadcast((names, np.array([r[1] for r in chosen])))
+
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = sent.value
+        known = pa.array(names, pa.string())
+        for batch in batches.cut(frames, "token", 1_000_000):
+            rows, items = batches.flat(batch.column("token"))
+            at = pc.index_in(items, value_set=known)
+            held = at.is_valid().to_numpy(zero_copy_only=False)
+            n = pc.list_flatten(batch.column("n")).to_numpy()[held]
+            rows, at = rows[held], at.drop_null().to_numpy()
+            order = np.lexsort((at, rows))
+            rows, at, n = rows[order], at[order], n[order]
+            w = n * idf[at]
+            w /= np.sqrt(np.bincount(rows, weights=w * w, minlength=batch.num_rows))[rows]
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), *batches.lists(rows, batch.num_rows, pa.array(at, pa.int32()), pa.array(w, pa.float64()))], names=[row_id, "at", "w"])
+
+    return counts.mapInArrow(work, f"`{row_id}` {kind}, at array<int>, w array<double>"), names
+
+
+def unpacked(rows: DataFrame, row_id: str, terms: list[str]) -> DataFrame:
+    """(id, token, weight) of packed rows (id, at, w): a row for each weight."""
+    kind = rows.schema[row_id].dataType.simpleString()
+
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches.cut(frames, "at", 1_000_000):
+            of, at = batches.flat(batch.column("at"))
+            yield pa.RecordBatch.from_arrays([batch.column(row_id).take(pa.array(of)), known.take(at), pc.list_flatten(batch.column("w"))], names=[row_id, "token", "weight"])
+
+    return rows.mapInArrow(work, f"`{row_id}` {kind}, token string, weight double")
+
+
 def tf_idf(df: DataFrame, row_id: str, tokens: Column, most: int, least_docs: int, most_share: float) -> DataFrame:
     """(id, token, weight): smoothed idf ln((1 + n) / (1 + df)) + 1, rows of length one, over the ``most`` frequent
     tokens that are in ``least_docs`` rows or more and in at most ``most_share`` of them (ties by name). Rows without such
-    tokens, and null lists, have no weights; rows with one id count as one."""
-    tf = df.select(row_id, F.explode(tokens).alias("token")).groupBy(row_id, "token").agg(F.count("*").alias("tf"))
-    n = df.agg(F.count("*").alias("n"))
-    terms = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))
-    terms = terms.where((F.col("df") >= least_docs) & (F.col("df") <= most_share * F.col("n"))).orderBy(F.desc("total"), "token").limit(most)
-    weighed = tf.join(terms, "token").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = weighed.groupBy(row_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return weighed.join(length, row_id).select(row_id, "token", (F.col("w") / F.col("length")).alias("weight"))
-
-
+    tokens, and null lists, have no weights; rows with one id count as one, but for n."""
+    rows, terms = tf_idf_rows(df, row_id, tokens, most, least_docs, most_share)
+    return unpacked(rows, row_id, terms)

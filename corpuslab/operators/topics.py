@@ -170,7 +170,7 @@ def profiles(df: DataFrame, cluster: str, row_id: str, weights: DataFrame, share
     ``terms`` those with the highest mean weight over the cluster's rows, rows without them counting as 0. Ties go by
     name. Null clusters are left out; clusters without items or terms have empty lists.
     """
-    rows = df.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("cluster"), F.col(row_id).alias("id"), *[c.cast("int").alias(f"is_{k}") for k, c in shares.items()], length.alias("len"), items.alias("items"))
+    rows = stored(df.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("cluster"), F.col(row_id).alias("id"), *[c.cast("int").alias(f"is_{k}") for k, c in shares.items()], length.alias("len"), items.alias("items")))
     plain = rows.groupBy("cluster").agg(F.count("*").alias("n"), *[F.round(100 * F.avg(f"is_{k}"), 4).alias(f"pct_{k}") for k in shares], F.round(F.avg("len"), 4).alias("mean_len"))
     total = plain.agg(F.sum("n").alias("all"))
     sizes = plain.select("cluster", F.col("n").alias("of"))

@@ -28,15 +28,17 @@ def query(sql: str | None):  # noqa: ANN201
     return add
 
 
-def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(ml.tf_idf(docs(spark, sf_dir), "doc_id", F.col("t"), 5000, 5, 0.8))
+def weighed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Packed TF-IDF rows (doc_id, at, w) of all documents, and their terms."""
+    rows, terms = ml.tf_idf_rows(docs(spark, sf_dir), "doc_id", F.col("t"), 5000, 5, 0.8)
+    return stored(rows), terms
 
 
 def text_space(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, topics.Space]:
     """Weights, sparse rows, and their space of 50 directions."""
-    w = weighed(spark, sf_dir)
-    rows, terms = topics.sparse_rows(w, docs(spark, sf_dir), "doc_id", 5000)
-    return w, rows, topics.truncated_svd(rows, terms, 50)
+    packed, terms = weighed(spark, sf_dir)
+    rows = packed.withColumnRenamed("doc_id", "id")
+    return ml.unpacked(packed, "doc_id", terms), rows, topics.truncated_svd(rows, terms, 50)
 
 
 @query(None)
@@ -76,7 +78,8 @@ tl AS (SELECT lang, string_agg(token, ', ' ORDER BY i) AS terms FROM t6 WHERE i
 SELECT lang AS cluster, n, round(100.0 * n / (SELECT sum(n) FROM pl), 4) AS pct, pct_toxic, mean_len, coalesce(items, '') AS items, coalesce(terms, '') AS terms FROM pl LEFT JOIN il USING (lang) LEFT JOIN tl USING (lang)""")
 def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of given groups of the labelled texts, their languages."""
-    return topics.profiles(posts(spark, sf_dir), "lang", "doc_id", weighed(spark, sf_dir), {"toxic": F.col("toxic")}, F.col("n"), F.col("targets"))
+    packed, terms = weighed(spark, sf_dir)
+    return topics.profiles(posts(spark, sf_dir), "lang", "doc_id", ml.unpacked(packed, "doc_id", terms), {"toxic": F.col("toxic")}, F.col("n"), F.col("targets"))
 
 
 @query(None)

@@ -1,7 +1,11 @@
 """Queries that read rows many times read their texts once or twice, and tasks hold few rows at a time."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from corpuslab.operators import ml
 from corpuslab.plans import models
 
 
@@ -13,3 +17,26 @@ def texts_read(df):
 def test_fits_read_written_features(spark, sf_dir, name):
     assert not texts_read(models._features(spark, sf_dir))
     assert models.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def shuffled(df):
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_leave_tasks_unshuffled(spark):
+    rows = [(1, ["a", "b", "a"]), (2, ["a"]), (3, None), (4, []), (5, ["b", None])]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    got = ml.tf_idf(df, "id", F.col("t"), 10, 1, 1.0)
+    assert not shuffled(got)
+    found = {(r["id"], r["token"]): r["weight"] for r in got.collect()}
+    idf = {t: math.log(6 / 3) + 1 for t in "ab"}
+    length = math.sqrt((2 * idf["a"]) ** 2 + idf["b"] ** 2)
+    assert found == pytest.approx({(1, "a"): 2 * idf["a"] / length, (1, "b"): idf["b"] / length, (2, "a"): 1.0, (5, "b"): 1.0})
+
+
+def test_rows_with_one_id_count_as_one(spark):
+    df = spark.createDataFrame([(1, ["a"]), (1, ["a", "b"]), (None, ["b"]), (None, ["b"])], "id int, t array<string>")
+    found = {(r["id"], r["token"]): r["weight"] for r in ml.tf_idf(df, "id", F.col("t"), 10, 1, 1.0).collect()}
+    a, b = 2 * (math.log(5 / 2) + 1), math.log(5 / 3) + 1
+    length = math.sqrt(a * a + b * b)
+    assert found == pytest.approx({(1, "a"): a / length, (1, "b"): b / length, (None, "b"): 1.0})
