@@ -44,6 +44,13 @@ def _ask(generator: Generator, prompt: str, history: list[dict[str, str]], tries
     return "", tries
 
 
+def _parts(pdf: pd.DataFrame, texts: Sequence[str], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """A frame's rows in parts of about ``most`` characters of ``texts``: results hold them several times."""
+    size = sum((pdf[c].str.len().fillna(0) for c in texts), pd.Series(1, index=pdf.index))
+    for _, part in pdf.groupby((size.cumsum() // most).astype("int64"), sort=False):
+        yield part
+
+
 def _mapped(df: DataFrame, columns: Sequence[str], one: Callable[..., tuple], added: str) -> DataFrame:
     """``df`` with the columns that ``one`` makes of a row's ``columns``; input columns of these names are replaced."""
     new = [x.split()[0] for x in added.split(", ")]
@@ -51,7 +58,7 @@ def _mapped(df: DataFrame, columns: Sequence[str], one: Callable[..., tuple], ad
     names = [c for c in df.columns if c not in new]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in (part for frame in frames for part in _parts(frame, [f"__in{k}" for k in range(len(columns))])):
             values = [pdf[f"__in{k}"] for k in range(len(columns))]
             found = [one(*(v if isinstance(v, str) else None for v in row)) for row in zip(*values, strict=True)]
             yield pdf[names].assign(**{c: [x[k] for x in found] for k, c in enumerate(new)})
