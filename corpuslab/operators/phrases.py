@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import cut
 from ..storage import stored
 
 #: Bytes of terms in one automaton.
@@ -44,7 +45,7 @@ def phrase_hits(df: DataFrame, row_id: str, tokens: str, lexicon: DataFrame, blo
     ``tokens`` are lower-case words; terms are compared word by word. An automaton with failure links finds all terms in
     one pass over a row's tokens, however many terms there are, and those inside or across others too. The lexicon is
     cut into blocks of ``block`` bytes, each with an automaton of its own and a pass: the driver and tasks hold one block,
-    whatever its size. Null tokens, and rows without hits, give no rows; repeated rows give theirs each.
+    whatever its size, and the hits of some 100,000 tokens at a time. Null tokens, and rows without hits, give no rows; repeated rows give theirs each.
     """
     spark = df.sparkSession
     known = stored(normalised(lexicon).groupBy("term").agg(F.sort_array(F.collect_set("category")).alias("categories")))
@@ -63,7 +64,7 @@ def phrase_hits(df: DataFrame, row_id: str, tokens: str, lexicon: DataFrame, blo
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, key: int = key) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             terms, categories = sent.value
             automaton, words = _automaton(key, terms)
-            for batch in batches:
+            for batch in cut(batches, "tokens"):
                 at_row, names, of, places, sizes = [], [], [], [], []
                 for k, row in enumerate(batch.column("tokens").to_pylist()):
                     row = ["" if t is None else t for t in row]

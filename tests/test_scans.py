@@ -2,10 +2,13 @@
 
 import math
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators import ml
+from corpuslab import batches
+from corpuslab.operators import generate, ml, tagger
 from corpuslab.plans import models
 
 
@@ -40,3 +43,25 @@ def test_rows_with_one_id_count_as_one(spark):
     a, b = 2 * (math.log(5 / 2) + 1), math.log(5 / 3) + 1
     length = math.sqrt(a * a + b * b)
     assert found == pytest.approx({(1, "a"): a / length, (1, "b"): b / length, (None, "b"): 1.0})
+
+
+def test_batches_are_cut():
+    rows = [["a"] * 60_000, None, [], ["b"] * 60_000, ["c"] * 250_000, ["d"]]
+    parts = [*batches.cut(iter([pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["t"])]), "t")]
+    assert [p.num_rows for p in parts] == [3, 1, 2]
+    assert [r for p in parts for r in p.column("t").to_pylist()] == rows
+    texts = pa.RecordBatch.from_arrays([pa.array(["x" * 70_000, None, "y" * 70_000])], names=["t"])
+    assert [p.num_rows for p in batches.cut(iter([texts]), "t")] == [2, 1]
+
+
+def test_chains_hold_few_texts_at_a_time():
+    frame = pd.DataFrame({"a": ["x" * 600_000, None, "y" * 600_000], "b": ["z", "z", None]})
+    parts = [*generate._parts(frame, ["a", "b"])]
+    assert [len(p) for p in parts] == [2, 1] and pd.concat(parts).equals(frame)
+
+
+def test_tags_keep_their_rows(spark):
+    rows = [(1, ["we", "saw", "Anna"], ["O", "O", "B"]), (2, None, None), (3, [], []), (4, ["Bo"], ["B"])]
+    df = spark.createDataFrame(rows, "id int, t array<string>, g array<string>")
+    found = {r["id"]: r["tags"] for r in tagger.tagged(df, "t", tagger.fit(df, "t", "g", least=1)).collect()}
+    assert {k: None if v is None else len(v) for k, v in found.items()} == {1: 3, 2: None, 3: 0, 4: 1}
