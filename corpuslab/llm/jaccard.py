@@ -22,6 +22,8 @@ GROWTH = 1.6
 SIGNATURES, SLICE = 600_000, 8 << 20
 #: Bytes of text whose words are held at a time.
 TOGETHER = 1 << 20
+#: Edges that a task replaces by a forest at a time.
+EDGES = 200_000
 #: Orders in which neighbours are compared before a search.
 NEIGHBOURS = 8
 #: Lower share of the hash space whose shingles tell which texts of a large block can have links.
@@ -267,14 +269,45 @@ def _rows(signature: np.ndarray | None, a: np.ndarray, b: np.ndarray | None = No
     return pa.RecordBatch.from_arrays([none if signature is None else pa.array(signature), pa.array(a), none if b is None else pa.array(b)], names=["signature", "a", "b"])
 
 
+def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest (a, b) with the same components as the edges (u, v), some 200,000 of them at a time: an edge fewer than nodes at most."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([b.column(c) for c in ("u", "v") for b in held]).dictionary_encode()
+        codes, n = coded.indices.to_numpy().tolist(), len(coded) // 2
+        groups = Groups(len(coded.dictionary))
+        for a, b in zip(codes[:n], codes[n:], strict=True):
+            groups.join(a, b)
+        held.clear()
+        roots = np.array([groups.find(k) for k in range(len(groups.root))], np.int64)
+        other = np.flatnonzero(roots != np.arange(len(roots)))
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(roots[other])), coded.dictionary.take(pa.array(other))], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) > EDGES:
+            yield from out()
+    if held:
+        yield from out()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of edges (a, b): the least node that each reaches, for all nodes with an edge.
 
+    Edges inside one family may be as many as its pairs: tasks first replace theirs by a forest, EDGES at a time, so that
+    what is joined grows with the nodes.
+
     Alternating large and small stars: each round hangs every node's neighbours on the least of them, by sums and
     joins on nodes, so that a node with very many neighbours is summed in parts and joined where its edges are. Rounds
     are written, and dropped when the next one is; their number grows as the logarithm of the size.
     """
     edges = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    kind = edges.schema["u"].dataType.simpleString()
+    parts = edges.count() // EDGES + 1
+    trees = edges.repartition(parts).mapInArrow(spanning, f"a {kind}, b {kind}")
+    whole, edges = edges, written(trees.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "trees")
+    forget(whole)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -3,8 +3,10 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from corpuslab.llm import jaccard
 from corpuslab.llm.jaccard import components, jaccard_components, linked, merge, op9_jaccard_join, shingle_sets, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -134,3 +136,12 @@ def test_large_blocks_lose_no_links(spark):
     edges = [(r["a"], r["b"]) for r in rare_edges(df, 5, 80).collect()]
     root = least(len(texts), edges)
     assert links and all(root[i] == root[j] for i, j in links)
+
+
+def test_a_familys_pairs_become_a_forest():
+    """All pairs of 300 nodes, and one more pair: what leaves the task has an edge fewer than nodes for each component."""
+    pairs = [(max(x, y), min(x, y)) for x in range(300) for y in range(x)] + [(1001, 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs]), pa.array([v for _, v in pairs])], names=["u", "v"])
+    got = [e for b in jaccard.spanning(iter([batch])) for e in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+    assert len(got) == 300 and {frozenset(e) for e in got} >= {frozenset((1000, 1001))}
+    assert [*jaccard.spanning(iter([]))] == []
