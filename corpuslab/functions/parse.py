@@ -54,7 +54,7 @@ def tidy(c: Column) -> Column:
 
 def leakage_key(c: Column) -> Column:
     """Lower case, only a-z, 0-9 and single blanks: what must not be in both training and evaluation."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", ""), "  +", " "))
 
 
 def tokens(c: Column) -> Column:

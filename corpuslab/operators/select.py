@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +99,24 @@ def leaked(train: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
     return evaluation.join(train.select(key).distinct(), key, "left_semi")
 
 
+def leaked_texts(train: DataFrame, evaluation: DataFrame, text: str, key: str, normal: Callable[[Column], Column], first: int = 300, head: int = 32, most: int = 1_000_000) -> DataFrame:
+    """Rows of the evaluation whose ``key`` is ``normal`` of a ``text`` of the training data.
+
+    ``normal`` changes characters where they are, makes single blanks of several and trims. So the key of a text's
+    ``first`` characters begins the whole key: only texts with an item's first ``head`` characters there, or with too few to
+    tell, are normalised whole and shuffled. Beginnings are met by hashes, which are broadcast up to ``most`` of them.
+    """
+    begin = lambda c: F.xxhash64(F.rtrim(F.substring(c, 1, head)))
+    known = evaluation.where(F.col(key).isNotNull()).select(begin(F.col(key)).alias("__begin")).distinct().withColumn("__met", F.lit(True))
+    texts = train.select(F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    if known.limit(most + 1).count() <= most:
+        start = normal(F.substring("__text", 1, first))
+        texts = texts.withColumn("__start", start).withColumn("__begin", begin(F.col("__start"))).join(F.broadcast(known), "__begin", "left")
+        texts = texts.where(F.col("__met") | ((F.length("__start") < head) & (F.length("__text") > first)))
+    whole = F.coalesce(normal(F.col("__text")), F.lit(""))  # never null: else Spark asks all texts' whole keys for nulls before the join above
+    return leaked(texts.select(whole.alias(key)), evaluation, key)
+
+
 def contained(df: DataFrame, row_id: str, tokens: str, items: DataFrame, item_id: str, item: str, least: int = 8) -> DataFrame:
     """(item id, row id): rows that hold all tokens of an item in a row, for items of ``least`` tokens or more.
 

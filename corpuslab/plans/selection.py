@@ -127,9 +127,8 @@ _KEY = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'), '
 def leakage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that documents equal, and a control of items that equal themselves."""
     items = table(spark, sf_dir, "benchmark").withColumn("key", parse.leakage_key(F.col("text")))
-    train = table(spark, sf_dir, "documents").select(parse.leakage_key(F.col("text")).alias("key"))
     control = S.leaked(items, items.where("item_id % 10 = 0"), "key").select("item_id")
-    return S.leaked(train, items, "key").select("item_id").unionByName(control)
+    return S.leaked_texts(table(spark, sf_dir, "documents"), items, "text", "key", parse.leakage_key).select("item_id").unionByName(control)
 
 
 @query(f"WITH {DOCS}, b AS (SELECT item_id, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda x: trim(x, '.,!?;:\"''()[]{{}}')), lambda x: x <> '') AS t FROM benchmark) SELECT item_id, doc_id FROM b, d WHERE len(b.t) >= 8 AND strpos(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(b.t, ' ') || ' ') > 0")

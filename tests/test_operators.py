@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.functions import parse
 from corpuslab.operators import aggregates, generate, guards, ml, order, select, stats, vectors
 from corpuslab.sources import readers, sinks
 from corpuslab.streaming.resume import run_items, windowed_counts
@@ -216,3 +217,24 @@ def test_guards(spark):
     kinds = spark.createDataFrame([("exclusion / x",), ("",), (None,)], "k string")
     assert [r[0] for r in kinds.select(guards.type_rule(F.col("k"), {"EXCLUSION": "rule"}, "default")).collect()] == ["rule", "default", "default"]
     assert guards.by_length(texts, "t").count() == 3
+
+
+def test_leaked_texts_normalises_whole_only_what_may_be_an_item(spark):
+    long = "The  item, of more than its first characters: " + "word " * 100
+    texts = [long, long.upper() + "!", long + "more", "other " * 200, "é" * 400 + "ab", "é" * 400 + " abc", "Ab", "", " !", None, " ", "the item of more than its first "]
+    items = [(1, "the item of more than its first characters " + "word " * 99 + "word"), (2, "ab"), (3, "abc"), (4, ""), (5, None), (6, "the item of more than its first"), (7, "none such"), (8, "word")]
+    train, evaluation = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(items, "item_id int, key string")
+    want = [(k,) for k in (1, 2, 3, 4, 6)]
+    for most in (1_000_000, 3):  # beginnings are broadcast, or too many for it
+        assert sorted(map(tuple, select.leaked_texts(train, evaluation, "text", "key", parse.leakage_key, most=most).select("item_id").collect())) == want
+    plain = select.leaked(train.select(parse.leakage_key(F.col("text")).alias("key")), evaluation, "key")
+    assert sorted(map(tuple, plain.select("item_id").collect())) == want
+    whole = spark.sparkContext.accumulator(0)
+
+    def lower(x):
+        whole.add(len(x) > 300)
+        return x.strip().lower()
+
+    rows = spark.createDataFrame([("other " * 100 + str(i),) for i in range(50)] + [("item " * 100,)], "text string")
+    found = select.leaked_texts(rows, spark.createDataFrame([(1, ("item " * 100).strip())], "item_id int, key string"), "text", "key", F.udf(lower))
+    assert found.count() == 1 and whole.value < 10
