@@ -83,15 +83,18 @@ def without_fence(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), "^```[a-z]*\\n?", ""), "\\n?```$", ""))
 
 
+def bare(c: Column, chars: str) -> Column:
+    """Without ``chars`` (as within the brackets of a pattern) at its ends, by one match: btrim notes the place of every character."""
+    return F.regexp_extract(c, f"(?s)^[{chars}]*((?:.*[^{chars}])?)", 1)
+
+
 def final_sentence(c: Column) -> Column:
     """What follows ``Final Sentence:`` (or ``Final Transformed Sentence:``), else the next line that is not blank, else
     the whole text; without quotes and stars around it. Null gives an empty string."""
     text = F.trim(F.coalesce(c, F.lit("")))
-    head = r"(?is)^.*?(?:^|\n)[\s#*-]*final\s+(?:transformed\s+)?sentence\**[ \t]*:[ \t]*"
-    has = text.rlike(r"(?i)(?:^|\n)[\s#*-]*final\s+(?:transformed\s+)?sentence\**[ \t]*:")
-    rest = F.regexp_replace(text, head, "")
-    lines = F.filter(F.transform(F.split(rest, "\n"), lambda x: F.btrim(x, F.lit("* \t"))), lambda x: x != "")
-    return F.btrim(F.when(has, F.coalesce(F.get(lines, F.lit(0)), F.lit(""))).otherwise(text), F.lit("\"' "))
+    head = r"(?i)(?:^|\n)[\s#*-]*final\s+(?:transformed\s+)?sentence\**[ \t]*:"
+    line = F.regexp_extract(text, head + r"[* \t\n]*((?:[^\n]*[^* \t\n])?)", 1)
+    return bare(F.when(text.rlike(head), line).otherwise(text), "\"' ")
 
 
 def field(c: Column, name: str) -> Column:
@@ -129,8 +132,7 @@ def enforce_choice(c: Column, name: str, allowed: Sequence[str], default: str) -
     """The first ``name: value`` of a text with ``default`` where the value is not allowed."""
     value = F.rtrim(F.lower(F.regexp_extract(c, f"{name}:\\s*([^\\n]+)", 1)))
     value = F.regexp_replace(value, r"\.+$", "")
-    bad = (value != "") & ~value.isin(*allowed)
-    return F.when(bad, F.regexp_replace(c, f"(?s)^(.*?{name}:\\s*)[^\\n]+", f"$1{default}")).otherwise(c)
+    return F.when(~value.isin("", *allowed), F.regexp_replace(c, f"(?s)^(.*?{name}:\\s*)[^\\n]+", f"$1{default}")).otherwise(c)
 
 
 def rendered(template: str, values: Mapping[str, Column]) -> Column:

@@ -181,8 +181,7 @@ _SENTENCE = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9
 SELECT doc_id, w AS same_line, w AS next_line, w AS whole, w AS field_value, '- Kind: individuals' AS enforced FROM h WHERE w <> ''""")
 def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values from replies of several shapes, whole texts being what they say."""
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", " ")
-    h = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace(plain, " +", " ")).alias("w")).where("w <> ''")
+    h = table(spark, sf_dir, "documents").where(F.col("text").rlike("[A-Za-z0-9]")).select("doc_id", F.trim(F.regexp_replace("text", "[^\\p{Alnum}]+", " ")).alias("w"))
     w = F.col("w")
     return h.select(
         "doc_id", parse.final_sentence(F.concat(F.lit('Note.\n**Final Sentence:** "'), w, F.lit('"\nMore'))).alias("same_line"), parse.final_sentence(F.concat(F.lit("- Final Transformed Sentence:\n\n  '"), w, F.lit("'\n"))).alias("next_line"),

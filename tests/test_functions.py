@@ -104,3 +104,11 @@ def test_distances_and_neighbours(spark):
     assert all(r["found"] == r["d"] for r in df.select("d", A.least_distance(F.col("t"), ("a", "c"), ("b", "c")).alias("found")).collect())
     two = spark.createDataFrame([(["the", "and", "cat", "is", "the", "dogs"],), (["the"],), ([],)], "t array<string>")
     assert [r[0] for r in two.select(A.bigrams(F.col("t"), ("the", "and"))).collect()] == [["and cat", "cat the", "the dogs"], [], []]
+
+
+def test_replies_are_trimmed_without_btrim(spark):
+    """btrim makes two arrays of the whole text's length; a text of blank lines must not recurse either."""
+    texts = ["* Final Sentence : **\t* \n \n*\t'x \"y' *\"* \nmore", "Note\n#- FINAL  transformed\nSentence** :\n\n", "' \"a *\" ", "a\nfinal sentence:'", "\n" * 5000 + "Final Sentence:" + "\n *" * 5000 + "x", "final sentence:\r\nz", ""]
+    assert values(spark, texts, parse.final_sentence(C)) == [("x \"y' *",), ("",), ("a *",), ("",), ("x",), ("\r",), ("",)]
+    plan = spark.createDataFrame([("x",)], "c string").select(parse.final_sentence(C))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Some(" not in plan  # a trim with characters of its own
