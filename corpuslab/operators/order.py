@@ -17,7 +17,11 @@ def running_counts(df: DataFrame, value: str, *groups: str) -> DataFrame:
     its values distinct: no task sees more than a range, and what meets per group is one sum for each range. Null values
     are left out; null groups are a group. No rows give no rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("c"))
+    return placed_counts(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("c")), value, *groups)
+
+
+def placed_counts(counts: DataFrame, value: str, *groups: str) -> DataFrame:
+    """``running_counts`` of rows that are counted (``c``) by group and value."""
     ranged = stored(counts.repartitionByRange(*groups, value).withColumn("part", F.spark_partition_id()))
     parts = ranged.groupBy("part", *groups).agg(F.sum("c").alias("rows"))
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -33,7 +37,15 @@ def running_counts(df: DataFrame, value: str, *groups: str) -> DataFrame:
 
 def mid_ranks(df: DataFrame, value: str, *groups: str) -> DataFrame:
     """(groups, value, c, rank): average ranks from 1 of the distinct values of each group."""
-    found = running_counts(df, value, *groups)
+    return _mid(running_counts(df, value, *groups), value, *groups)
+
+
+def ranks_of_counts(counts: DataFrame, value: str, *groups: str) -> DataFrame:
+    """``mid_ranks`` of rows that are counted (``c``) by group and value."""
+    return _mid(placed_counts(counts, value, *groups), value, *groups)
+
+
+def _mid(found: DataFrame, value: str, *groups: str) -> DataFrame:
     return found.select(*groups, value, "c", (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .joins import spread_join
-from .order import mid_ranks
+from .joins import CELL
+from .order import mid_ranks, ranks_of_counts
 
 
 def confusion(df: DataFrame, truth: Column, predicted: Column, *groups: str) -> DataFrame:
@@ -84,25 +85,45 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
-def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def spearman_matrix(df: DataFrame, columns: Sequence[str], few: int = 100_000) -> DataFrame:
     """(a, b, n, rho) for every two of ``columns``, a before b: correlation of average ranks.
 
-    All columns are ranked together: one table of (column, value, count), dealt by ranges, one join that takes ranks back
-    to the rows (common values in cells), and one aggregation of all products. Rows with a null in any of the columns
-    are left out, so that all pairs rest on the same rows. A constant column has no rho (null); without rows n is 0.
+    Values are counted column by column and ranked together, dealt by ranges. Rows stay whole: a column of at most ``few``
+    values takes its ranks by a broadcast where the rows are, another by one join on its value (``with_ranks``). One
+    aggregation sums all products. Rows with a null in any of the columns are left out, so that all pairs rest on the
+    same rows. A constant column has no rho (null); without rows n is 0.
     """
-    rows = stored(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna())
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(columns)])).alias("x")
-    long = numbered.select("row", cells).select("row", "x.k", "x.v")
-    ranked = spread_join(long, mid_ranks(long, "v", "k").select("k", "v", "rank"), ["k", "v"])
-    wide = ranked.groupBy("row").agg(*[F.max(F.when(F.col("k") == k, F.col("rank"))).alias(f"r{k}") for k in range(len(columns))])
+    names = [f"v{k}" for k in range(len(columns))]
+    wide = stored(df.select(*[F.col(c).cast("double").alias(v) for c, v in zip(columns, names, strict=True)]).dropna().withColumn("row", F.monotonically_increasing_id()))
+    counts = [wide.groupBy(F.col(v).alias("v")).agg(F.count("*").alias("c")).select(F.lit(k).alias("k"), "v", "c") for k, v in enumerate(names)]
+    ranks = stored(ranks_of_counts(reduce(DataFrame.unionByName, counts), "v", "k"))
+    distinct = {r["k"]: r["n"] for r in ranks.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    n = wide.count()
+    for k, v in sorted(enumerate(names), key=lambda x: distinct.get(x[0], 0)):
+        of = ranks.where(F.col("k") == k).select(F.col("v").alias(v), "c", F.col("rank").alias(f"r{k}"))
+        wide = with_ranks(wide, of, v, f"r{k}", None if distinct.get(k, 0) <= few else max(CELL, n // few))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     one = wide.agg(F.count("*").alias("n"), *[F.try_divide(F.covar_pop(f"r{i}", f"r{j}"), F.stddev_pop(f"r{i}") * F.stddev_pop(f"r{j}")).alias(f"c{i}_{j}") for i, j in pairs])
     found = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col("n"), F.round(f"c{i}_{j}", 6).alias("rho")) for i, j in pairs])
     return one.select(F.inline(found))
 
 
+def with_ranks(rows: DataFrame, ranks: DataFrame, value: str, rank: str, hot: int | None) -> DataFrame:
+    """``rows`` with ``rank`` in place of ``value``, from ``ranks`` (value, c, rank), which has every value of the rows.
+
+    Without ``hot`` all ranks are broadcast. Else those of values with more than ``hot`` rows are, and their rows are dealt
+    by number (``row``) to keys that meet nothing, so that no value is one task's; all other rows are joined by value.
+    """
+    if hot is None:
+        return rows.join(F.broadcast(ranks.select(value, rank)), value).drop(value)
+    known = rows.join(F.broadcast(ranks.where(F.col("c") > hot).select(value, F.col(rank).alias("__hot"))), value, "left")
+    known = known.withColumn("__deal", F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.col("row")))
+    # 0 by way of c: of a literal, Spark makes a condition beside the join, and rows are dealt by value alone.
+    rest = ranks.where(F.col("c") <= hot).select(value, rank, F.least("c", F.lit(0)).cast("long").alias("__deal"))
+    joined = known.join(rest.hint("merge"), [value, "__deal"], "left")
+    return joined.select(*[c for c in rows.columns if c != value], F.coalesce("__hot", rank).alias(rank))
+
+
 def auc(df: DataFrame, score: str, truth: Column) -> DataFrame:
     """Area under the ROC curve by the rank sum of the positives."""
     found = mann_whitney(df, score, truth)

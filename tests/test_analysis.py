@@ -92,6 +92,26 @@ def test_spearman_matrix(spark):
     assert none["n"] == 0 and none["rho"] is None
 
 
+def test_spearman_matrix_keeps_rows_whole(spark):
+    """Ranks by broadcasts and by joins are the same; a value of most rows is not one task's."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": np.where(rng.random(45_000) < 0.7, 7.0, rng.random(45_000)), "b": rng.random(45_000), "c": rng.integers(0, 3, 45_000) * 1.0})
+    df = spark.createDataFrame(pdf)
+    ranks = pdf.rank()
+    for few in (100_000, 100, 2):
+        for r in stats.spearman_matrix(df, list("abc"), few).collect():
+            assert r["n"] == 45_000 and r["rho"] == pytest.approx(np.corrcoef(ranks[r["a"]], ranks[r["b"]])[0, 1], abs=1e-6)
+    rows = df.withColumn("row", F.monotonically_increasing_id())
+    known = order.mid_ranks(df, "a").withColumnRenamed("rank", "ra")
+    dealt = stats.with_ranks(rows, known, "a", "ra", 1000)
+    assert sorted(r["ra"] for r in dealt.select("ra").collect()) == sorted(ranks["a"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(r["count"] for r in dealt.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()) < 25_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_binomial_quantile():
     for n, p in ((1, 0.5), (7, 0.1), (40, 0.97), (400, 0.3)):
         upto = np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
