@@ -217,8 +217,8 @@ y AS (SELECT doc_id, CASE WHEN none THEN 1.0 WHEN ready THEN precision ELSE 0.0
 SELECT doc_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f FROM y""")
 def gate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G12 where no word has a vector: equal words only, weighed by idf."""
-    none = spark.createDataFrame([], "word string, x array<double>")
-    found = alignment.alignment(next_pairs(spark, sf_dir), "doc_id", "a", "b", none, alignment.idf(docs(spark, sf_dir), "t"))
+    d = docs(spark, sf_dir)
+    found = alignment.next_alignment(d, "doc_id", "t", alignment.idf(d, "t"))
     return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
 

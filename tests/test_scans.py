@@ -80,3 +80,17 @@ def test_rows_align_where_they_are(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(alignment, "FEW_WORDS", 3)
             assert {tuple(r) for r in alignment.alignment(df, "id", "a", "b", known, weights).collect()} == want
+
+
+def test_next_rows_align_in_blocks(spark):
+    """Each row and the next, whatever their blocks, as pairs of rows have it; a row's words move once, by block."""
+    rows = [(k, [f"w{k % 7}", f"w{k % 5}", "the", "the", f"u{k // 2}"] if k % 9 else None) for k in range(-9, 60) if k != 20] + [(30, ["the", "u15"]), (None, ["the"]), (70, [])]
+    df = spark.createDataFrame(rows, "id long, t array<string>").repartition(3)
+    pairs = df.select("id", F.col("t").alias("a")).join(df.select((F.col("id") - 1).alias("id"), F.col("t").alias("b")), "id")
+    weights = alignment.idf(df, "t").where("word <> 'u3'")
+    none = spark.createDataFrame([], "word string, x array<double>")
+    near = lambda found: sorted(tuple(round(x, 9) for x in r) for r in found.collect())
+    want = near(alignment.alignment(pairs, "id", "a", "b", none, weights))
+    assert len(want) == 68
+    for few, block in ((100, 256), (3, 4), (0, 1)):
+        assert near(alignment.next_alignment(df, "id", "t", weights, few=few, block=block)) == want
