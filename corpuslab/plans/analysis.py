@@ -202,12 +202,6 @@ def lemma_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similarity by alignment --------------------------------------------------------------------------------------
 
 
-def next_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, a, b): a document's tokens and those of the one with the next id."""
-    d = docs(spark, sf_dir).select("doc_id", F.col("t").alias("a"))
-    return stored(d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id"))
-
-
 @query(f"""WITH {DOCS}, nd AS (SELECT count(*) AS n FROM d), idf AS (SELECT word, ln((n + 1) / (df + 1)) AS idf FROM (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS word FROM d) GROUP BY 1), nd),
 pr AS (SELECT a.doc_id, a.t AS a, b.t AS b FROM d a JOIN d b ON b.doc_id = a.doc_id + 1), w AS (SELECT doc_id, 0 AS side, unnest(a) AS word FROM pr UNION ALL SELECT doc_id, 1, unnest(b) FROM pr),
 c AS (SELECT doc_id, side, word, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT doc_id, side, n * idf AS mass, count(*) OVER (PARTITION BY doc_id, word) = 2 AS met FROM c JOIN idf USING (word)),
@@ -226,8 +220,7 @@ def gate_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of neighbours by aligned words, with vectors from the corpus's co-occurrences; too like, too unlike."""
     d = docs(spark, sf_dir)
-    vectors = stored(alignment.word_vectors(d, "t"))
-    found = alignment.alignment(next_pairs(spark, sf_dir), "doc_id", "a", "b", vectors, alignment.idf(d, "t"))
+    found = alignment.next_alignment(d, "doc_id", "t", alignment.idf(d, "t"), *alignment.word_rows(d, "t"))
     return found.select("doc_id", F.round("f", 6).alias("similarity"), (F.col("f") > 0.92).alias("too_similar"), (F.col("f") < 0.7).alias("too_different"))
 
 

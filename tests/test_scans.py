@@ -1,6 +1,7 @@
 """Queries that read rows many times read their texts once or twice, and tasks hold few rows at a time."""
 
 import math
+import random
 
 import pandas as pd
 import pyarrow as pa
@@ -94,3 +95,21 @@ def test_next_rows_align_in_blocks(spark):
     assert len(want) == 68
     for few, block in ((100, 256), (3, 4), (0, 1)):
         assert near(alignment.next_alignment(df, "id", "t", weights, few=few, block=block)) == want
+
+
+def test_next_rows_align_by_counted_contexts(spark, monkeypatch):
+    """Vectors made in tasks from counted contexts, of frequent words and of those that come to the blocks, align as word vectors do."""
+    rng = random.Random(5)
+    rows = [(k, [rng.choice(["the", "of", "a", f"w{rng.randrange(30)}", f"u{rng.randrange(200)}"]) for _ in range(rng.randrange(15))]) for k in range(40)] + [(50, None)]
+    df = spark.createDataFrame(rows, "id long, t array<string>").repartition(3)
+    pairs = df.select("id", F.col("t").alias("a")).join(df.select((F.col("id") - 1).alias("id"), F.col("t").alias("b")), "id")
+    weights = alignment.idf(df, "t")
+    near = lambda found: sorted(tuple(round(x, 7) for x in r) for r in found.collect())
+    want = near(alignment.alignment(pairs, "id", "a", "b", alignment.word_vectors(df, "t", contexts=20, size=6), weights))
+    counted = alignment.word_rows(df, "t", contexts=20, size=6)
+    with monkeypatch.context() as m:  # counts that move in parts
+        m.setattr(alignment, "SHORT", 25)
+        assert sorted(alignment.word_rows(df, "t", contexts=20, size=6)[0].collect()) == sorted(counted[0].collect())
+    assert len(want) == 39 and want != near(alignment.next_alignment(df, "id", "t", weights))
+    for few, block in ((1000, 256), (5, 8)):
+        assert near(alignment.next_alignment(df, "id", "t", weights, *counted, few=few, block=block)) == want
