@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,18 @@ def test_names_and_scores(spark):
     s = tagger.scores(df, "g", "f").first()
     assert (s["n"], s["precision"], s["recall"]) == (3, 0.5, 0.333333)
     assert tagger.scores(df.where("size(t) = 0"), "g", "f").first()["precision"] is None
+
+
+def test_shapes_and_ways_in_batches(spark):
+    """Shapes of distinct words are those of the patterns, and rows that go step by step together get the tags that each gets by itself."""
+    rng = random.Random(7)
+    words = ["Ann", "reed", "\u00c9a", "\u00c9", "NASA", "end.", "End!", "a1", "9", "x,", "\u65e5\u672c", "Ab\u2028", "ab\u0085", "is:\u2029", "", "N\u00e9e", "\u01c5a", "-", None]
+    rows = [(k, [rng.choice(words) for _ in range(rng.randrange(9))]) for k in range(200)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id int, t array<string>").coalesce(1)
+    want = [[(o["word"], o["shape"]) for o in r["o"]] for r in df.where("t IS NOT NULL").orderBy("id").select(tagger.observed(F.col("t")).alias("o")).collect()]
+    row, word, known, look = tagger.looks(pa.array([t for _, t in rows], pa.list_(pa.string())))
+    assert [(known[w].as_py(), None if known[w].as_py() is None else tagger.SHAPES[s]) for w, s in zip(word, look)] == [(w, None if w is None else s) for r in want for w, s in r]
+    model = tagger.fit(df.withColumn("g", F.transform("t", lambda w, i: F.when(w.rlike("^A"), "B").when(i % 3 == 2, "I").otherwise("O"))), "t", "g", least=40)
+    got = {r["id"]: r["tags"] for r in tagger.tagged(df, "t", model).collect()}
+    assert got.pop(200) is None and [got[k] for k in range(200)] == [tagger.viterbi(model, r) for r in want]
+    assert "rlike" not in tagger.tagged(df, "t", model)._jdf.queryExecution().toString().lower()
